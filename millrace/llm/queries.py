@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op1_language_id, op5_exact_dedup
+from . import op1_language_id, op5_exact_dedup, op6_byte_bpe
 
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe.op6_byte_bpe,
     "op1_language_id": op1_language_id.op1_language_id,
     "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_language_id, op4_simhash_vptree, op5_exact_dedup, op6_byte_bpe, op7_bm25_packing, op9_secret_scan, op10_license_scan
+from . import op1_language_id, op2_ppm_scoring, op4_simhash_vptree, op5_exact_dedup, op6_byte_bpe, op7_bm25_packing, op9_secret_scan, op10_license_scan
 
 QUERIES = {
     "op6_byte_bpe": op6_byte_bpe.op6_byte_bpe,
     "op1_language_id": op1_language_id.op1_language_id,
+    "op2_ppm_scoring": op2_ppm_scoring.op2_ppm_scoring,
     "op4_simhash_vptree": op4_simhash_vptree.op4_simhash_vptree,
     "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
     "op7_bm25_packing": op7_bm25_packing.op7_bm25_packing,

@@ -26,7 +26,7 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): each file is read whole by one task, so lines have their numbers."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     split = whole.select("file", F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value"))
     return split.select("file", (F.col("at") + 1).alias("line"), "value")
 

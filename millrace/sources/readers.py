@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,15 @@ def trusted(rows: DataFrame, schema: str) -> DataFrame:
     return rows.filter(ok).select(
         F.col("extra_info.problem_id").alias("id"), F.from_json("reward_model.ground_truth", schema).alias("meta"), F.col("is_val")
     )
+
+
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, bytes, sha256) of whole files."""
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def observed(df: DataFrame, keep: str, name: str) -> tuple[DataFrame, Observation]:
+    """Rows that satisfy ``keep``, and a counter of the others that is filled as the rows pass."""
+    counter = Observation(name)
+    return df.observe(counter, F.count_if(~F.expr(keep)).alias("skipped")).filter(keep), counter

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rank, rank_of
+from .sampling import placed
 
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
 MODES = ("full", "random", "leave_out", "single", "mixture")
@@ -94,11 +95,10 @@ def build(pool: DataFrame, recipe: list[dict], seed: int, row_id: str = "problem
     met = pool.select(F.col(row_id), F.col(category)).join(F.broadcast(spec), F.col(category) == F.col("__c"))
     r = F.when(F.col("purpose") == "", F.lit("")).otherwise(rank(seed, F.col("purpose"), F.col("label"), row_id))
     whole = F.col("purpose") == ""
-    nth = F.row_number().over(Window.partitionBy("pool").orderBy("__rank", F.col(row_id).cast("string")))
-    placed = met.withColumn("__rank", r)
+    rows = met.withColumn("__rank", r)
     # full arms need no order; only sampled lines are ranked
-    sampled = placed.filter(~whole).withColumn("nth", nth).filter("nth <= n")
-    return placed.filter(whole).select("arm", row_id, category).union(sampled.select("arm", row_id, category))
+    sampled = placed(rows.filter(~whole), ["pool"], "__rank", row_id, F.col("n")).filter("nth <= n")
+    return rows.filter(whole).select("arm", row_id, category).union(sampled.select("arm", row_id, category))
 
 
 def equal_size(pool: DataFrame, seed: int, row_id: str, category: str) -> DataFrame:

@@ -9,14 +9,20 @@ from ..functions.hashing import pair_key
 from ..functions.text import collapse
 
 
+#: Tasks that share the rows of one key.
+SALTS = 16
+
+
 def keep_first(df: DataFrame, row_id: str, key: Column) -> DataFrame:
     """(id, kept_id): for every row the smallest id with the same key.
 
-    The key is aggregated before it is joined back, so a hot key meets as one row; texts stay behind.
+    Keys that several rows share are aggregated, dealt to SALTS copies and joined back by key and salt, so
+    that even a key of a third of all rows is spread; the other rows keep themselves. Texts stay behind.
     """
-    keyed = df.select(F.col(row_id).alias("id"), key.alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("kept_id"))
-    return keyed.join(first, "key").select("id", "kept_id")
+    keyed = df.select(F.col(row_id).alias("id"), key.alias("key")).withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1")
+    dealt = shared.select("key", "kept_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return keyed.join(dealt, ["key", "salt"], "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"))
 
 
 def duplicate_pairs(df: DataFrame, row_id: str, prompt: str, answer: str) -> DataFrame:

@@ -18,30 +18,55 @@ def first_by_rank(df: DataFrame, row_id: str, n: int, seed: int, purpose: str, l
     return df.select(row_id, r.alias("__rank")).orderBy("__rank", F.col(row_id).cast("string")).limit(n).select(row_id)
 
 
+#: Leading hex digits of a rank that deal a group's rows to windows of their own.
+BUCKET_DIGITS = 3
+
+
+def placed(df: DataFrame, group: list[str], rank_column: str, row_id: str, most: Column | None = None) -> DataFrame:
+    """``df`` with ``nth``, the place of each row in its group by rank; rows beyond ``most`` may be left out.
+
+    A group may hold a third of all rows, so no task gets a whole group. Ranks are uniform hashes: their
+    leading digits split a group into 4,096 even buckets, whose counts (a row for each group and bucket)
+    give every bucket the places before it, and a window numbers the rows within a bucket alone.
+    """
+    bucketed = df.withColumn("__bucket", F.substring(rank_column, 1, BUCKET_DIGITS))
+    counts = bucketed.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__bucket")) - F.col("__n")
+    start = counts.withColumn("__before", before).drop("__n")
+    right = start.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__bucket").alias("__b"), "__before")
+    same = F.col("__bucket") == F.col("__b")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    met = bucketed.join(right, same)
+    if most is not None:
+        met = met.filter(F.col("__before") < most)
+    within = Window.partitionBy(*group, "__bucket").orderBy(rank_column, F.col(row_id).cast("string"))
+    out = met.withColumn("nth", (F.col("__before") + F.row_number().over(within)).cast("long"))
+    return out.drop("__bucket", "__b", "__before", *[f"__g{i}" for i in range(len(group))])
+
+
 def ranked(df: DataFrame, row_id: str, category: str, seed: int, purpose: str = "single_pool") -> DataFrame:
     """(id, category, nth): the place of every id in its category's ranking, shared by all arms."""
-    name = F.col(category).cast("string")
-    r = rank(seed, purpose, name, row_id)
-    nth = F.row_number().over(Window.partitionBy(category).orderBy("__rank", F.col(row_id).cast("string")))
-    return df.select(row_id, category, r.alias("__rank")).withColumn("nth", nth).drop("__rank")
+    r = rank(seed, purpose, F.col(category).cast("string"), row_id)
+    return placed(df.select(row_id, category, r.alias("__rank")), [category], "__rank", row_id).drop("__rank")
 
 
-def first_by_category(df: DataFrame, row_id: str, category: str, takes: Column, seed: int, purpose: str = "single_pool") -> DataFrame:
-    """Ids of the first ``takes`` rows of each category; the window keeps no more than a task needs."""
-    return ranked(df, row_id, category, seed, purpose).filter(F.col("nth") <= takes)
+def first_by_category(df: DataFrame, row_id: str, category: str, n: int, seed: int, purpose: str = "single_pool") -> DataFrame:
+    """Ids of the first n rows of each category with their place; every task keeps at most n rows a category."""
+    r = rank(seed, purpose, F.col(category).cast("string"), row_id)
+    nth = F.row_number().over(Window.partitionBy(category).orderBy("__rank", F.col(row_id).cast("string")))
+    return df.select(row_id, category, r.alias("__rank")).withColumn("nth", nth).filter(F.col("nth") <= n).drop("__rank")
 
 
 def stratified(df: DataFrame, row_id: str, stratum: str, n: int, seed: int, label: str, name_descending: bool = True) -> DataFrame:
-    """(id, stratum) of a proportional sample of n rows; equal remainders go to the later (or earlier) name.
-
-    The allocation, a row a stratum, is the small side of the join back.
-    """
+    """(id, stratum) of a proportional sample of n rows; equal remainders go to the later (or earlier) name."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    # names in order without one more shuffle: a stratum's place among the others is its tie-break
+    # names in order: a stratum's place among the others is its tie-break
     nth = F.row_number().over(Window.orderBy(F.desc(stratum) if name_descending else F.asc(stratum)))
     takes = largest_remainder(sizes.withColumn("__place", nth), stratum, "size", n, F.col("__place")).select(F.col(stratum).alias("__s"), "take")
-    placed = ranked(df, row_id, stratum, seed, label)
-    return placed.join(F.broadcast(takes), placed[stratum].eqNullSafe(F.col("__s"))).filter("nth <= take").select(row_id, stratum)
+    r = rank(seed, label, F.col(stratum).cast("string"), row_id)
+    rows = df.select(row_id, stratum, r.alias("__rank")).join(takes, F.col(stratum).eqNullSafe(F.col("__s")))
+    return placed(rows, [stratum], "__rank", row_id, F.col("take")).filter("nth <= take").select(row_id, stratum)
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int, purpose: str = "shuffle") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rank
 from .allocation import largest_remainder
+from .sampling import placed
 
 
 def holdout(df: DataFrame, row_id: str, strata: list[str], n: int, seed: int, forced: DataFrame | None = None) -> DataFrame:
@@ -29,14 +30,14 @@ def holdout(df: DataFrame, row_id: str, strata: list[str], n: int, seed: int, fo
     open_ = flagged.filter(~F.col("__forced")).withColumn("__stratum", name)
     sizes = open_.groupBy("__stratum").agg(F.count("*").alias("size"))
     takes = largest_remainder(sizes, "__stratum", "size", left, F.col("__stratum")).select(F.col("__stratum").alias("__s"), "take")
-    nth = F.row_number().over(Window.partitionBy("__stratum").orderBy(rank(seed, "holdout", F.col("__stratum"), row_id), F.col(row_id).cast("string")))
-    dealt = open_.withColumn("__nth", nth).join(F.broadcast(takes), F.col("__stratum") == F.col("__s"))  # a row a stratum
-    split = F.when(F.col("__nth") <= F.col("take"), "validation").otherwise("train")
+    r = rank(seed, "holdout", F.col("__stratum"), row_id)
+    dealt = placed(open_.withColumn("__rank", r).join(takes, F.col("__stratum") == F.col("__s")), ["__stratum"], "__rank", row_id)
+    split = F.when(F.col("nth") <= F.col("take"), "validation").otherwise("train")
     out = dealt.select(row_id, *strata, split.alias("split"))
     return out.union(flagged.filter("__forced").select(row_id, *strata, F.lit("validation").alias("split")))
 
 
 def reindexed(df: DataFrame, split: str, row_id: str, seed: int) -> DataFrame:
     """``index`` from 0 within each split, in hash order."""
-    order = Window.partitionBy(split).orderBy(rank(seed, "index", F.col(split), row_id), F.col(row_id).cast("string"))
-    return df.withColumn("index", (F.row_number().over(order) - 1).cast("long"))
+    rows = df.withColumn("__rank", rank(seed, "index", F.col(split), row_id))
+    return placed(rows, [split], "__rank", row_id).withColumn("index", F.col("nth") - 1).drop("nth", "__rank")

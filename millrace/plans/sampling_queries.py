@@ -165,7 +165,7 @@ FIRST_SQL = "SELECT o_orderkey FROM orders ORDER BY sha256('7|single_pool|orders
 def top_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 first customers of each segment by hash."""
     people = table(spark, sf_dir, "customer")
-    return sampling.first_by_category(people, "c_custkey", "c_mktsegment", F.lit(10), SEED).select("c_custkey", "c_mktsegment", F.col("nth").cast("long"))
+    return sampling.first_by_category(people, "c_custkey", "c_mktsegment", 10, SEED).select("c_custkey", "c_mktsegment", F.col("nth").cast("long"))
 
 
 TOP_SQL = """

@@ -58,7 +58,7 @@ def ablation(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     short = [c for c in names if sizes.get(c, 0) < n]
     if short:
         raise ValueError(f"fewer than {n} rows without {short}")
-    taken = sampling.first_by_category(open_, key, "gone", F.lit(n), seed, "ablation")
+    taken = sampling.ranked(open_, key, "gone", seed, "ablation").filter(F.col("nth") <= n)
     return rows.select(F.lit("full").alias("arm"), key).union(taken.select(F.concat(F.lit("no_"), F.col("gone")), key))
 
 

@@ -29,20 +29,20 @@ def placed(df: DataFrame, group: list[str], rank_column: str, row_id: str, most:
     leading digits split a group into 4,096 even buckets, whose counts (a row for each group and bucket)
     give every bucket the places before it, and a window numbers the rows within a bucket alone.
     """
-    bucketed = df.withColumn("__bucket", F.substring(rank_column, 1, BUCKET_DIGITS))
-    counts = bucketed.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__bucket")) - F.col("__n")
+    bucketed = df.withColumn("__digits", F.substring(rank_column, 1, BUCKET_DIGITS))
+    counts = bucketed.groupBy(*group, "__digits").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__digits")) - F.col("__n")
     start = counts.withColumn("__before", before).drop("__n")
-    right = start.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__bucket").alias("__b"), "__before")
-    same = F.col("__bucket") == F.col("__b")
+    right = start.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__digits").alias("__b"), "__before")
+    same = F.col("__digits") == F.col("__b")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     met = bucketed.join(right, same)
     if most is not None:
         met = met.filter(F.col("__before") < most)
-    within = Window.partitionBy(*group, "__bucket").orderBy(rank_column, F.col(row_id).cast("string"))
+    within = Window.partitionBy(*group, "__digits").orderBy(rank_column, F.col(row_id).cast("string"))
     out = met.withColumn("nth", (F.col("__before") + F.row_number().over(within)).cast("long"))
-    return out.drop("__bucket", "__b", "__before", *[f"__g{i}" for i in range(len(group))])
+    return out.drop("__digits", "__b", "__before", *[f"__g{i}" for i in range(len(group))])
 
 
 def ranked(df: DataFrame, row_id: str, category: str, seed: int, purpose: str = "single_pool") -> DataFrame:

@@ -60,15 +60,12 @@ def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndar
     """[scores, ids, rows] of the best k so far, by score down and id up, after one more block."""
     n = len(block.ids)
     up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    seen = np.zeros(n, bool)
-    depth, done = 0, 0
-    while True:
+    seen, left, depth = np.zeros(n, bool), n, 0
+    while left:
         full = len(best[0]) >= k
-        if depth < n:  # what an unseen vector can reach at most
-            bound = int(block.sorted[up, depth] @ q[up]) + int(block.sorted[down, n - 1 - depth] @ q[down])
-            if full and bound < best[0][k - 1]:
-                return best
-        elif seen.all():
+        # what an unseen vector can reach at most
+        bound = int(block.sorted[up, depth] @ q[up]) + int(block.sorted[down, n - 1 - depth] @ q[down])
+        if full and bound < best[0][k - 1]:
             return best
         next_depth = min(n, max(FIRST_DEPTH, 4 * depth)) if len(up) + len(down) else n
         if next_depth >= n:
@@ -79,6 +76,7 @@ def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndar
             met[block.down[down, n - next_depth : n - depth].ravel()] = True
             fresh = np.flatnonzero(met & ~seen)
         seen[fresh] = True
+        left -= len(fresh)
         depth = next_depth
         if len(fresh):
             s = block.scores(q, fresh)
@@ -91,6 +89,7 @@ def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndar
                 scores, ids, rows = (np.concatenate(x) for x in zip(best, (s, block.ids[fresh], block.rows[fresh])))
                 order = np.lexsort((rows, ids, -scores))[:k]
                 best = [scores[order], ids[order], rows[order]]
+    return best
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:

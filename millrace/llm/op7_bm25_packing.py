@@ -27,48 +27,30 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import ID, Units, ranks_of_json
+from .bytebpe import ranks_of_json
 from .common import cut, read, runs
 
 WINDOW, END_ID = 2048, 1
+#: Ids are held in 16 bits; tables by term have this many entries.
+TERMS = 1 << 16
 #: Tokens of a shard; a row counts as ROW_TOKENS more, so that short documents don't crowd a shard.
 SHARD_TOKENS, ROW_TOKENS = 1 << 19, 128
 #: BM25 parameters, the terms of a seed that are looked up, and the heaviest terms that may name a shard.
 K1, B, QUERY_TERMS, KEY_TERMS = 1.2, 0.75, 32, 8
 
-_TOKENIZERS: dict[str, Units] = {}
-
-
-def tokenizer(path: str, pattern: str) -> Units:
-    """Ids of the byte-level vocabulary in a JSON file; special tokens' strings are ordinary text.
-
-    Distinct units are encoded in one call, closed by line feeds, each of which is a token of its own.
-    """
-    if path in _TOKENIZERS:
-        return _TOKENIZERS[path]
-    with open(path, encoding="utf-8") as f:
-        ranks = ranks_of_json(f.read())
-    library = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    feed = ranks[b"\n"]
-    packed_feed = np.array([feed], ID).tobytes()
+#: Encoders of this worker process by vocabulary file.
+_LIBRARIES: dict[str, tiktoken.Encoding] = {}
 
-    def whole(text: str) -> bytes:
-        return np.array(library.encode_ordinary(text), ID).tobytes()
 
-    def encode(units: list[str]) -> list[bytes]:
-        bare = [u[1:] if u[0] == "\n" else u for u in units]
-        ids = np.array(library.encode_ordinary("\n".join([*bare, ""])), ID)
-        ends = np.flatnonzero(ids == feed)
-        if len(ends) != len(units):
-            return [whole(u) for u in units]
-        packed, out, start = ids.tobytes(), [], 0
-        for u, e in zip(units, (ends * ID.itemsize).tolist()):
-            out.append(packed_feed + packed[start:e] if u[0] == "\n" else packed[start:e])
-            start = e + ID.itemsize
-        return out
-
-    _TOKENIZERS[path] = Units(encode, whole)
-    return _TOKENIZERS[path]
+def library(path: str, pattern: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary of a JSON file; special tokens' strings are ordinary text."""
+    if path not in _LIBRARIES:
+        with open(path, encoding="utf-8") as f:
+            ranks = ranks_of_json(f.read())
+        if max(ranks.values()) >= TERMS:
+            raise ValueError(f"ids of {path} don't fit 16 bits")
+        _LIBRARIES[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LIBRARIES[path]
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,19 +58,14 @@ def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, end = tokenizer(path, pattern), np.array([END_ID], "<u2").tobytes()
+        encode = library(path, pattern).encode_ordinary
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in runs([len(t) for t in texts]):
-                ids = [np.frombuffer(p, ID).astype("<u2").tobytes() + end for p in units.ids(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [np.array([*encode(t or ""), END_ID], "<u2").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-TERMS = 1 << 16
-
-
 def _postings(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of distinct terms in order of document and term, and lengths."""
     sizes = np.array([len(x) // 2 for x in ids], np.int64)

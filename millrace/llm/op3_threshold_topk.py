@@ -51,9 +51,11 @@ class Lists:
         self.top = top
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.exact is not None and float(np.abs(q).sum()) * self.top < 2**53:
-            return (self.exact[at] @ q.astype(np.float64)).astype(np.int64)  # every partial sum is exact
-        return self.vectors[at] @ q
+        if self.exact is None or float(np.abs(q).sum()) * self.top >= 2**53:
+            return self.vectors[at] @ q
+        q = q.astype(np.float64)  # every partial sum is exact
+        many = 4 * len(at) > len(self.ids)  # then one product over the block is cheaper than picking its rows
+        return ((self.exact @ q)[at] if many else self.exact[at] @ q).astype(np.int64)
 
 
 def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
@@ -67,7 +69,9 @@ def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndar
         bound = int(block.sorted[up, depth] @ q[up]) + int(block.sorted[down, n - 1 - depth] @ q[down])
         if full and bound < best[0][k - 1]:
             return best
-        next_depth = min(n, max(FIRST_DEPTH, 4 * depth)) if len(up) + len(down) else n
+        next_depth = min(n, max(FIRST_DEPTH, 4 * depth))
+        if 4 * left < n or not len(up) + len(down):
+            next_depth = n  # few are left: the rest of the lists is read at once
         if next_depth >= n:
             fresh = np.flatnonzero(~seen)
         else:

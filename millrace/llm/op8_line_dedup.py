@@ -8,7 +8,7 @@ frequent to count.
 
 Each pair is aligned by patience diff: equal heads and tails, then lines that are unique on both sides in
 their longest common order, then the same between them. An aligned block of at least MIN_WORDS words is
-deleted from the later document. The first holder of a line keeps it, so one copy always stays.
+deleted from the later document, whose rest is aligned once more for blocks that have moved. The first holder of a line keeps it, so one copy always stays.
 
 Documents come in order of doc_id, null last. Rows of equal id and text are one document and are treated
 alike. Null texts stay null, empty texts stay empty, neither has shared lines. An empty table gives an
@@ -124,16 +124,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of b in aligned blocks of enough words."""
-    out, block = [], []
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
-            block.append((i, j))
-            continue
-        if sum(words[y] for _, y in block) >= min_words:
-            out += [y for _, y in block]
-        block = [(i, j)]
-    return out
+    """Lines of b in aligned blocks of enough words.
+
+    What is deleted leaves the alignment, and the rest is aligned again until nothing more goes, so that
+    blocks in another order than in a are found too.
+    """
+    rest: list[int | None] = list(b)
+    gone: list[int] = []
+    while True:
+        new, block = [], []
+        for i, j in [*patience(a, rest), (-9, -9)]:
+            if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
+                block.append((i, j))
+                continue
+            if sum(words[y] for _, y in block) >= min_words:
+                new += [y for _, y in block]
+            block = [(i, j)]
+        if not new:
+            return gone
+        gone += new
+        for j in new:
+            rest[j] = None
 
 
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -45,6 +45,12 @@ def test_patience_keeps_order_and_recurses():
     assert "".join(a[i] for i, _ in pairs) == "abcdefh"
 
 
+def test_moved_blocks_are_found():
+    a = [1, 2, 3, 4, 5, 6]
+    assert sorted(op.deleted(a, [9, 4, 5, 8, 1, 2, 7], [6] * 7, 10)) == [1, 2, 4, 5]
+    assert op.deleted(a, [1, 9, 3], [6] * 3, 10) == []
+
+
 def test_one_copy_of_every_block_stays(spark, docs, corpus):
     out = op.stage(spark, docs, "").collect()
     left = Counter(x for r in out for x in {y.strip() for y in (r["text"] or "").split("\n")})

@@ -31,11 +31,19 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='millrace-pipeline-')}/pipeline-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; the result of the last one."""
-    folder, docs = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; the result of the last one. A stage's table goes once the next is written."""
+    folder, docs, before = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs

@@ -18,7 +18,7 @@ need. Repeated rows are packed each. Null ids keep their rows. An empty table gi
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -74,7 +74,7 @@ def _postings(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return key // TERMS, key % TERMS, n, sizes
 
 
-def _by_term(tokens: DataFrame, run, what: str) -> np.ndarray:
+def _by_term(tokens: DataFrame, run: Callable) -> np.ndarray:
     """Sums by term of what each task has summed; the result is as long as the vocabulary."""
     got = tokens.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(TERMS, np.int64)
@@ -195,7 +195,7 @@ def pack(tokens: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                 own += np.bincount(_postings(ids[a:b])[1], minlength=TERMS)
         yield _sums(own)
 
-    df = _by_term(tokens, frequencies, "df")
+    df = _by_term(tokens, frequencies)
     idf = context.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))  # as long as the vocabulary
 
     def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def pack(tokens: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                 np.add.at(own, key, load)
         yield _sums(own)
 
-    shards = context.broadcast(_deal(_by_term(tokens, loads, "load"), shard_tokens))
+    shards = context.broadcast(_deal(_by_term(tokens, loads), shard_tokens))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, count = shards.value

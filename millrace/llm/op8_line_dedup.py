@@ -17,7 +17,6 @@ empty result. Any other columns, whatever their names, pass through ``dedup`` as
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,20 +61,16 @@ def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str = "ord", name: str = "index") -> DataFrame:
-    """Consecutive numbers from 0 over the whole table in the given order, without one task seeing it all.
+    """The place of every row of a scan, from 0 over all its files in name order.
 
-    Rows are sorted by range partitions; the rows before each partition are counted, and those counts, one
-    a partition, are all that reaches the driver.
+    ``order`` comes from ``with_ordinal`` on the whole scan. Rows of the files before are counted, a row a
+    file, and each row adds its own place in its file: nothing is sorted, and a retry gives the same numbers.
     """
-    placed = df.sort(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % F.lit(1 << 33))
-    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    start = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    return placed.withColumn(name, start[F.col("__part").cast("long")] + F.col("__at")).drop("__part", "__at")
+    counts = df.groupBy(F.col(f"{order}.file").alias("__file")).agg((F.max(f"{order}.row") + 1).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    start = counts.select("__file", F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = df.join(start, F.col(f"{order}.file") == F.col("__file"))
+    return placed.withColumn(name, F.col("__start") + F.col(f"{order}.row")).drop("__file", "__start")
 
 
 def limited(df: DataFrame, n: int, order: str) -> DataFrame:

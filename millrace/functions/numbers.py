@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ def answer_spans(c: Column | str, bodies: Column | None = None) -> Column:
     return F.concat(*[F.reverse(x) for x in found], last, F.array(text))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(c: Column | str) -> Column:
     """struct(value, percent) of one number's text; value null if it is none."""
     raw = F.regexp_replace(strip(c), f"^{EDGE_MARKS}+|{EDGE_MARKS}+$", "")
@@ -61,7 +67,7 @@ def parse_number(c: Column | str) -> Column:
     raw = F.regexp_replace(raw, r"\\[dt]frac", r"\\frac")
     percent = F.endswith(raw, F.lit("%"))
     body = strip(F.regexp_replace(raw, "%+$", ""))
-    return F.struct(_value(body).alias("value"), percent.alias("percent"))
+    return F.struct(once(body, _value).alias("value"), percent.alias("percent"))
 
 
 def _double(text: Column) -> Column:
@@ -90,7 +96,7 @@ def candidate(spans: Column) -> Column:
         return F.filter(F.transform(found, parse_number), lambda x: x["value"].isNotNull())
 
     hits = F.filter(F.transform(spans, in_span), lambda x: F.size(x) > 0)
-    return F.when(F.size(hits) > 0, F.element_at(F.element_at(hits, 1), -1))
+    return F.try_element_at(F.get(hits, F.lit(0)), F.lit(-1))
 
 
 def first_number(c: Column | str, bodies: Column | None = None) -> Column:
@@ -99,10 +105,13 @@ def first_number(c: Column | str, bodies: Column | None = None) -> Column:
 
 def numbers_match(prediction: Column, target: Column) -> Column:
     """Whether two parsed numbers agree within max(|t| * 1e-6, 1e-4), a per cent sign on one side allowed."""
-    p, t = prediction["value"], target["value"]
-    close = lambda x: F.abs(x - t) <= F.greatest(F.abs(t) * 1e-6, F.lit(1e-4))
-    match = close(p) | (target["percent"] & ~prediction["percent"] & close(p * 100.0)) | (prediction["percent"] & ~target["percent"] & close(p / 100.0))
-    return F.coalesce(match, F.lit(False))
+
+    def match(x: Column) -> Column:
+        p, t, p_percent, t_percent = x["p"]["value"], x["t"]["value"], x["p"]["percent"], x["t"]["percent"]
+        close = lambda v: F.abs(v - t) <= F.greatest(F.abs(t) * 1e-6, F.lit(1e-4))
+        return close(p) | (t_percent & ~p_percent & close(p * 100.0)) | (p_percent & ~t_percent & close(p / 100.0))
+
+    return F.coalesce(once(F.struct(prediction.alias("p"), target.alias("t")), match), F.lit(False))
 
 
 def interval_match(prediction: Column, predicted_text: Column, target: Column, lower: Column, upper: Column) -> Column:

@@ -8,7 +8,9 @@ frequent to count.
 
 Each pair is aligned by patience diff: equal heads and tails, then lines that are unique on both sides in
 their longest common order, then the same between them. An aligned block of at least MIN_WORDS words is
-deleted from the later document, whose rest is aligned once more for blocks that have moved. The first holder of a line keeps it, so one copy always stays.
+deleted from the later document, whose rest is aligned once more for blocks that have moved. Blocks that
+no alignment shows, behind short ones or of repeated lines, are found by their runs of lines. The first
+holder of a line keeps it, so one copy always stays.
 
 Documents come in order of doc_id, null last. Rows of equal id and text are one document and are treated
 alike. Null texts stay null, empty texts stay empty, neither has shared lines. An empty table gives an
@@ -122,11 +124,31 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def spans(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines with enough words from every line on and back from every line.
+
+    Together those inside a block of enough words cover it.
+    """
+    total, some, least = np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(words > 0), max(1, min_words)
+    end = np.searchsorted(total, total[some] + least)
+    start = np.searchsorted(total, total[some + 1] - least, side="right") - 1
+    on, back = end <= len(words), start >= 0
+    return sorted({*zip(some[on].tolist(), end[on].tolist()), *zip(start[back].tolist(), (some[back] + 1).tolist())})
+
+
+def _shared(a: list[int], b: list[int], words: list[int], min_words: int) -> set[int]:
+    """Lines of b in any block of enough words that a has too, wherever it stands."""
+    size = dict(zip(b, words))
+    of_a = {tuple(a[s:e]) for s, e in spans(np.array([size.get(x, 0) for x in a], np.int64), min_words)}
+    return {y for s, e in spans(np.array(words, np.int64), min_words) if tuple(b[s:e]) in of_a for y in range(s, e)}
+
+
 def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
     """Lines of b in aligned blocks of enough words.
 
-    What is deleted leaves the alignment, and the rest is aligned again until nothing more goes, so that
-    blocks in another order than in a are found too.
+    What is deleted leaves the alignment, and the rest is aligned again until nothing more goes. Aligned
+    blocks that are too short keep their place and may hide a moved block, and repeated lines anchor
+    nothing, so the blocks that are then still shared are found by their runs of lines.
     """
     rest: list[int | None] = list(b)
     gone: list[int] = []
@@ -140,7 +162,7 @@ def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> lis
                 new += [y for _, y in block]
             block = [(i, j)]
         if not new:
-            return gone
+            return sorted({*gone, *_shared(a, b, words, min_words)})
         gone += new
         for j in new:
             rest[j] = None

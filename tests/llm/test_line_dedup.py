@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 from millrace.llm import op8_line_dedup as op
@@ -59,3 +60,30 @@ def test_one_copy_of_every_block_stays(spark, docs, corpus):
             assert left[x.strip()] >= 1
     assert all(r["n_chars"] == len(r["text"]) for r in out if r["text"] is not None)
     assert len({r["doc_id"] for r in out}) > 200
+
+
+def common(a, b, words, least):
+    """Lines of b in any common block of enough words, by trying all pairs of places."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j : j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return gone
+
+
+def test_short_shared_lines_hide_no_moved_block():
+    a, b = [1, 2, 3, 4], [4, 1, 8, 2, 9, 3]
+    assert op.deleted(a, b, [50, 2, 1, 2, 1, 2], 10) == [0]
+
+
+def test_every_common_block_is_deleted():
+    rng = random.Random(5)
+    size = [0, 1, 2, 3, 4, 6, 12]
+    for _ in range(400):
+        a, b = ([rng.randrange(7) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        words = [size[x] for x in b]
+        assert set(op.deleted(a, b, words, 10)) - {j for j in range(len(b)) if not words[j]} == {j for j in common(a, b, words, 10) if words[j]}

@@ -1,8 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Lines are named by the hash of their stripped text. A line that stands once in a document is rare there
-and may anchor an alignment. For every such line that several documents share, each later document is
-paired with the first one that has it; a document is thus aligned with every first holder of its lines,
+Lines are named by the hash of their stripped text. For every line with words that several documents
+share, however often it stands in one, each later document is paired with the first one that has it; a document is thus aligned with every first holder of its lines,
 and the pairs of a line grow with the documents that have it, not with their square. No line is too
 frequent to count.
 
@@ -61,17 +60,17 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return own.mapInArrow(run, f"key long, none boolean, doc_id {kind}, names binary, words binary")
 
 
-def _single_lines(lines: DataFrame) -> DataFrame:
-    """(line, key, none, doc_id) for lines with words that stand once in their document."""
+def _lines(lines: DataFrame) -> DataFrame:
+    """(line, key, none, doc_id) for every different line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, line = [], []
             for i, (names, words) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 some = np.frombuffer(names, "<i8")[np.frombuffer(words, "<i4") > 0]
-                value, n = np.unique(some, return_counts=True)
-                line.append(value[n == 1])
-                at.append(np.full(int((n == 1).sum()), i))
+                value = np.unique(some)
+                line.append(value)
+                at.append(np.full(len(value), i))
             at = pa.array(np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*line, np.empty(0, np.int64)])), *[batch.column(j).take(at) for j in range(3)]], ["line", "key", "none", "doc_id"]
@@ -171,11 +170,11 @@ def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> lis
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, gone): packed 32-bit line numbers to delete, for documents that lose any."""
     lines = cut(line_table(docs, doc_id, text).dropDuplicates(["key"]))
-    single = cut(_single_lines(lines))
+    held_lines = cut(_lines(lines))
     order = F.struct("none", "doc_id", "key")
-    holders = cut(single.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", F.col("first.key").alias("held")))
+    holders = cut(held_lines.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", F.col("first.key").alias("held")))
     # tables from files on both sides of every join: adaptive execution splits the partition of a hot line or holder
-    pairs = cut(single.select("line", "key").join(holders, "line").filter("key <> held").select("held", "key").distinct())
+    pairs = cut(held_lines.select("line", "key").join(holders, "line").filter("key <> held").select("held", "key").distinct())
     left = lines.select(F.col("key").alias("held"), F.col("names").alias("a"))
     with_left = cut(pairs.join(left, "held"))
     both = with_left.join(lines.select("key", F.col("names").alias("b"), "words"), "key").select("key", "a", "b", "words")

@@ -87,3 +87,10 @@ def test_every_common_block_is_deleted():
         a, b = ([rng.randrange(7) for _ in range(rng.randint(0, 25))] for _ in range(2))
         words = [size[x] for x in b]
         assert set(op.deleted(a, b, words, 10)) - {j for j in range(len(b)) if not words[j]} == {j for j in common(a, b, words, 10) if words[j]}
+
+
+def test_a_passage_that_a_document_repeats_is_found(spark):
+    p = "one passage of more than ten words that several documents share as it is"
+    rows = [(1, p), (2, f"{p}\nmine\n{p}"), (3, "other words"), (4, f"q {p}\nx\nq {p}"), (5, f"q {p}")]
+    out = op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {1: p, 2: "mine", 3: "other words", 4: rows[3][1], 5: ""}

@@ -1,15 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Lines are named by the hash of their stripped text. For every line with words that several documents
-share, however often it stands in one, each later document is paired with the first one that has it; a document is thus aligned with every first holder of its lines,
-and the pairs of a line grow with the documents that have it, not with their square. No line is too
-frequent to count.
+Lines are named by the hash of their stripped text. A run is the shortest sequence of lines with at least
+MIN_WORDS words on from a line, or back from it; the runs inside a shared block cover it. For every run
+that several documents share, however often it stands in one, each later document is paired with the
+first one that has it, so every shared block has a pair for each of its lines, and the pairs of a run grow
+with the documents that have it, not with their square. No run is too frequent to count.
 
 Each pair is aligned by patience diff: equal heads and tails, then lines that are unique on both sides in
 their longest common order, then the same between them. An aligned block of at least MIN_WORDS words is
 deleted from the later document, whose rest is aligned once more for blocks that have moved. Blocks that
-no alignment shows, behind short ones or of repeated lines, are found by their runs of lines. The first
-holder of a line keeps it, so one copy always stays.
+no alignment shows, behind short ones or of repeated lines, are found by their runs. The first holder of a
+run keeps it, so one copy always stays.
 
 Documents come in order of doc_id, null last. Rows of equal id and text are one document and are treated
 alike. Null texts stay null, empty texts stay empty, neither has shared lines. An empty table gives an
@@ -60,24 +61,35 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return own.mapInArrow(run, f"key long, none boolean, doc_id {kind}, names binary, words binary")
 
 
-def _lines(lines: DataFrame) -> DataFrame:
-    """(line, key, none, doc_id) for every different line with words."""
+def spans(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines with enough words from every line on and back from every line.
+
+    Together those inside a block of enough words cover it.
+    """
+    total, some, least = np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(words > 0), max(1, min_words)
+    end = np.searchsorted(total, total[some] + least)
+    start = np.searchsorted(total, total[some + 1] - least, side="right") - 1
+    on, back = end <= len(words), start >= 0
+    return sorted({*zip(some[on].tolist(), end[on].tolist()), *zip(start[back].tolist(), (some[back] + 1).tolist())})
+
+
+def _runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(run, key, none, doc_id) for every different run of lines that just has enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, line = [], []
+            at, found = [], []
             for i, (names, words) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                some = np.frombuffer(names, "<i8")[np.frombuffer(words, "<i4") > 0]
-                value = np.unique(some)
-                line.append(value)
-                at.append(np.full(len(value), i))
+                own = {xxhash.xxh3_64_intdigest(names[8 * s : 8 * e]) for s, e in spans(np.frombuffer(words, "<i4").astype(np.int64), min_words)}
+                found.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+                at.append(np.full(len(own), i))
             at = pa.array(np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*line, np.empty(0, np.int64)])), *[batch.column(j).take(at) for j in range(3)]], ["line", "key", "none", "doc_id"]
+                [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), *[batch.column(j).take(at) for j in range(3)]], ["run", "key", "none", "doc_id"]
             )
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.mapInArrow(run, f"line long, key long, none boolean, doc_id {kind}")
+    return lines.mapInArrow(run, f"run long, key long, none boolean, doc_id {kind}")
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -123,18 +135,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def spans(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """(start, end) of the shortest runs of lines with enough words from every line on and back from every line.
-
-    Together those inside a block of enough words cover it.
-    """
-    total, some, least = np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(words > 0), max(1, min_words)
-    end = np.searchsorted(total, total[some] + least)
-    start = np.searchsorted(total, total[some + 1] - least, side="right") - 1
-    on, back = end <= len(words), start >= 0
-    return sorted({*zip(some[on].tolist(), end[on].tolist()), *zip(start[back].tolist(), (some[back] + 1).tolist())})
-
-
 def _shared(a: list[int], b: list[int], words: list[int], min_words: int) -> set[int]:
     """Lines of b in any block of enough words that a has too, wherever it stands."""
     size = dict(zip(b, words))
@@ -170,11 +170,11 @@ def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> lis
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, gone): packed 32-bit line numbers to delete, for documents that lose any."""
     lines = cut(line_table(docs, doc_id, text).dropDuplicates(["key"]))
-    held_lines = cut(_lines(lines))
+    held_runs = cut(_runs(lines, min_words))
     order = F.struct("none", "doc_id", "key")
-    holders = cut(held_lines.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", F.col("first.key").alias("held")))
-    # tables from files on both sides of every join: adaptive execution splits the partition of a hot line or holder
-    pairs = cut(held_lines.select("line", "key").join(holders, "line").filter("key <> held").select("held", "key").distinct())
+    holders = cut(held_runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", F.col("first.key").alias("held")))
+    # tables from files on both sides of every join: adaptive execution splits the partition of a hot run or holder
+    pairs = cut(held_runs.select("run", "key").join(holders, "run").filter("key <> held").select("held", "key").distinct())
     left = lines.select(F.col("key").alias("held"), F.col("names").alias("a"))
     with_left = cut(pairs.join(left, "held"))
     both = with_left.join(lines.select("key", F.col("names").alias("b"), "words"), "key").select("key", "a", "b", "words")

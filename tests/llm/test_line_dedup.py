@@ -94,3 +94,24 @@ def test_a_passage_that_a_document_repeats_is_found(spark):
     rows = [(1, p), (2, f"{p}\nmine\n{p}"), (3, "other words"), (4, f"q {p}\nx\nq {p}"), (5, f"q {p}")]
     out = op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in out} == {1: p, 2: "mine", 3: "other words", 4: rows[3][1], 5: ""}
+
+
+def test_short_lines_with_many_first_holders(spark):
+    lines = [f"{i} short line of six words" for i in range(9)]
+    rows = [(i, f"{x}\nown {i}") for i, x in enumerate(lines)] + [(20 + i, "\n".join([f"start {i}", *lines])) for i in range(2)]
+    out = {r["doc_id"]: r["text"] for r in op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**dict(rows), 21: "start 1"}
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(9)
+    lines = ["", "a", "b c", "d e f g", "h i j k l m", "n o p q r s t u v w x", "y z"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    want = {}
+    for i, (doc, text) in enumerate(rows):
+        own = text.split("\n")
+        words = [len(x.split()) for x in own]
+        gone = set().union(*[common(t.split("\n"), own, words, op.MIN_WORDS) for _, t in rows[:i]])
+        want[doc] = [x for j, x in enumerate(own) if x and j not in gone]
+    for r in op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [x for x in (r["text"] or "").split("\n") if x] == want[r["doc_id"]]

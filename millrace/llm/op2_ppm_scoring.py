@@ -1,15 +1,22 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model is a trie of byte contexts of up to ORDER bytes. All training texts are counted: tasks count
-the (ORDER + 1)-grams of their texts, shorter grams follow from these, and one shuffle sums them. A gram
-stays in the trie if it makes up at least 1 / TRIE_SHARE of all symbols, at any size of the corpus, so
-the trie has at most TRIE_SHARE grams of each length and may be sent to every executor.
-
-A symbol is coded in the longest context that the trie has. Escape estimation is method C, with the
-occurrences of grams that the trie has dropped added to the escape weight. After an escape the symbols
-of the longer context are excluded from the shorter one. What is excluded depends on the longer context
-alone, since the symbols seen after it were seen after its suffix too, so every context's sums with
-exclusion are computed once. Symbols that no context has are uniform over those not excluded.
+the (ORDER + 1)-grams of their texts, shorter grams follow from these, and one shuffle sums them. Every
+counted gram is kept, so what is learnt grows with the corpus. No machine holds the trie: it lies in the
+shared folder and is dealt by the last NEAR bytes of the context. All longer contexts that end alike are
+in one part, shorter ones, of which there are at most 256^NEAR, are known to every part, and so a part
+codes its symbols through all escapes alone.
+
+The probability of a symbol depends on its (ORDER + 1)-gram only. Grams with at least 1 / HOT_GRAMS of all
+symbols, of which there are at most HOT_GRAMS, are looked up on the spot; the others are joined to their
+logarithms, one row for each text and gram, and each different gram is coded once.
+
+A symbol is coded in the longest context that the trie has. Escape estimation is method C. After an
+escape the symbols of the longer context are excluded from the shorter one. What is excluded depends on
+the longer context alone, since the symbols seen after it were seen after its suffix too, so every
+context's sums with exclusion are computed once. Symbols that no context has are uniform over those not
+excluded. Where TRIE_SHARE is set, grams of less than that share of the symbols are dropped, and their
+occurrences are added to the escape weight.
 
 Texts are coded in UTF-8 with A-Z lower-cased, from a start mark to an end mark; null counts as empty.
 Scores are base-10 logarithms of probabilities; the code length in bits is -score / log10(2).
@@ -29,12 +36,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, crc_bucket, cut, read, runs, utf8
 
-ORDER, TRIE_SHARE, HOT_SHARE = 5, 1 << 20, 1 << 20
+ORDER, HOT_SHARE, HOT_GRAMS = 5, 1 << 20, 1 << 22
+#: A gram of less than 1 / TRIE_SHARE of all symbols is dropped; None drops nothing.
+TRIE_SHARE: int | None = None
+#: Bytes at the end of a context by which the trie is dealt, and grams of a part.
+NEAR, PART_GRAMS = 3, 200_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't have
 SYMBOLS = 256
 #: Grams that a counting task holds before it hands them on.
@@ -85,6 +96,16 @@ def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
+def _counted(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, count) of the different pairs, in order of owner."""
+    if not len(key):
+        return owner, key, np.empty(0, np.int64)
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+    return owner[first], key[first], np.diff(np.append(first, len(key)))
+
+
 def _all_orders(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Grams of every length from the longest; the length stands in the top byte."""
     keys, counts = [key | np.uint64((ORDER + 1) << 56)], [n]
@@ -191,26 +212,33 @@ class Model:
         return out
 
 
-def build(gram: np.ndarray, n: np.ndarray, symbols: int, texts: int) -> Model:
-    """The model of grams (length in the top byte) that the trie keeps, out of so many symbols and texts."""
+def _contexts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each gram, named by the gram's length, and where each begins; grams in order."""
+    context = ((gram & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (gram & np.uint64(0xFF << 56))
+    return context, np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+
+
+def build(gram: np.ndarray, n: np.ndarray, least: int = 1) -> Model:
+    """The model of all grams (length in the top byte) after the contexts at hand; those below the least count are dropped."""
     order = np.argsort(gram)
     gram, n = gram[order], n[order].astype(np.float64)
     if not len(gram):
         none = Table(np.empty(0, np.uint64))
         return Model(none, np.zeros(1), none, np.zeros(1), none, np.zeros((1, 2)), np.zeros((1, 2)), -float(np.log10(SYMBOLS)))
+    context, first = _contexts(gram)
+    total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(gram))))
+    keep = n >= least
+    gram, n, total = gram[keep], n[keep], total[keep]
+    context, first = _contexts(gram)
     grams = Table(gram)
     length = (gram >> np.uint64(56)).astype(np.int64)
     body = gram & np.uint64((1 << 56) - 1)
-    context = (body >> np.uint64(8)) | (length.astype(np.uint64) << np.uint64(56))  # named by the gram length
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     name = context[first]
     size = length[first] - 1
     bare = name & np.uint64((1 << 56) - 1)
+    total = total[first]
     kept = np.add.reduceat(n, first)
-    distinct = np.diff(np.concatenate([first, [len(gram)]])).astype(np.float64)
-    seen = grams.get(bare | (size.astype(np.uint64) << np.uint64(56)))
-    total = np.where(seen >= 0, n[seen], texts)  # only the start marks alone aren't counted as a gram
-    total[size == 0] = symbols
+    distinct = np.diff(np.append(first, len(gram))).astype(np.float64)
     plain = np.stack([_log(total + distinct), _log((total - kept + distinct) / (total + distinct))], axis=1)
     nodes = Table(name)
     mask = lambda bits: (_ONE << (8 * np.maximum(bits, 0)).astype(np.uint64)) - _ONE
@@ -230,15 +258,62 @@ def build(gram: np.ndarray, n: np.ndarray, symbols: int, texts: int) -> Model:
     )
 
 
+def _least(symbols: int) -> int:
+    return 1 if TRIE_SHARE is None else max(1, -(-symbols // TRIE_SHARE))
+
+
 def fit(texts: DataFrame) -> Model:
-    """The model of a one-column table of training texts."""
-    size = texts.select(F.octet_length(F.coalesce(texts.columns[0], F.lit(""))).alias("n")).agg(
-        F.count("*").alias("texts"), F.sum("n").alias("bytes")
-    ).first()
-    symbols = (size["bytes"] or 0) + size["texts"]
-    least = max(1, -(-symbols // TRIE_SHARE))
-    got = count_grams(texts).filter(F.col("n") >= least).toArrow()  # at most TRIE_SHARE grams of a length
-    return build(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy(), symbols, size["texts"])
+    """The whole model of a one-column table of training texts that one machine can hold."""
+    got = count_grams(texts).toArrow()
+    gram, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    return build(gram, n, _least(int(n[gram >> np.uint64(56) == 1].sum())))
+
+
+def _length() -> Column:
+    return F.shiftright("gram", 56)
+
+
+def _part(parts: int) -> Column:
+    """The part of the trie that has the context of a gram longer than NEAR."""
+    return F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND((1 << 8 * NEAR) - 1)), F.lit(parts)).cast("int")
+
+
+def hot_grams(counts: DataFrame, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest grams with at least 1 / HOT_GRAMS of all symbols and their log-probabilities."""
+    least = _least(symbols)
+    hot = F.when(F.col("n") >= max(least, -(-symbols // HOT_GRAMS)), F.struct("gram", "n"))
+    by_context = counts.filter(_length() == ORDER + 1).groupBy(F.shiftright("gram", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count_if(F.col("n") >= least).alias("kinds"), F.collect_list(hot).alias("hot")
+    )
+    got = by_context.select(F.explode("hot").alias("x"), (F.col("total") + F.col("kinds")).alias("below")).select("x.gram", "x.n", "below").toArrow()
+    return got["gram"].to_numpy().view(np.uint64), np.log10(got["n"].to_numpy() / got["below"].to_numpy())
+
+
+def gram_logs(counts: DataFrame, wanted: DataFrame, symbols: int) -> DataFrame:
+    """(gram, log) of the wanted (ORDER + 1)-grams, each coded once by the part of the trie that has its contexts."""
+    least = _least(symbols)
+    near = counts.filter(_length() <= NEAR).toArrow()  # at most 256^NEAR grams of a length
+    shared = counts.sparkSession.sparkContext.broadcast((near["gram"].to_numpy().view(np.uint64), near["n"].to_numpy()))
+    far = counts.filter(_length() > NEAR)
+    parts = max(64, far.count() // PART_GRAMS)
+
+    def code(wanted: pa.Table, own: pa.Table) -> pa.Table:
+        gram, n = shared.value
+        names = wanted["gram"].to_numpy()
+        logs = np.empty(0)
+        if len(names):
+            model = build(np.concatenate([gram, own["gram"].to_numpy().view(np.uint64)]), np.concatenate([n, own["n"].to_numpy()]), least)
+            logs = model.score(names.view(np.uint64) & np.uint64((1 << 56) - 1))
+        return pa.table({"gram": pa.array(names, pa.int64()), "log": pa.array(logs, pa.float64())})
+
+    dealt = wanted.select(_part(parts).alias("part"), "gram").groupBy("part")
+    return dealt.cogroup(far.select(_part(parts).alias("part"), "gram", "n").groupBy("part")).applyInArrow(code, "gram long, log double")
+
+
+def _lists(sizes: list[int] | np.ndarray, keys: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> list[pa.ListArray]:
+    """The keys and the counts of every row as two flat lists, which take less room than structs."""
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(np.asarray(keys).astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.asarray(counts).astype(np.int32)))]
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -269,18 +344,20 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
     vocabulary = cut(count_tokens(learnt))
     sums = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     ends = learnt.count()
+    counts = cut(count_grams(learnt))
+    symbols = counts.filter(_length() == 1).agg(F.sum("n")).first()[0] or 0
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     below = total + 0.5 * (distinct + 1)
     hot = vocabulary.filter(F.col("n") * HOT_SHARE >= total).toArrow()  # at most HOT_SHARE tokens
     name = hot["token"].to_numpy()
     order = np.argsort(name)
-    shared = spark.sparkContext.broadcast((name[order], np.log10((hot["n"].to_numpy()[order] + 0.5) / below), fit(learnt)))
+    shared = spark.sparkContext.broadcast((name[order], np.log10((hot["n"].to_numpy()[order] + 0.5) / below), *hot_grams(counts, symbols)))
     end_log = float(np.log10((ends + 0.5) / below))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pair = pa.struct([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logs, model = shared.value
+        names, logs, hot, hot_log = shared.value
+        table, hot_log = Table(hot), np.append(hot_log, 0.0)
         cache: dict[bytes, tuple[int, float]] = {}  # name and log-probability, 1 for a token that isn't hot
 
         def look_up(words: list[bytes]) -> None:
@@ -297,9 +374,15 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
             texts = utf8(batch.column(1))
             for a, b in runs([len(t) for t in texts]):
                 some = texts[a:b]
-                model_log = np.zeros(len(some))
+                model_log, others, size = np.zeros(len(some)), [], np.zeros(len(some), np.int64)
                 for grams, owner in _segments(some):
-                    model_log += np.bincount(owner, weights=model.score(grams), minlength=len(some))
+                    at = table.get(grams | np.uint64((ORDER + 1) << 56))
+                    model_log += np.bincount(owner, weights=hot_log[at], minlength=len(some))
+                    mine, key, n = _counted(owner[at < 0], grams[at < 0])
+                    size += np.bincount(mine, minlength=len(some))  # owners come in order
+                    others.append((key, n))
+                keys, ns = (np.concatenate([x[k] for x in others] or [np.empty(0, np.int64)]) for k in (0, 1))
+                grams_of = _lists(size, keys, ns)
                 counted = [Counter(t.lower().split()) for t in some]
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
@@ -320,19 +403,16 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
                     base.append(s)
                     rare.append(r)
                 flat = [p for r in rare for p in r]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.int64()), pa.array([n for _, n in flat], pa.int64())], fields=list(pair)),
-                )
+                lists = _lists([len(r) for r in rare], [t for t, _ in flat], [n for _, n in flat])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model_log), lists],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    [batch.column(0).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model_log), *lists, *grams_of],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_n", "others", "others_n"],
                 )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    scored = own.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<token:long,n:long>>")
+    scored = own.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, rare_n array<int>, others array<long>, others_n array<int>")
     rows = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("times"))
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.rare_n").alias("times"))
     found = rare.join(vocabulary, "token", "left").select(
         "row", "times", F.coalesce("n", F.lit(0)).alias("n")
     )
@@ -342,13 +422,17 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
             F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / below)).alias("more"),
         )
     )
-    return rows.drop("rare").join(added, "row", "left").select(
+    others = rows.select("row", F.explode(F.arrays_zip("others", "others_n")).alias("x")).select("row", F.col("x.others").alias("gram"), F.col("x.others_n").alias("times"))
+    # tables from files on both sides: adaptive execution splits the partition of a gram that many texts have
+    logs = cut(gram_logs(counts, others.select("gram").distinct(), symbols))
+    coded = cut(others.join(logs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("coded")))
+    return rows.drop("rare", "rare_n", "others", "others_n").join(added, "row", "left").join(coded, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("coded", F.lit(0.0))).alias("score"),
     )
 
 

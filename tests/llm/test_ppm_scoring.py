@@ -70,3 +70,39 @@ def test_long_texts_are_scored_in_segments_alike(spark, docs, monkeypatch):
     whole = sum(model.score(g).sum() for g, _ in op._segments([text]))
     monkeypatch.setattr(op, "CHUNK_BYTES", 1000)
     assert sum(model.score(g).sum() for g, _ in op._segments([text])) == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("hot", [1, 300])
+def test_grams_by_join_score_like_the_whole_model(spark, docs, monkeypatch, hot):
+    training = docs.filter("doc_id % 3 > 0")
+    model = op.fit(training.select("text"))
+    monkeypatch.setattr(op, "HOT_GRAMS", hot)
+    monkeypatch.setattr(op, "CHUNK_BYTES", 3000)
+    got = {r["doc_id"]: r["score"] for r in op.score(docs, training).collect()}
+    for i, text in docs.select("doc_id", "text").collect():
+        assert got[i] == pytest.approx(sum(model.score(g).sum() for g, _ in op._segments([low(text)])), rel=1e-9)
+
+
+def test_hot_grams_are_scored_like_the_model(spark, docs):
+    counts, model = op.count_grams(docs.select("text")), op.fit(docs.select("text"))
+    symbols = counts.filter("shiftright(gram, 56) = 1").groupBy().sum("n").first()[0]
+    names, logs = op.hot_grams(counts, symbols)
+    assert len(names) == counts.filter("shiftright(gram, 56) = 6").count()
+    assert logs == pytest.approx(model.score(names & op.np.uint64((1 << 56) - 1)), rel=1e-9)
+
+
+def test_rare_grams_are_learnt_at_any_size(spark):
+    rows = [(0, "the same again " * 140_000), (1, "quixotic zephyrs vex jolly fowl"), (2, "the jolly zephyr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams, context, kinds = Counter(), Counter(), Counter()
+    for _, t in rows:
+        b = bytes([op.START]) * op.ORDER + low(t) + bytes([op.END])
+        grams.update(b[p - op.ORDER : p + 1] for p in range(op.ORDER, len(b)))
+    for g, c in grams.items():
+        context[g[:-1]] += c
+        kinds[g[:-1]] += 1
+    got = {r["doc_id"]: r["score"] for r in op.score(docs, docs).collect()}
+    for i, t in rows[1:]:
+        b = bytes([op.START]) * op.ORDER + low(t) + bytes([op.END])
+        own = [b[p - op.ORDER : p + 1] for p in range(op.ORDER, len(b))]
+        assert got[i] == pytest.approx(sum(math.log10(grams[g] / (context[g[:-1]] + kinds[g[:-1]])) for g in own), rel=1e-9)

@@ -17,6 +17,7 @@ need. Repeated rows are packed each. Null ids keep their rows. An empty table gi
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -43,13 +44,14 @@ _LIBRARIES: dict[str, tiktoken.Encoding] = {}
 
 
 def library(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a JSON file; special tokens' strings are ordinary text."""
+    """The byte-level vocabulary of a JSON file with its added tokens, which have their ids inside text too."""
     if path not in _LIBRARIES:
         with open(path, encoding="utf-8") as f:
-            ranks = ranks_of_json(f.read())
-        if max(ranks.values()) >= TERMS:
+            spec = f.read()
+        ranks, added = ranks_of_json(spec), {x["content"]: x["id"] for x in json.loads(spec).get("added_tokens", [])}
+        if max([*ranks.values(), *added.values()]) >= TERMS:
             raise ValueError(f"ids of {path} don't fit 16 bits")
-        _LIBRARIES[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _LIBRARIES[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _LIBRARIES[path]
 
 
@@ -58,9 +60,9 @@ def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library(path, pattern).encode_ordinary
+        encode = library(path, pattern).encode
         for batch in batches:
-            ids = [np.array([*encode(t or ""), END_ID], "<u2").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [np.array([*encode(t or "", allowed_special="all"), END_ID], "<u2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary")

@@ -57,3 +57,16 @@ def test_layout_has_no_padding():
         for s in set(sequence.tolist()):
             n = int(length[sequence == s].sum())
             assert n & (n - 1) == 0 and n <= 2048
+
+
+def test_added_tokens_inside_text_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mark = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"x  {mark}{mark}\n y", f"{mark[:-1]} {mark[1:]}", f"é{mark}  ", "<|fim|> <|ENDOFTEXT|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op.tokenise(docs, path, public_tokenizers.PATTERN).collect():
+        want = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [*want, op.END_ID]
+        assert (50256 in want) == (mark in texts[r["doc_id"]])

@@ -8,8 +8,8 @@ A scan finds per rule the leftmost non-overlapping matches. Spark has no functio
 all matches, but the pieces between matches (``split``) and the matches themselves
 (``regexp_extract_all``) alternate, so running sums of their lengths are the positions, in code points.
 
-Kinds ``assign``, ``access`` and ``hex`` are the base rules. The method adds ``key`` (the header of a
-private key block) and ``hook`` (tokens with the prefixes of public code and chat hosts).
+Kinds ``assign``, ``access`` and ``hex`` are the base rules. The method adds ``key`` (a private key
+block: header, body and footer) and ``hook`` (tokens with the prefixes of public code and chat hosts).
 
 Null texts count as empty. Texts of any length are scanned whole. Repeated rows and null ids keep their
 rows. An empty table gives an empty result. Only the id and text columns are read.
@@ -24,17 +24,24 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 
+#: A private key from its header to its footer of the same name, with any headers (Proc-Type) between; without a
+#: footer, to the end of the lines in base64. Line ends may be written out as in JSON.
+_EOL = r"(?:\s|\\[rnt])"
+_KEY = (
+    r"-----BEGIN ((?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?)-----"
+    rf"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1-----|(?:{_EOL}++[A-Za-z-]++: [^\r\n\\]*+)*+(?:{_EOL}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_EOL}++[A-Za-z0-9+/]*+={{1,2}})?+)"
+)
 #: kind, pattern, group whose length counts, least length. A match that is too short is dropped after
 #: it has taken its place, so patterns must not be narrowed to the length where that changes matches.
 RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1),
+    ("key", _KEY, 0, 1),
     ("hook", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 SPAN = "struct<start:int,kind:int,end:int>"
 _NONE = f"cast(array() as array<{SPAN}>)"

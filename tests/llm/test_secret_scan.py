@@ -62,3 +62,21 @@ def test_stage_masks_secrets_and_keeps_documents(spark):
     got = {r["doc_id"]: r for r in op.stage(spark, docs, "").collect()}
     assert got[0]["text"] == f"a {op.MASK} b" and got[0]["n_chars"] == len(got[0]["text"])
     assert got[1]["text"] == "clean" and got[2]["text"] is None
+
+
+def test_whole_private_keys_are_masked(spark):
+    rng = random.Random(4)
+    line = lambda n=64: "".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    body = "\n".join([line(), line(), line(), line(30) + "=="])
+    block = lambda name, inside=body: f"-----BEGIN {name}-----\n{inside}\n-----END {name}-----"
+    rows = [f"see\n{block(n)}\nafter it" for n in ("PRIVATE KEY", "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "X25519 PRIVATE KEY", "ENCRYPTED PRIVATE KEY")]
+    rows.append(f"see\n{block('RSA PRIVATE KEY', 'Proc-Type: 4,ENCRYPTED' + chr(10) + 'DEK-Info: AES-128-CBC,00FF' + chr(10) * 2 + body)}\nafter it")
+    rows.append(f"see\n{block('PRIVATE KEY').replace(chr(10), chr(92) + 'n')}\nafter it")
+    rows.append(f"see\n-----BEGIN RSA PRIVATE KEY-----\n{body}\nafter it")
+    rows.append(f"see\n{block('PRIVATE KEY')}\nand\n{block('EC PRIVATE KEY', line(100_000))}\nafter it")
+    rows.append(f"see\n{block('PUBLIC KEY')}\nafter it")
+    got = {r["doc_id"]: r["text"] for r in op.stage(spark, table(spark, rows), "").collect()}
+    for i in range(8):
+        assert got[i] == f"see\n{op.MASK}\nafter it"
+    assert got[8] == f"see\n{op.MASK}\nand\n{op.MASK}\nafter it"
+    assert "BEGIN PUBLIC KEY" in got[9]

@@ -1,9 +1,9 @@
-"""Byte-level BPE over distinct units of text, so that repeated words are encoded once.
+"""Byte-level BPE: vocabulary files, units of text that are encoded apart, and the replay of merges.
 
-A text is cut before every space and line feed. If no two white-space characters are neighbours,
-each unit (a word with the space or line feed before it) is split by the pretokenizer exactly as
-inside the whole text, because the pattern looks back at nothing and looks ahead at most at one
-character, and a unit ends before white space. Other texts are encoded whole.
+A text is cut wherever white space follows something else. Each unit (a run of white space with the
+other characters behind it) is split by the pretokenizer exactly as inside the whole text, if no match
+of the pattern has white space behind another character and it looks at most one character ahead: that
+character lies in the unit, or the text ends there.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ import base64
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 
-_SPACE = re.compile(r"\s")
-#: Units held by a worker; beyond that the cache starts anew.
-CACHE_UNITS = 400_000
+#: Unicode's White_Space, as the pretokenizers' \s.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 ID = np.dtype("<u4")
 
@@ -45,21 +46,29 @@ class MergeReplay:
     """Encodes many words together by replaying merges in rank order over an inverted index.
 
     The index leads from a rank, which names the pairs that merge to it, to the positions of those
-    pairs in all words. The lowest rank is applied to all its positions, and only the pairs beside a
-    merged position are looked up and indexed anew. A word therefore sees its merges in the order in
-    which it would see them alone: lowest rank first, from the left.
+    pairs in all words. The lowest rank is applied to all its positions at once, and only the pairs
+    beside a merged position are looked up and indexed anew. A word sees its merges in the order in
+    which it would see them alone, lowest rank first and from the left: of overlapping pairs every
+    other one is merged, and where a merge makes a pair of a lower rank, the rest of that word waits.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pair = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.known: dict[int, int] = {}  # a << 32 | b to the rank of that pair
-
-    def _rank(self, pair: int) -> int:
-        r = self.known[pair] = self.ranks.get(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF], -1)
-        return r
+        merges = {}
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    merges[a << 32 | b] = r
+        self.pairs = np.fromiter(sorted(merges), np.int64, len(merges))
+        self.merged = np.array([*[merges[x] for x in self.pairs.tolist()], -1], np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, -1 if it doesn't merge; a token of -1 is none."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = -1
+        return np.where(self.pairs[at] == pair, self.merged[at], -1) if len(self.pairs) else np.full(len(pair), -1)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word."""
@@ -68,96 +77,92 @@ class MergeReplay:
         n, ends = len(raw), np.cumsum(sizes)
         if not n:
             return [b"" for _ in words]
-        first = np.full(n, -1, np.int64)
-        first[:-1] = self.pair[raw[:-1], raw[1:]]
-        first[ends[sizes > 0] - 1] = -1
-        at = np.flatnonzero(first >= 0)
-        at = at[np.argsort(first[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(first[at])) + 1
-        index = {int(first[p[0]]): p.tolist() for p in np.split(at, cuts) if len(p)}
-        after = np.arange(1, n + 1)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends[sizes > 0] - 1] = -1
-        before = np.arange(-1, n - 1)
         before[(ends - sizes)[sizes > 0]] = -1
-        token, now, after, before = self.single[raw].tolist(), first.tolist(), after.tolist(), before.tolist()
-        heap = list(index)
-        heapq.heapify(heap)
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        known, rank = self.known, self._rank
+        token = self.single[raw]
+        # a place behind all others, which stands for no neighbour
+        token, after, before, now = (np.append(x, -1) for x in (token, after, before, np.full(n, -1)))
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray, rank: np.ndarray) -> None:
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = [*(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            start = 0
+            for r, end in zip(rank[[0, *cuts[:-1]]].tolist(), cuts):
+                if r in index:
+                    index[r].append(at[start:end])
+                else:
+                    index[r] = [at[start:end]]
+                    heapq.heappush(heap, r)
+                start = end
+
+        inner = np.flatnonzero(after[:n] >= 0)
+        now[inner] = self._ranks(token[inner], token[inner + 1])
+        inner = inner[now[inner] >= 0]
+        if len(inner):
+            add(inner, now[inner])
         while heap:
             r = heapq.heappop(heap)
-            positions = sorted(index.pop(r))
-            for i, p in enumerate(positions):
-                if now[p] != r:
-                    continue  # a neighbour has merged meanwhile
-                q = after[p]
-                token[p], token[q], now[q] = r, -1, -1
-                n2, lower = after[q], False
-                after[p], now[p] = n2, -1
-                if n2 >= 0:
-                    before[n2] = p
-                    pair = r << 32 | token[n2]
-                    x = now[p] = known[pair] if pair in known else rank(pair)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(p)
-                        else:
-                            index[x] = [p]
-                            heapq.heappush(heap, x)
-                            lower |= x < r
-                l = before[p]
-                if l >= 0:
-                    pair = token[l] << 32 | r
-                    x = now[l] = known[pair] if pair in known else rank(pair)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(l)
-                        else:
-                            index[x] = [l]
-                            heapq.heappush(heap, x)
-                            lower |= x < r
-                if lower:  # a lower rank has appeared: it goes first
-                    index[r] = positions[i + 1 :]
+            lists = index.pop(r)
+            p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            p = p[now[p] == r]  # the others have lost a token to a neighbour
+            if not len(p):
+                continue
+            q = after[p]
+            beside = p[1:] == q[:-1]
+            if beside.any():  # of pairs that overlap, the first, the third and so on
+                run = np.flatnonzero(np.concatenate([[True], ~beside]))
+                nth = np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))
+                p, q = p[nth % 2 == 0], q[nth % 2 == 0]
+            right, left = after[q], before[p]
+            joined = np.zeros(len(p), bool)  # the pair merged just before stands on the left
+            joined[1:] = right[:-1] == p[1:]
+            on_right = self._ranks(np.full(len(p), r), token[right])
+            on_left = self._ranks(np.where(joined, r, token[left]), np.full(len(p), r))
+            lower = ((on_right >= 0) & (on_right < r)) | ((on_left >= 0) & (on_left < r))
+            if lower.any():
+                word, passed = owner[p], np.cumsum(lower) - lower
+                waits = passed > passed[np.searchsorted(word, word)]
+                if waits.any():
+                    index[r] = [p[waits]]
                     heapq.heappush(heap, r)
-                    break
-        flat = np.array(token, np.int64)
-        kept = np.concatenate([[0], np.cumsum(flat >= 0)])
-        flat, out, start = flat[flat >= 0].astype(ID).tobytes(), [], 0
+                    go = ~waits
+                    p, q, right, left, joined, on_right, on_left = (x[go] for x in (p, q, right, left, joined, on_right, on_left))
+            token[p], token[q], now[q] = r, -1, -1
+            after[p], before[right] = right, p
+            if joined.any():
+                on_right = self._ranks(np.full(len(p), r), token[right])
+            now[p] = on_right
+            alone = ~joined & (left >= 0)
+            left, on_left = left[alone], on_left[alone]
+            now[left] = on_left
+            at, rank = np.concatenate([p, left]), np.concatenate([on_right, on_left])
+            some = rank >= 0
+            if some.any():
+                add(at[some], rank[some])
+        kept = np.concatenate([[0], np.cumsum(token[:n] >= 0)])
+        flat, out, start = token[token >= 0].astype(ID).tobytes(), [], 0
         for e in (kept[ends] * ID.itemsize).tolist():
             out.append(flat[start:e])
             start = e
         return out
 
 
-class Units:
-    """Ids of whole texts as packed 32-bit integers, each distinct unit encoded once.
+def parted(text: str) -> list[str] | None:
+    """The units of a text by its spaces and line feeds: the first as it is, the others without their space.
 
-    ``encode`` gets distinct strings and returns the packed ids of each; ``whole`` encodes a text in
-    which white-space characters are neighbours.
+    None if white space stands at an end, beside other white space, or is of another kind; ``UNIT`` cuts these.
     """
+    odd = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in odd) or not text.isascii() and _WIDE.search(text):
+        return None
+    return text.replace("\n", " \n").split(" ")
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes]):
-        self.encode, self.whole = encode, whole
-        self.units: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        units, starts = self.units, self.starts
-        if len(units) + len(starts) > CACHE_UNITS:
-            units.clear()
-            starts.clear()
-        new = {u for x in split for u in x[1:] if u not in units}
-        some = [u for u in new if (b := u[1:] if u[:1] == "\n" else u) and not _SPACE.search(b)]
-        units.update(zip(some, self.encode([u if u[0] == "\n" else " " + u for u in some])))
-        new = {x[0] for x in split if x[0] not in starts}
-        some = [u for u in new if u and not _SPACE.search(u)]
-        starts.update(zip(some, self.encode(some)))
-        out = []
-        for t, x in zip(texts, split):
-            try:
-                out.append(b"".join([starts[x[0]], *[units[u] for u in x[1:]]]))
-            except KeyError:
-                out.append(self.whole(t) if t else b"")
-        return out
+
+def whole(part: str) -> str:
+    """The unit of any part but the first."""
+    return part if part[0] == "\n" else " " + part

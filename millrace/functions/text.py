@@ -108,6 +108,11 @@ def without_prefix(c: Column | str, prefix: str) -> Column:
     return F.when(F.startswith(col(c), F.lit(prefix)), F.substring(col(c), len(prefix) + 1, 1 << 30)).otherwise(col(c))
 
 
+def spaced(c: Column | str) -> Column:
+    """Underscores as spaces."""
+    return F.replace(col(c), F.lit("_"), F.lit(" "))
+
+
 def leading_imports(c: Column | str) -> Column:
     """Import lines up to the first other line that is not blank."""
     every = lines(c)

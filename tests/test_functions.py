@@ -114,10 +114,28 @@ def test_code_helpers():
     assert "def f(" in code.renamed("def g(x):\n    return g(x - 1)", "f")
     assert [k for k, _ in code.repairs("```py\ndef main(argv=None):\n    pass\n```")] == ["strip_markdown_fence", "append_main"]
     assert code.repairs("x = 1") == []
-    done = code.completion_code("    return x + 1", "import os\ndef f(x):\n", "f")
-    assert done == "import os\ndef f(x):\n    return x + 1"
-    whole = code.completion_code("```python\ndef f(x):\n    return 1\n```", "import os\ndef f(x):\n", "f")
-    assert whole == "import os\n\ndef f(x):\n    return 1"
+
+
+def test_completions(spark):
+    done = lambda reply, prompt: one(spark, code.completion_code("r", "p", "n"), r=reply, p=prompt, n="f")
+    prompt = "import os\ndef f(x):\n"
+    assert done("    return x + 1", prompt) == "import os\ndef f(x):\n    return x + 1"
+    assert done("return x + 1", prompt) == "import os\ndef f(x):\n    return x + 1"
+    assert done("```python\ndef f(x):\n    return 1\n```", prompt) == "import os\n\ndef f(x):\n    return 1"
+    assert done("```python\n\ndef g(x):\n    return 1\nassert g(1)\n```", prompt) == "import os\n\ndef f(x):\n    return 1"
+    # the name asked for beats another, and the later of equals stays
+    assert done("```\ndef f(x):\n    return 1\n```\n```\ndef g(x):\n    return 2\n```", "") == "def f(x):\n    return 1"
+    assert done("```\ndef f(x):\n    return 1\n```\n```\ndef f(x):\n    return 2\n```", "") == "def f(x):\n    return 2"
+    assert done(None, "def f(x):\n") == "def f(x):\n"
+
+
+def test_python_2():
+    old = "def main(n=3):\n    for i in xrange(3):\n        print i, 'x'\n    try:\n        s = raw_input()\n    except ValueError, e:\n        print\n"
+    made = dict(code.repairs(old))
+    assert set(made) == {"python2_to_python3", "python2_to_python3_and_main"}
+    new = made["python2_to_python3"]
+    assert code.Snippet(new).compiles and "print(i, 'x')" in new and "except ValueError as e:" in new and "range(3)" in new
+    assert code.from_python2("print(1)") is None and code.from_python2("print 1 +") is None
 
 
 def test_arrays(spark):

@@ -8,7 +8,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 _FAILURES = (ValueError, SyntaxError, TypeError, MemoryError, RecursionError)
 
@@ -98,3 +98,14 @@ def values_equal(expected: pd.Series, actual: pd.Series) -> pd.Series:
 def values_equal_unwrapped(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """As values_equal, or equal to the only element of the expected list."""
     return pd.Series([_same_json(a, b, True) for a, b in zip(expected, actual)])
+
+
+@F.pandas_udf(StructType([StructField("bad", LongType()), StructField("tests", ArrayType(StringType()))]))
+def call_tests(calls: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+    """Of a row's calls and expected outputs: calls that can't be read, and the others as JSON tests in order."""
+    bad, tests = [], []
+    for texts, wanted in zip(calls, outputs):
+        read = [(read_call(c or ""), read_literal(o)) for c, o in zip(() if texts is None else texts, () if wanted is None else wanted)]
+        bad.append(sum(kwargs is None for kwargs, _ in read))
+        tests.append([f'{{"kwargs":{kwargs},"output":{"null" if output is None else output}}}' for kwargs, output in read if kwargs is not None])
+    return pd.DataFrame({"bad": bad, "tests": tests})

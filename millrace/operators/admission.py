@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
-from ..functions.values import call_kwargs, safe_literal
+from ..functions.values import call_tests
 
 
 def _array(v: Column, path: str) -> Column:
@@ -48,28 +48,15 @@ def structural_reason(unparseable_call: Column | None = None) -> Column:
 def admitted(rows: DataFrame) -> DataFrame:
     """Rows with ``reject_reason``, ``interface_kind`` and ``tests`` (JSON texts).
 
-    Calls and literals of function tests are Python syntax, so those go through Arrow; the rest is native.
+    Calls and literals of function tests are Python syntax, so the arrays of a row go through Arrow, row by
+    row: equal rows stay apart, and nothing is shuffled. The rest is native.
     """
     io = F.try_parse_json("input_output")
     items = F.coalesce(_array(io, "$"), F.array().cast("array<variant>"))
-    call = F.transform(items, lambda x: F.try_variant_get(x, "$.input", "string"))
-    # calls are parsed one by one in their own rows, then gathered by row
-    keyed = rows.withColumn("__row", F.xxhash64("id", "input_output"))
-    calls = (
-        keyed.filter(F.col("dataset") == "leetcode2k")
-        .select("__row", F.posexplode(call).alias("at", "call"), items.alias("items"))
-        .select("__row", "at", call_kwargs(F.coalesce("call", F.lit(""))).alias("kwargs"), safe_literal(F.expr("try_variant_get(items[at], '$.output', 'string')")).alias("output"))
-        .groupBy("__row")
-        .agg(
-            F.count_if(F.col("kwargs").isNull()).alias("bad"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "kwargs", "output"))),
-                lambda x: F.concat(F.lit('{"kwargs":'), x["kwargs"], F.lit(',"output":'), F.coalesce(x["output"], F.lit("null")), F.lit("}")),
-            ).alias("calls"),
-        )
-    )
-    joined = keyed.join(calls, "__row", "left")
-    reason = structural_reason(F.coalesce(F.col("bad") > 0, F.lit(False)))
+    listed = F.when(F.col("dataset") == "leetcode2k", items).otherwise(F.array().cast("array<variant>"))
+    field = lambda name: F.transform(listed, lambda x: F.try_variant_get(x, name, "string"))
+    joined = rows.withColumn("__calls", call_tests(field("$.input"), field("$.output")))
+    reason = structural_reason(F.col("__calls.bad") > 0)
     kind = F.when(F.col("dataset") == "leetcode2k", "leetcode_function").otherwise(F.concat(F.lit("taco_"), F.col("mode")))
     inputs = F.coalesce(_array(io, "$.inputs"), F.array().cast("array<variant>"))
     outputs = F.coalesce(_array(io, "$.outputs"), F.array().cast("array<variant>"))
@@ -79,10 +66,10 @@ def admitted(rows: DataFrame) -> DataFrame:
     ).otherwise(F.to_json(o))
     name = F.when(F.col("mode") == "function", "args").otherwise("input")
     pairs = F.zip_with(inputs, outputs, lambda i, o: F.concat(F.lit('{"'), name, F.lit('":'), F.to_json(i), F.lit(',"output":'), single(o), F.lit("}")))
-    tests = F.when(F.col("dataset") == "leetcode2k", F.col("calls")).otherwise(pairs)
+    tests = F.when(F.col("dataset") == "leetcode2k", F.col("__calls.tests")).otherwise(pairs)
     out = joined.withColumn("reject_reason", reason)
     ok = F.col("reject_reason").isNull()
-    return out.withColumn("interface_kind", F.when(ok, kind)).withColumn("tests", F.when(ok, tests)).drop("__row", "bad", "calls")
+    return out.withColumn("interface_kind", F.when(ok, kind)).withColumn("tests", F.when(ok, tests)).drop("__calls")
 
 
 def over_length(lengths: list[str], most: int) -> Column:

@@ -75,3 +75,17 @@ def outside_or_raise(path: str, root: str) -> None:
 
     if Path(path).resolve().is_relative_to(Path(root).resolve()):
         raise ValueError(f"{path} lies inside {root}")
+
+
+def options_or_raise(options: dict, allowed: dict[str, tuple]) -> None:
+    """Every option is known and has one of its values."""
+    wrong = [f"{k}={v}" for k, v in options.items() if k not in allowed or v not in allowed[k]]
+    if wrong:
+        raise ValueError(f"options not allowed: {', '.join(wrong)}")
+
+
+def inputs_digest(files: DataFrame) -> DataFrame:
+    """One row: files, bytes and a SHA-256 over the (path, sha256) of a job's inputs, however they are listed."""
+    each = F.concat(F.col("path"), F.lit(" "), F.col("sha256"))
+    whole = F.sha2(F.array_join(F.array_sort(F.collect_list(each)), "\n").cast("binary"), 256)  # a job's inputs are few files
+    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), whole.alias("inputs_sha256"))

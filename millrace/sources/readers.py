@@ -15,13 +15,19 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As jsonl, but a line that is no object stops the query with its file and number."""
-    rows = numbered_lines(spark, path).filter("trim(value) <> ''")
-    at = F.concat(F.col("file"), F.lit(":"), F.col("line"))
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    ok = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
-    checked = F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object at "), at)).cast("string"))
-    return rows.select(F.from_json(checked, schema).alias("row")).select("row.*")
+    """As jsonl, but a line that is no object is an error with its file and number.
+
+    Lines are checked where they lie, files of any size in splits; only of a file with a bad line are the
+    lines numbered, to say where it is.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    ok = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")), F.lit(False))
+    rows = lines.filter("trim(value) <> ''")
+    bad = rows.filter(~ok).limit(1).collect()
+    if bad:
+        number = numbered_lines(spark, bad[0]["file"]).filter("trim(value) <> ''").filter(~ok).agg(F.min("line")).first()[0]
+        raise ValueError(f"not a JSON object at {bad[0]['file']}:{number}")
+    return rows.select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,14 +102,26 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
 
 
-def first_existing(paths: list[str]) -> str:
-    """The first path of several layouts that exists; all are named if none does."""
+def first_existing(paths: list[str], spark: SparkSession | None = None) -> str:
+    """The first path of several layouts that exists; all are named if none does.
+
+    With a session the paths may lie in any store that it reads, else on this machine.
+    """
     for p in paths:
-        if Path(p).exists():
+        if Path(p).exists() if spark is None else file_system(spark, p).exists(hadoop_path(spark, p)):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """The store that holds a path, by its scheme or the session's default."""
+    return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def config(path: str) -> dict | list:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import set_fingerprint
+from .readers import file_digests, file_system, hadoop_path
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -44,18 +46,44 @@ def append_pending(df: DataFrame, path: str, done_ids: DataFrame | None, key: st
     pending.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def atomic_json(value: object, path: str) -> None:
-    """Written beside the target, then renamed: readers see the old or the new file."""
-    target = Path(path)
-    handle, temp = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
-    os.replace(temp, target)
-
-
-def exclusive_json(value: object, path: str) -> None:
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
+def atomic_json(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """Written beside the target, then renamed: readers see the old or the new file.
+
+    With a session the path may lie in any store that it writes, else on this machine.
+    """
+    text = json.dumps(value, ensure_ascii=False, indent=2)
+    if spark is None:
+        target = Path(path)
+        handle, temp = tempfile.mkstemp(dir=target.parent)
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(temp, target)
+        return
+    fs, temp = file_system(spark, path), f"{path}.{uuid.uuid4().hex}"
+    _put(spark, temp, text)
+    jvm = spark.sparkContext._jvm
+    option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    several = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    several[0] = option
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(hadoop_path(spark, temp), hadoop_path(spark, path), several)
+
+
+def exclusive_json(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """Refuses to overwrite."""
+    text = json.dumps(value, ensure_ascii=False, indent=2)
+    if spark is None:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(text)
+        return
+    if file_system(spark, path).exists(hadoop_path(spark, path)):
+        raise FileExistsError(path)
+    _put(spark, path, text)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    out = file_system(spark, path).create(hadoop_path(spark, path), False)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:
@@ -63,6 +91,13 @@ def manifest(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), set_fingerprint(key).alias("key_digest"))
 
 
+def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, rows, bytes, sha256) of text files: what a receipt lists of an artifact."""
+    lines = spark.read.text(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    digests = file_digests(spark, pattern)
+    return digests.join(lines, digests["path"] == lines["file"], "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", "sha256")
+
+
 def relative_or_whole(path: str, base: str) -> str:
     p = Path(path).resolve()
     return str(p.relative_to(Path(base).resolve())) if p.is_relative_to(Path(base).resolve()) else str(p)

@@ -13,12 +13,15 @@ def records(spark: SparkSession, folder: str, files_per_batch: int = 64) -> Data
     return spark.readStream.schema(EVAL_RECORD).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def status_counts(stream: DataFrame) -> DataFrame:
+def status_counts(stream: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
     """(dataset, status, n), each record id counted once; for ``complete`` output.
 
-    The ids are kept as state, so a record that a resumed run writes again changes nothing.
+    Ids are kept as state, so a record that a resumed run writes again changes nothing. With a ``time`` column
+    they are kept for ``late`` only and the state has a bound; without one it grows with the records.
     """
-    return stream.dropDuplicates(["id", "dataset"]).groupBy("dataset", "status").agg(F.count("*").alias("n"))
+    keys = ["id", "dataset"]
+    once = stream.dropDuplicates(keys) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return once.groupBy("dataset", "status").agg(F.count("*").alias("n"))
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:

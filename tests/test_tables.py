@@ -61,6 +61,32 @@ def test_writers(spark, tmp_path):
     assert "| b | 1 | 50.00% |" in writers.pipe_table([{"name": "a", "n": 1}, {"name": "b", "n": 1}], 2, "tag")
 
 
+def test_small_files_in_any_store(spark, tmp_path):
+    path = f"file://{tmp_path}/m.json"
+    for value in ({"a": 1}, {"a": "é"}):
+        writers.atomic_json(value, path, spark)
+        assert json.loads((tmp_path / "m.json").read_text()) == value
+    with pytest.raises(FileExistsError):
+        writers.exclusive_json({}, path, spark)
+    writers.exclusive_json({}, f"file://{tmp_path}/new.json", spark)
+    assert readers.first_existing([f"file://{tmp_path}/none", f"file://{tmp_path}/new.json"], spark).endswith("new.json")
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing([f"file://{tmp_path}/none"], spark)
+
+
+def test_job_plans(spark, tmp_path):
+    contracts.options_or_raise({"mode": "full"}, {"mode": ("full", "random")})
+    for wrong in ({"mode": "other"}, {"speed": 1}):
+        with pytest.raises(ValueError):
+            contracts.options_or_raise(wrong, {"mode": ("full", "random")})
+    for name in "ab":
+        (tmp_path / name).write_text(name)
+    first = contracts.inputs_digest(readers.file_digests(spark, str(tmp_path / "*"))).first()
+    assert (first["files"], first["bytes"]) == (2, 2)
+    (tmp_path / "b").write_text("c")
+    assert contracts.inputs_digest(readers.file_digests(spark, str(tmp_path / "*"))).first()["inputs_sha256"] != first["inputs_sha256"]
+
+
 def test_tag_tables():
     assert len(classify.tag_map(classify.TAGS)) == 108
     assert len(classify.tag_map(classify.EXACT_TAGS)) == 63
@@ -105,6 +131,24 @@ def test_admission(spark):
     assert got[11]["interface_kind"] == "taco_stdin" and got[0]["tests"] is None
 
 
+def test_equal_rows_keep_their_own_tests(spark):
+    calls = '[{"input": "a = 1", "output": "[2]"}, {"input": "a = 3", "output": "None"}]'
+    rows = spark.createDataFrame([("same", "leetcode2k", "function", "f", "", calls)] * 3, "id string, dataset string, mode string, entry_point string, starter_code string, input_output string")
+    got = admission.admitted(rows).collect()
+    assert len(got) == 3
+    for r in got:
+        assert [json.loads(t) for t in r["tests"]] == [{"kwargs": {"a": 1}, "output": [2]}, {"kwargs": {"a": 3}, "output": None}]
+
+
+def test_tags_without_a_category_stop_a_run(spark):
+    dim = classify.dimension(spark, classify.EXACT_TAGS)
+    rows = spark.createDataFrame([(["Array", "Trie"],), (["Poetry"],)], "tags array<string>")
+    assert classify.all_mapped_or_raise(rows.limit(1), "tags", dim).count() == 1
+    with pytest.raises(ValueError, match="Poetry"):
+        classify.all_mapped_or_raise(rows, "tags", dim)
+    assert dim.filter("tag = 'Trie'").first()["note"].startswith("Trie is a concrete data structure")
+
+
 def test_audit_precedence(spark):
     lit = lambda v: F.lit(v).cast("boolean")
     ask = lambda **k: spark.range(1).select(

@@ -155,3 +155,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def safe_ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.greatest(b.cast("double"), F.lit(1.0))
+
+
+def whole_seconds(c: Column) -> Column:
+    """Seconds as a limit in whole ones: rounded up, 1 at least."""
+    return F.greatest(F.ceil(c), F.lit(1).cast("long"))
+
+
+def rounded_seconds(c: Column, digits: int = 3) -> Column:
+    """Halves go to the even neighbour."""
+    return F.bround(c, digits)

@@ -77,8 +77,21 @@ def _takes(spec: dict, chosen: dict[str, int], pools: dict[str, int], seed: int)
     return {c: _checked(spec["name"], n, size) for c, size in chosen.items()}
 
 
+#: Categories that a study may have; a column with more is none.
+MOST_CATEGORIES = 10_000
+
+
 def pool_sizes(pool: DataFrame, category: str = "primary_category") -> dict[str, int]:
-    return {r[category]: r["n"] for r in pool.groupBy(category).agg(F.count("*").alias("n")).collect()}
+    """Rows of each category, of which there are at most MOST_CATEGORIES."""
+    rows = pool.groupBy(category).agg(F.count("*").alias("n")).limit(MOST_CATEGORIES + 1).collect()
+    if len(rows) > MOST_CATEGORIES:
+        raise ValueError(f"{category} has more than {MOST_CATEGORIES} values")
+    return {r[category]: r["n"] for r in rows}
+
+
+def largest(pool: DataFrame, category: str = "primary_category") -> DataFrame:
+    """One row: the largest category, the first by name of equal ones, and its rows."""
+    return pool.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), category).limit(1)
 
 
 def build(pool: DataFrame, recipe: list[dict], seed: int, row_id: str = "problem_id", category: str = "primary_category") -> DataFrame:

@@ -56,6 +56,11 @@ def audit_status(
     return F.when(admitted & F.coalesce(duplicate, F.lit(False)), "exact_prompt_answer_duplicate").otherwise(status)
 
 
+def rejected_rows(audited: DataFrame) -> DataFrame:
+    """Rows that an audit has not kept, with the reason, for export."""
+    return audited.filter(~F.col("status").isin("kept_verified", "repaired_verified"))
+
+
 def first_repair(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(id, kind, code) of the first candidate (id, pos, kind, code) whose recorded verdict passed."""
     passed = candidates.join(verdicts.filter("passed").select("id", "pos"), ["id", "pos"])

@@ -86,6 +86,18 @@ def best_choice(scores: Column | str) -> Column:
     return F.array_position(s, F.array_max(s)) - 1
 
 
+def mean_log_probs(choices: Column | str) -> Column:
+    """Mean log-probability of each choice's tokens (an array for each choice); a choice without tokens has the least."""
+    c = F.col(choices) if isinstance(choices, str) else choices
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(c, lambda xs: F.when(F.size(xs) > 0, total(xs) / F.size(xs)).otherwise(F.lit(float("-inf"))))
+
+
+def target_type(target: Column | str, bodies: Column | None = None) -> Column:
+    """``numeric`` for a target with a number, else ``text``."""
+    return F.when(num.first_number(target, bodies).isNotNull(), "numeric").otherwise("text")
+
+
 def grade_number(reply: str, target: str, bodies: tuple[Column, Column] | None = None) -> Column:
     """Numeric answer of a reply cut at the next question."""
     a, b = bodies or (None, None)

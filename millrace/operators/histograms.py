@@ -45,6 +45,23 @@ def zero_filled(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return names.join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def by_count(df: DataFrame, column: str) -> DataFrame:
+    """(name, n), the largest first, equal counts by name."""
+    return frequency(df, column).orderBy(F.desc("n"), "name")
+
+
+def folder_totals(df: DataFrame) -> DataFrame:
+    """(folder, n): rows of a scan by the folder of their file."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+    return df.select(folder.alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
+
+
+def supervised_lengths(df: DataFrame, labels: Column, ignored: int, *by: str) -> DataFrame:
+    """Rows, mean and largest number of labels that count, and the longest sequence."""
+    counted = F.size(F.filter(labels, lambda x: x != ignored))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(counted).alias("mean"), F.max(counted).cast("long").alias("most"), F.max(F.size(labels)).cast("long").alias("longest"))
+
+
 def composite(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.concat(named(a), F.lit("::"), named(b)).alias("name")).agg(F.count("*").alias("n"))
 

@@ -71,6 +71,11 @@ def fused(first: DataFrame, second: DataFrame, defaults: dict[str, object]) -> D
     return both.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def united_by(first: DataFrame, second: DataFrame, category: str) -> DataFrame:
+    """All rows of both, those of one category together, ready for a write by category; each side may lack columns."""
+    return first.unionByName(second, allowMissingColumns=True).repartition(category, F.pmod(F.xxhash64(*second.columns), F.lit(16)))
+
+
 def group_normalised(df: DataFrame, group: str, score: str, epsilon: float = 1e-6) -> DataFrame:
     """Scores less the group's mean over its deviation; groups of one score are dropped."""
     w = Window.partitionBy(group)

@@ -86,6 +86,33 @@ def sft_records(rows: DataFrame, arm: Column, source_bucket: Column, removed: Co
     return out.select(F.coalesce("dataset", F.lit("taco")).alias("dataset"), *names.split(), messages(F.col("prompt"), F.col("answer")).alias("messages"))
 
 
+def present(*columns: str) -> Column:
+    """Map of the named columns that have a value, as text."""
+    every = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))
+    return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def as_text(*columns: str) -> Column:
+    """struct of the columns, each as text."""
+    return F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
+
+
+def verified_sft_records(rows: DataFrame, contract: Column, metadata: list[str]) -> DataFrame:
+    """Training rows of verified solutions: contract, entry point, and what the verification has found.
+
+    ``rows`` are admitted problems with ``status`` and ``repair_kind`` (null if the solution stands as it was).
+    """
+    answer = F.concat(F.lit("\n"), strip(F.coalesce("canonical_solution", F.lit(""))), F.lit("\n"))
+    asked = rows.withColumns({"output_contract": contract, "prompt": contract_prompt(contract), "answer": answer})
+    found = F.struct(
+        F.col("status"), F.col("repair_kind").alias("repair"), F.col("repair_kind").isNotNull().alias("repaired"), F.size("tests").alias("test_count"), F.lit(True).alias("all_tests_passed")
+    )
+    return asked.select(
+        "id", "dataset", "interface_kind", "output_contract", F.coalesce("entry_point", F.lit("")).alias("entry_point"), "prompt", "answer",
+        messages(F.col("prompt"), F.col("answer")).alias("messages"), found.alias("verification"), present(*metadata).alias("metadata"),
+    )
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """All rows with ``usable``: a solution, and a question or a name. Tagged once, split later."""
     return rows.withColumn("usable", ~blank("canonical_solution") & (~blank("question") | ~blank("name")))

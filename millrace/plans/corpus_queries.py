@@ -301,12 +301,12 @@ UNION ALL SELECT s_suppkey, s_name, 'NONE', 'supplier' FROM supplier
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = table(spark, sf_dir, "region").select(F.col("r_name").alias("model"))
     seeds = spark.createDataFrame([(7,), (11,)], "seed long")
-    names = table(spark, sf_dir, "nation").filter("n_nationkey < 4").select(F.col("n_name").alias("arm"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("arm"))
     return joins.jobs(models, seeds, names).select("model", F.coalesce(F.col("seed").cast("string"), F.lit("none")).alias("seed"), "arm")
 
 
 JOBS_SQL = """
-SELECT r_name AS model, seed::VARCHAR AS seed, n_name AS arm FROM region, (VALUES (7::BIGINT), (11)) s(seed), nation WHERE n_nationkey < 4
+SELECT r_name AS model, seed::VARCHAR AS seed, n_name AS arm FROM region, (VALUES (7::BIGINT), (11)) s(seed), nation
 UNION ALL SELECT r_name, 'none', 'base' FROM region
 """
 
@@ -388,8 +388,8 @@ def collapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLLAPSED_SQL = f"SELECT page_id, sha256({_COLLAPSED.replace('text', 'html')}) AS digest FROM pages"
 
 
-def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the numeric-level analogue: sizes by level bucket of part."""
+def level_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by level bucket, their size modulo 6 standing for the level."""
     rows = table(spark, sf_dir, "part").withColumn("level", F.col("p_size") % 6)
     return prompts.levels(rows).groupBy("bucket").agg(F.count("*").alias("n"))
 
@@ -429,7 +429,7 @@ QUERIES = {
     "json_props": json_props,
     "lint_paths": lint_paths,
     "collapsed_text": collapsed_text,
-    "level_buckets": unique_keys,
+    "level_buckets": level_buckets,
 }
 ORACLE_SQL = {
     "tag_classify": f"WITH {_TAGGED_SQL} SELECT * FROM tagged",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, code
-from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators import admission, evaluate, rewards, select
 from ..session import table
@@ -59,14 +58,14 @@ SELECT status, count(*) AS n, any_value(p) AS partial_code, any_value(q) AS stri
 
 def stopped_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes when a runner stops after three timeouts: supplier's line items in order."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.expr(_OUTCOME).alias("outcome")
     )
     return rewards.stopped_early(lines, "l_suppkey", "pos", "outcome").groupBy("l_suppkey", "outcome").agg(F.count("*").alias("n"))
 
 
 STOPPED_SQL = f"""
-WITH t AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS pos, {_OUTCOME} AS outcome FROM lineitem WHERE l_orderkey < 2000),
+WITH t AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS pos, {_OUTCOME} AS outcome FROM lineitem),
 s AS (SELECT l_suppkey, CASE WHEN coalesce(sum((outcome = 'timeout')::INT) OVER (PARTITION BY l_suppkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3
       THEN 'timeout' ELSE outcome END AS outcome FROM t)
 SELECT l_suppkey, outcome, count(*) AS n FROM s GROUP BY ALL
@@ -174,7 +173,7 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_quantity").alias("truncation"),
     )
     base = made.withColumns({f"base_{c}": F.lit(v) for c, v in (("code_macro", 3.0), ("mixed_macro", 2.0), ("mean_test_fraction", 50.0), ("truncation", 1.0))})
-    return select.ranked_candidates(base, "l_suppkey").limit(25).select("l_suppkey", "code_macro", "mixed_macro", "pass_to_fail", "fail_to_pass", select.beats().alias("beats"))
+    return select.ranked_candidates(base, "l_suppkey").select("l_suppkey", "code_macro", "mixed_macro", "pass_to_fail", "fail_to_pass", select.beats().alias("beats"))
 
 
 RANK_SQL = """
@@ -182,57 +181,17 @@ WITH m AS (SELECT l_suppkey, (count(*) FILTER (l_returnflag = 'R') % 5)::DOUBLE
   (count(*) % 4)::DOUBLE AS pass_to_fail, (sum(l_linenumber) % 4)::DOUBLE AS fail_to_pass, max(l_quantity) AS f, min(l_quantity) AS t FROM lineitem GROUP BY l_suppkey)
 SELECT l_suppkey, code_macro, mixed_macro, pass_to_fail, fail_to_pass,
   (code_macro, mixed_macro, -pass_to_fail, fail_to_pass, f, -t) > (3.0, 2.0, 0.0, 0.0, 50.0, -1.0) AS beats
-FROM m ORDER BY code_macro DESC, mixed_macro DESC, pass_to_fail, fail_to_pass DESC, f DESC, t, l_suppkey LIMIT 25
+FROM m ORDER BY code_macro DESC, mixed_macro DESC, pass_to_fail, fail_to_pass DESC, f DESC, t, l_suppkey
 """
 
-#: Replies built from parts, of every form in which an answer is read.
-_REPLY = """CASE p_partkey % 6 WHEN 0 THEN concat('so #### ', cast(p_size * 1000 as string), '.') WHEN 1 THEN concat('The answer is ', cast(p_size as string), '.50 then prose')
- WHEN 2 THEN concat('half is ', cast(p_size as string), '/4') WHEN 3 THEN concat('first 7\\nlast $', cast(p_size as string), ',000') WHEN 4 THEN concat(cast(p_size as string), '%') ELSE 'no digits' END"""
-_EXPECTED = """CASE p_partkey % 6 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN p_size + 0.5 WHEN 2 THEN p_size / 4.0 WHEN 3 THEN p_size * 1000.0 WHEN 4 THEN p_size * 1.0 END"""
-
-
-def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.expr("cast(array() as array<string>)")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_REPLY).alias("reply"))
-    got = num.first_number("reply", none)
-    return rows.select("p_partkey", got["value"].alias("value"), F.coalesce(got["percent"], F.lit(False)).alias("percent"))
-
-
-NUMERIC_SQL = f"SELECT p_partkey, ({_EXPECTED})::DOUBLE AS value, p_partkey % 6 = 4 AS percent FROM part"
-
-
-def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies against the size of the part, plain or as a per cent."""
-    none = F.expr("cast(array() as array<string>)")
-    target = F.expr("concat(cast(p_size as string), CASE WHEN p_partkey % 2 = 0 THEN '%' ELSE '' END)")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_REPLY).alias("reply"), target.alias("target"))
-    return rows.select("p_partkey", evaluate.grade_number("reply", "target", (none, none)).alias("passed"))
-
-
-MATCH_SQL = f"""
-WITH v AS (SELECT p_partkey, p_size::DOUBLE AS t, p_partkey % 2 = 0 AS tp, ({_EXPECTED})::DOUBLE AS p, p_partkey % 6 = 4 AS pp FROM part),
-x AS (SELECT *, greatest(abs(t) * 1e-6, 1e-4) AS tol FROM v)
-SELECT p_partkey, coalesce(abs(p - t) <= tol OR (tp AND NOT pp AND abs(p * 100 - t) <= tol) OR (pp AND NOT tp AND abs(p / 100 - t) <= tol), false) AS passed FROM x
-"""
-
-
-def math_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised formulas."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(r"concat('$\\dfrac{', p_size, '}{X Y}\\, + \\left(', p_brand, '\\right).$')").alias("t"))
-    return rows.select("p_partkey", num.normalise_math("t", F.expr("cast(array() as array<string>)")).alias("formula"), num.is_numeric_math("t").alias("numeric"))
-
-
-MATH_SQL = "SELECT p_partkey, lower('(' || p_size || ')/(xy)+(' || p_brand || ')') AS formula, false AS numeric FROM part"
-
-
 def choice_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the largest scores among a line item's four figures."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000")
+    lines = table(spark, sf_dir, "lineitem")
     scores = F.array(*[F.col(c) for c in ("l_discount", "l_tax", "l_discount", "l_tax")])
     return lines.select("l_orderkey", "l_linenumber", evaluate.best_choice(scores).cast("long").alias("choice"))
 
 
-CHOICE_SQL = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= l_tax THEN 0 ELSE 1 END::BIGINT AS choice FROM lineitem WHERE l_orderkey < 3000"
+CHOICE_SQL = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= l_tax THEN 0 ELSE 1 END::BIGINT AS choice FROM lineitem"
 
 
 def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,10 +241,28 @@ def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _replies(spark, sf_dir).withColumn("x", F.explode(code.repairs_udf(F.concat(F.lit("```python\ndef main():\n\tpass\n"), F.lit("```")))))
+    """Repairs of programs made of pages' titles, each with another fault."""
+    page = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "['\\\\]", "").alias("t"))
+    text = F.concat(F.lit("'"), F.col("t"), F.lit("'"))
+    kinds = [
+        F.concat(F.lit("```python\nprint("), text, F.lit(")\n```")),
+        F.concat(F.lit("def main(n=0):\n    print("), text, F.lit(")")),
+        F.concat(F.lit("for i in xrange(2):\n    print "), text),
+        F.concat(F.lit("print("), text, F.lit(")")),
+    ]
+    program = F.get(F.array(*kinds), (F.col("page_id") % 4).cast("int"))
+    rows = page.select("page_id", F.explode(code.repairs_udf(program)).alias("x"))
     return rows.select("page_id", "x.kind", "x.code")
 
 
+REPAIR_SQL = """
+WITH p AS (SELECT page_id, '''' || regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[''\\\\]', '', 'g') || '''' AS t FROM pages),
+c AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'print(' || t || ')' WHEN 1 THEN 'def main(n=0):' || chr(10) || '    print(' || t || ')' || chr(10) || chr(10) || 'if __name__ == "__main__":' || chr(10) || '    main()' || chr(10)
+  ELSE 'for i in range(2):' || chr(10) || '    print(' || t || ')' END AS code FROM p)
+SELECT page_id, ['strip_markdown_fence', 'append_main', 'python2_to_python3'][page_id % 4 + 1] AS kind, code FROM c WHERE page_id % 4 < 3
+"""
+
+
 _IO = """CASE event_id % 6 WHEN 0 THEN '{"inputs": ["1"], "outputs": ["2"]}' WHEN 1 THEN '{"inputs": [[1]], "outputs": [[2]], "fn_name": "f"}' WHEN 2 THEN 'broken {'
  WHEN 3 THEN '{"inputs": ["1"], "outputs": []}' WHEN 4 THEN '[{"input": "a = 1", "output": "2"}]' ELSE '[]' END"""
 _MODE = "CASE event_id % 6 WHEN 0 THEN 'stdin' WHEN 3 THEN 'stdin' ELSE 'function' END"
@@ -317,9 +294,6 @@ QUERIES = {
     "best_step": best_step,
     "best_complete_step": best_complete_step,
     "rank_candidates": rank_candidates,
-    "numeric_extract": numeric_extract,
-    "numeric_match": numeric_match,
-    "math_text": math_text,
     "choice_argmax": choice_argmax,
     "truncation": truncation,
     "format_checks": format_checks,
@@ -339,12 +313,10 @@ ORACLE_SQL = {
     "best_step": BEST_SQL,
     "best_complete_step": COMPLETE_SQL,
     "rank_candidates": RANK_SQL,
-    "numeric_extract": NUMERIC_SQL,
-    "numeric_match": MATCH_SQL,
-    "math_text": MATH_SQL,
     "choice_argmax": CHOICE_SQL,
     "truncation": TRUNCATION_SQL,
     "format_checks": FORMAT_SQL,
     "fence_counts": FENCES_SQL,
+    "repair_candidates": REPAIR_SQL,
     "admission_reasons": ADMISSION_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import arm_seed_column, set_fingerprint
+from ..functions.hashing import arm_seed_column, set_digest, set_fingerprint
 from ..operators import allocation, arms, sampling, splits
 from ..session import table
 
@@ -178,8 +178,7 @@ WHERE nth <= 10
 def set_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each language's ids that doesn't depend on order, and the seeds of their arms."""
     docs = table(spark, sf_dir, "documents")
-    ids = F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n"), F.lit("\n")).cast("binary"), 256)
-    return docs.groupBy("lang").agg(ids.alias("digest")).withColumn("seed", arm_seed_column(SEED, "lang").cast("string"))
+    return docs.groupBy("lang").agg(set_digest("doc_id").alias("digest")).withColumn("seed", arm_seed_column(SEED, "lang").cast("string"))
 
 
 IDENTITY_SQL = """

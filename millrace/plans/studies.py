@@ -51,7 +51,7 @@ def ablation(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     One pass: a row is exploded over the arms that don't remove it, and each arm keeps its n smallest
     hashes. A pool smaller than n stops the study.
     """
-    names = [r["category"] for r in rows.select("category").distinct().collect()]
+    names = list(arms.pool_sizes(rows, "category"))
     every = F.array(*[F.lit(x) for x in sorted(names)])
     open_ = rows.select(F.col(key), F.explode(F.filter(every, lambda c: ~F.array_contains("overlap", c))).alias("gone"))
     sizes = {r["gone"]: r["n"] for r in open_.groupBy("gone").agg(F.count("*").alias("n")).collect()}

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import bitmap, cut, marked, plain_names, read
 
 #: A private key from its header to its footer of the same name, with any headers (Proc-Type) between; without a
 #: footer, to the end of the lines in base64. Line ends may be written out as in JSON.
@@ -143,17 +143,34 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
 
 
+#: Bits of the marks that tell which texts may have findings: at most MARK_BITS / 64 rows are broadcast.
+MARK_BITS = 1 << 23
+
+
+def masked(docs: DataFrame, hits: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows without findings, rows with findings and their masked text); hits: blob, spans, one row a blob.
+
+    Rows that the bitmap clears stay where they are. The others, few unless most texts have secrets, move
+    once to meet their findings; a false positive of the bitmap costs one such move.
+    """
+    named = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    seen = marked(named, "__blob", cut(bitmap(hits, "blob", MARK_BITS)), MARK_BITS, "__maybe")
+    found = seen.filter("__maybe").join(hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    clean = redact(F.col(text), F.coalesce("__spans", F.expr(_NONE))).alias(text)
+    return seen.filter(~F.col("__maybe")).select(*docs.columns), found.select(*[clean if c == text else F.col(c) for c in docs.columns], "__spans")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; no document goes. ``n_chars`` follows the text."""
-    findings, _ = scan_paths(docs)
-    # findings belong to a content, so they come back by content: few blobs have any
-    hits = cut(findings.filter(F.size("spans") > 0).select("blob", F.col("spans").alias("__spans")).dropDuplicates(["blob"]))
-    named = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = named.join(hits.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("__spans")))
-    out = [clean.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    result = joined.select(*out, F.col("__spans").isNotNull().alias("__changed"))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        result = result.withColumn("n_chars", length)
-    return result.select(*docs.columns)
+    """Replaces every secret by a mark; no document goes. ``n_chars`` follows the text.
+
+    Null texts stay null. Equal texts are masked alike, repeated rows stay. Columns of any names pass through.
+    """
+    plain = plain_names(docs)
+    at = dict(zip(docs.columns, plain.columns))
+    findings, new = scan_paths(plain, at["doc_id"], at["text"])
+    # findings belong to a content, so they come back by content
+    clear, touched = masked(plain, cut(new.filter(F.size("spans") > 0).select("blob", "spans")), at["text"])
+    if "n_chars" in at:
+        length = F.when(F.col("__spans").isNotNull(), F.length(at["text"])).otherwise(F.col(at["n_chars"]))
+        touched = touched.withColumn(at["n_chars"], length.cast(plain.schema[at["n_chars"]].dataType))
+    return clear.unionByName(touched.drop("__spans")).toDF(*docs.columns)

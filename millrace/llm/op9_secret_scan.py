@@ -1,8 +1,9 @@
 """Secret scanning over a content-addressed ledger of text versions, in DataFrame operations only.
 
-Every text is a blob named by its SHA-256. A blob is scanned under a rule version only if the ledger
-holds no row for that pair, and once however many paths (document rows) carry it. The findings of a
-blob then go back to all its paths by a join on the blob's name.
+Every text is a blob named by its SHA-256. A blob is scanned by a version of a rule only if the ledger
+does not hold that pair, and once however many paths (document rows) carry it: when one rule changes,
+known blobs are scanned by that rule alone. The findings of a blob then go back to all its paths by a join on
+the blob's name.
 
 A scan finds per rule the leftmost non-overlapping matches. Spark has no function for the positions of
 all matches, but the pieces between matches (``split``) and the matches themselves
@@ -41,7 +42,8 @@ RULES = (
     ("hook", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1.1"
+#: Version of each rule; raise it when the rule changes.
+VERSIONS = {"assign": "1", "access": "1", "hex": "1", "key": "2", "hook": "1"}
 
 SPAN = "struct<start:int,kind:int,end:int>"
 _NONE = f"cast(array() as array<{SPAN}>)"
@@ -70,34 +72,52 @@ def _matches(text: str, kind: int) -> Column:
     return F.when(t.rlike(pattern), found).otherwise(F.expr(_NONE))
 
 
-def scan(blobs: DataFrame, version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the blobs (blob, text): blob, rule_version, spans sorted by start, then kind."""
-    spans = F.array_sort(F.concat(*[_matches("text", k) for k in range(len(RULES))]))
-    return blobs.select("blob", F.lit(version).alias("rule_version"), spans.alias("spans"))
+def rule_versions(versions: dict[str, str] | str | None = None) -> list[str]:
+    """``kind:version`` of every rule in order; one version for all, or by kind where it differs from VERSIONS."""
+    given = dict.fromkeys(VERSIONS, versions) if isinstance(versions, str) else VERSIONS | (versions or {})
+    return [f"{kind}:{given[kind]}" for kind, *_ in RULES]
+
+
+def scan(blobs: DataFrame, names: list[str]) -> DataFrame:
+    """Ledger rows of the blobs (blob, text, and todo: the rule versions to scan by, all if the column is absent).
+
+    blob, rule_versions (what has been scanned by), spans sorted by start, then kind.
+    """
+    every = F.array(*[F.lit(n) for n in names])
+    todo = F.col("todo") if "todo" in blobs.columns else every
+    wanted = lambda k: F.array_contains("todo", names[k]) if "todo" in blobs.columns else F.lit(True)
+    found = [F.when(wanted(k), _matches("text", k)).otherwise(F.expr(_NONE)) for k in range(len(RULES))]
+    return blobs.select("blob", todo.alias("rule_versions"), F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def scan_paths(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, version: str = RULE_VERSION
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, version: dict[str, str] | str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(findings of every path, new ledger rows).
 
     Findings: doc_id, blob, spans, one row per input row. Append the new ledger rows to the table that
-    is given as ``ledger`` (blob, rule_version, spans) next time, and only unseen pairs are scanned.
+    is given as ``ledger`` (blob, rule_versions, spans) next time, and only unseen pairs are scanned.
     """
+    names = rule_versions(version)
+    every = F.array(*[F.lit(n) for n in names])
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     named = own.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text")
     paths = cut(named.select("doc_id", "blob"))
-    known = None if ledger is None else ledger.filter(F.col("rule_version") == version).select("blob", "spans")
-    unseen = paths if known is None else paths.join(known.select("blob"), "blob", "left_anti")
-    # one path stands for each unseen blob; its text moves by the path's id, so copies of a hot blob don't meet
-    keep = unseen.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    text_of = named.alias("t").join(
-        keep.hint("shuffle_hash").alias("k"),
-        F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.blob") == F.col("k.blob")),
-        "left_semi",
-    )
-    new = cut(scan(text_of.select("blob", "text"), version).dropDuplicates(["blob", "rule_version"]))
-    found = new.select("blob", "spans") if known is None else new.select("blob", "spans").unionByName(known)
+    # one path stands for each blob; its text moves by the path's id, so copies of a hot blob don't meet
+    keep = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    if ledger is not None:
+        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rule_versions"))).alias("seen"))  # a row a scan
+        todo = F.array_except(every, F.coalesce("seen", F.expr("cast(array() as array<string>)")))
+        keep = cut(keep.join(seen, "blob", "left").select("blob", "doc_id", todo.alias("todo")).filter(F.size("todo") > 0))
+    same = F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.blob") == F.col("k.blob"))
+    text_of = named.alias("t").join(keep.hint("shuffle_hash").alias("k"), same, "left_semi" if ledger is None else "inner")
+    unseen = text_of.select("t.blob", "t.text", *([] if ledger is None else ["k.todo"]))
+    new = cut(scan(unseen, names).dropDuplicates(["blob"]))
+    found = new.select("blob", "spans")
+    if ledger is not None:  # of older rows, what was found by versions that still hold
+        valid = F.filter("spans", lambda s: F.array_contains(F.col("rule_versions"), F.element_at(every, s["kind"] + 1)))
+        both = found.unionByName(ledger.select("blob", valid.alias("spans")))
+        found = both.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     hits = cut(found.filter(F.size("spans") > 0))
     # both sides come from files, so adaptive execution can split the partition of a hot blob
     findings = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(_NONE)).alias("spans"))

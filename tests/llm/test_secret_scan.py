@@ -52,6 +52,18 @@ def test_a_blob_is_scanned_once_for_each_rule_version(spark):
     assert op.scan_paths(more, ledger=ledger, version="2")[1].count() == 4
 
 
+def test_a_changed_rule_scans_known_blobs_alone(spark):
+    docs = table(spark, ["token = abcdef and ghp_" + "A1" * 18, "clean"])
+    first, ledger = op.scan_paths(docs)
+    again, new = op.scan_paths(docs.union(table(spark, ["token = abcdef and ghp_" + "A1" * 18, "AKIA" + "A1" * 8])), ledger=ledger, version={"hook": "2"})
+    scanned = {tuple(r["rule_versions"]): len(r["spans"]) for r in new.collect()}
+    assert scanned[("hook:2",)] in (0, 1) and scanned[tuple(op.rule_versions({"hook": "2"}))] == 1
+    assert new.count() == 3
+    spans = sorted([(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in again.collect())
+    old = sorted([(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in first.collect())
+    assert spans == sorted([*old, old[-1], [(1, 0, 20)]])
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = op.op9_secret_scan(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

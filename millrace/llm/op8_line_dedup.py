@@ -1,6 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Lines are named by the hash of their stripped text. A run is the shortest sequence of lines with at least
+Lines are named by 128-bit hashes of their stripped text, documents by those of their id and text, so that
+unequal ones don't meet by chance at any size. A run is the shortest sequence of lines with at least
 MIN_WORDS words on from a line, or back from it; the runs inside a shared block cover it. For every run
 that several documents share, however often it stands in one, each later document is paired with the
 first one that has it, so every shared block has a pair for each of its lines, and the pairs of a run grow
@@ -14,7 +15,8 @@ run keeps it, so one copy always stays.
 
 Documents come in order of doc_id, null last. Rows of equal id and text are one document and are treated
 alike. Null texts stay null, empty texts stay empty, neither has shared lines. An empty table gives an
-empty result. Any other columns, whatever their names, pass through ``dedup`` as they are.
+empty result. Texts of any length are aligned whole, line by line; a text without line feeds is one line.
+Any other columns, whatever their names, pass through ``dedup`` as they are.
 """
 
 from __future__ import annotations
@@ -29,19 +31,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, utf8
+from .common import cut, plain_names, read, utf8
 
 #: Words of an aligned block from which it is deleted.
 MIN_WORDS = 10
+NAME_BYTES = 16
 
 
 def _key(doc_id: str, text: str) -> Column:
     """Names a document by its id and text, alike in every read."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in (doc_id, text)]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit("\0"), parts[1]).cast("binary")))
+
+
+def _names(packed: bytes) -> list[bytes]:
+    return [packed[i : i + NAME_BYTES] for i in range(0, len(packed), NAME_BYTES)]
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, none, doc_id, names (packed 64-bit line hashes), words (packed 32-bit word counts)."""
+    """key, none, doc_id, names (packed 128-bit line hashes), words (packed 32-bit word counts)."""
     own = docs.select(
         _key(doc_id, text).alias("key"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")
     )
@@ -51,14 +59,14 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             names, words = [], []
             for t in utf8(batch.column(3)):
                 lines = [x.strip() for x in t.split(b"\n")]
-                names.append(b"".join([xxhash.xxh3_64_digest(x) for x in lines]))
+                names.append(b"".join([xxhash.xxh3_128_digest(x) for x in lines]))
                 words.append(np.array([len(x.split()) for x in lines], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(names, pa.binary()), pa.array(words, pa.binary())], ["key", "none", "doc_id", "names", "words"]
             )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"key long, none boolean, doc_id {kind}, names binary, words binary")
+    return own.mapInArrow(run, f"key binary, none boolean, doc_id {kind}, names binary, words binary")
 
 
 def spans(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -74,22 +82,25 @@ def spans(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
 
 
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(run, key, none, doc_id) for every different run of lines that just has enough words."""
+    """(run, n, none, doc_id, tie) for every different run of lines that just has enough words."""
+    given = lines.select("n", "none", "doc_id", F.xxhash64("key").alias("tie"), "names", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
-            for i, (names, words) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                own = {xxhash.xxh3_64_intdigest(names[8 * s : 8 * e]) for s, e in spans(np.frombuffer(words, "<i4").astype(np.int64), min_words)}
+            for i, (names, words) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                runs = spans(np.frombuffer(words, "<i4").astype(np.int64), min_words)
+                own = {xxhash.xxh3_64_intdigest(names[NAME_BYTES * s : NAME_BYTES * e]) for s, e in runs}
                 found.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
                 at.append(np.full(len(own), i))
             at = pa.array(np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), *[batch.column(j).take(at) for j in range(3)]], ["run", "key", "none", "doc_id"]
+                [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), *[batch.column(j).take(at) for j in range(4)]],
+                ["run", "n", "none", "doc_id", "tie"],
             )
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.mapInArrow(run, f"run long, key long, none boolean, doc_id {kind}")
+    return given.mapInArrow(run, f"run long, n long, none boolean, doc_id {kind}, tie long")
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -110,7 +121,7 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places of two line lists, in order."""
     matched, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -135,21 +146,21 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def _shared(a: list[int], b: list[int], words: list[int], min_words: int) -> set[int]:
+def _shared(a: list, b: list, words: list[int], min_words: int) -> set[int]:
     """Lines of b in any block of enough words that a has too, wherever it stands."""
     size = dict(zip(b, words))
     of_a = {tuple(a[s:e]) for s, e in spans(np.array([size.get(x, 0) for x in a], np.int64), min_words)}
     return {y for s, e in spans(np.array(words, np.int64), min_words) if tuple(b[s:e]) in of_a for y in range(s, e)}
 
 
-def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+def deleted(a: list, b: list, words: list[int], min_words: int) -> list[int]:
     """Lines of b in aligned blocks of enough words.
 
     What is deleted leaves the alignment, and the rest is aligned again until nothing more goes. Aligned
     blocks that are too short keep their place and may hide a moved block, and repeated lines anchor
     nothing, so the blocks that are then still shared are found by their runs of lines.
     """
-    rest: list[int | None] = list(b)
+    rest = list(b)
     gone: list[int] = []
     while True:
         new, block = [], []
@@ -169,36 +180,34 @@ def deleted(a: list[int], b: list[int], words: list[int], min_words: int) -> lis
 
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, gone): packed 32-bit line numbers to delete, for documents that lose any."""
-    lines = cut(line_table(docs, doc_id, text).dropDuplicates(["key"]))
+    # inside, a document goes by a number, which is as long as it need be
+    lines = cut(line_table(docs, doc_id, text).dropDuplicates(["key"]).withColumn("n", F.monotonically_increasing_id()))
     held_runs = cut(_runs(lines, min_words))
-    order = F.struct("none", "doc_id", "key")
-    holders = cut(held_runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", F.col("first.key").alias("held")))
+    order = F.struct("none", "doc_id", "tie", "n")
+    holders = cut(held_runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("docs")).filter("docs > 1").select("run", F.col("first.n").alias("held")))
     # tables from files on both sides of every join: adaptive execution splits the partition of a hot run or holder
-    pairs = cut(held_runs.select("run", "key").join(holders, "run").filter("key <> held").select("held", "key").distinct())
-    left = lines.select(F.col("key").alias("held"), F.col("names").alias("a"))
+    pairs = cut(held_runs.select("run", "n").join(holders, "run").filter("n <> held").select("held", "n").distinct())
+    left = lines.select(F.col("n").alias("held"), F.col("names").alias("a"))
     with_left = cut(pairs.join(left, "held"))
-    both = with_left.join(lines.select("key", F.col("names").alias("b"), "words"), "key").select("key", "a", "b", "words")
+    both = with_left.join(lines.select("n", "key", F.col("names").alias("b"), "words"), "n").select("key", "a", "b", "words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
             for a, b, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                x = deleted(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist(), np.frombuffer(words, "<i4").tolist(), min_words)
-                gone.append(np.array(x, "<i4").tobytes())
+                gone.append(np.array(deleted(_names(a), _names(b), np.frombuffer(words, "<i4").tolist(), min_words), "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.binary())], ["key", "gone"])
 
-    found = both.mapInArrow(align, "key long, gone binary").filter(F.octet_length("gone") > 0)
+    found = both.mapInArrow(align, "key binary, gone binary").filter(F.octet_length("gone") > 0)
     # at most one entry a line of the document
     return found.groupBy("key").agg(F.collect_list("gone").alias("gone"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns, the text without its deleted lines, then __lines and __removed (line counts)."""
-    gone = cut(deletions(docs, doc_id, text, min_words).withColumnRenamed("key", "__key"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text)
-    keyed = docs.withColumn("__key", _key(doc_id, text)).join(gone.hint("shuffle_hash"), "__key", "left")
-    given = keyed.select(*docs.columns, "gone").toDF(*names, "gone")
+def _without(plain: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """Rows of a table with plain names, the text without its deleted lines, then lines and removed (line counts)."""
+    gone = cut(deletions(plain, doc_id, text, min_words))
+    names, at = plain.columns, plain.columns.index(text)
+    given = plain.withColumn("key", _key(doc_id, text)).join(gone.hint("shuffle_hash"), "key", "left").select(*names, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +220,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 removed.append(len(drop))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "total", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "lines", "removed"])
+
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, plain.schema.fields))
+    return given.mapInArrow(run, f"{fields}, lines long, removed long")
+
 
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    return given.mapInArrow(run, f"{fields}, total long, removed long").toDF(*docs.columns, "__lines", "__removed")
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] = ("__lines", "__removed")) -> DataFrame:
+    """All rows and columns, the text without its deleted lines, then two line counts, which need names of their own."""
+    if {*counts} & {*docs.columns}:
+        raise ValueError(f"the table has a column {counts[0]} or {counts[1]}: name the counts otherwise")
+    plain = plain_names(docs)
+    at = dict(zip(docs.columns, plain.columns))
+    return _without(plain, at[doc_id], at[text], min_words).toDF(*docs.columns, *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +246,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated blocks; one that has lost all its words goes. ``n_chars`` follows."""
-    out = dedup(docs)
-    out = out.filter((F.col("__removed") == 0) | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", length)
-    return out.select(*docs.columns)
+    plain = plain_names(docs)
+    at = dict(zip(docs.columns, plain.columns))
+    out = _without(plain, at["doc_id"], at["text"], MIN_WORDS)
+    out = out.filter((F.col("removed") == 0) | F.col(at["text"]).rlike(r"\S"))
+    if "n_chars" in at:
+        length = F.when(F.col("removed") > 0, F.length(at["text"])).otherwise(F.col(at["n_chars"]))
+        out = out.withColumn(at["n_chars"], length.cast(plain.schema[at["n_chars"]].dataType))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -17,10 +17,14 @@ def keep_first(df: DataFrame, row_id: str, key: Column) -> DataFrame:
     """(id, kept_id): for every row the smallest id with the same key.
 
     Keys that several rows share are aggregated, dealt to SALTS copies and joined back by key and salt, so
-    that even a key of a third of all rows is spread; the other rows keep themselves. Texts stay behind.
+    that even a key of a third of all rows is spread; the other rows keep themselves. Texts stay behind: ids and
+    keys are shuffled once, and both the counts and the join read that shuffle.
     """
-    keyed = df.select(F.col(row_id).alias("id"), key.alias("key")).withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1")
+    # a key that may be null would be filtered on one side alone, and the shuffle read twice; a null key is a row's own
+    own = F.concat(F.lit("\0"), F.coalesce(F.col(row_id).cast("string"), F.lit("")))
+    keyed = df.select(F.col(row_id).alias("id"), F.coalesce(key.cast("string"), own).alias("key")).withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).repartition("key", "salt")
+    parts = keyed.groupBy("key", "salt").agg(F.min("id").alias("kept_id"), F.count("*").alias("n"))
+    shared = parts.groupBy("key").agg(F.min("kept_id").alias("kept_id"), F.sum("n").alias("n")).filter("n > 1")
     dealt = shared.select("key", "kept_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return keyed.join(dealt, ["key", "salt"], "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"))
 

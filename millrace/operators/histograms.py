@@ -83,19 +83,28 @@ def percentile_places(n: Column, q: float) -> dict[str, Column]:
     }
 
 
+#: Ranges into which the distinct values of a percentile are dealt.
+RANGES = 256
+
+
 def percentiles(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row with the three definitions.
 
-    Values are counted first, and cumulative counts over distinct values find the places: the last step
-    sees a row for each distinct value, not for each row.
+    Values are counted first. Their distinct values are dealt to ranges by approximate quantiles, whose counts,
+    a row a range, say how many values lie before each; cumulative counts within a range find the places. So no
+    task sees all distinct values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto)
-    total = counts.agg(F.sum("n").alias("total"))
-    both = ranked.crossJoin(F.broadcast(total))  # one row
+    cuts = sorted(set(counts.select(F.col("v").cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    points = F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>")
+    dealt = counts.withColumn("range", F.size(F.filter(points, lambda p: p < F.col("v").cast("double"))))
+    sizes = dealt.groupBy("range").agg(F.sum("n").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    starts = sizes.select("range", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.join(F.broadcast(starts), "range").withColumn("upto", F.col("before") + within)  # RANGES rows
     at = percentile_places(F.col("total"), q)
-    return both.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(name) for name, k in at.items()])
+    return placed.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(name) for name, k in at.items()])
 
 
 def examples(df: DataFrame, group: str, row_id: str, most: int = 20) -> DataFrame:

@@ -1,17 +1,21 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-One table of slots holds the filters of all languages: bit l of a slot belongs to language l. Looking
-up an n-gram ANDs its slots, which gives the mask of every language whose filter contains it. Per
-language the set bits are counted over a text, the expected false positives (fill ** probes) are
-taken off, and the largest corrected share of the text's n-grams decides; ties go to the language
-that sorts first.
+One table of slots holds the filters of all languages, a bit of a slot for each filter. Looking up an
+n-gram ANDs its slots, which gives the mask of every language whose filter contains it. A language has two
+filters: one holds every n-gram of its sample, however rare or shared; the other those that it has at least
+MIN_SHARE as often as the language that has them most, so that foreign words and wrong labels weigh less.
+Per filter the set bits are counted over a text and the expected false positives (fill ** probes) are taken
+off. The largest sum of a language's two counts decides, ties go to the language that sorts first; the score
+is the corrected share of the text's n-grams that the first filter has.
 
 The filters are fitted on a bounded sample of the labelled rows: ``sample_docs`` expected rows of
-each language, chosen by a hash of the row. Every row is then predicted from its whole text.
+each language, chosen by a hash of the row. Every row is then predicted from its whole text. Labels are
+few (at most MOST_LANGS, else an error), so their list and the table of slots are small on any corpus.
 
 Null texts and texts without a letter give ``und`` and score 0. A text whose n-grams are in no filter
-gets the first language and score 0. With no labelled row at all every text is ``und``. Rows with a
-null id are predicted like any other; repeated rows give repeated results.
+gets the first language and score 0. With no labelled row at all every text is ``und``. Texts of any length
+are read whole. Rows with a null id are predicted like any other; repeated rows give repeated results. An
+empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from .common import crc_bucket, read, runs, utf8
 #: Expected labelled rows of each language in the fitting sample.
 SAMPLE_DOCS = 2000
 GRAM, PROBES, SLOT_BITS = 4, 3, 20
-#: An n-gram enters a language's filter from this count, and from this share of its frequency in
-#: the language that has it most.
-MIN_COUNT, MIN_SHARE = 2, 0.25
+MOST_LANGS = 1 << 16
+#: Share of an n-gram's largest rate in any language from which it enters a language's second filter.
+MIN_SHARE = 0.25
 UND = "und"
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -44,7 +48,10 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 @dataclass(frozen=True)
 class Filters:
-    """slots: (words, 2 ** SLOT_BITS) masks, 63 languages a word; noise: each one's false-positive rate."""
+    """slots: (words, 2 ** SLOT_BITS) masks, 63 filters a word, the languages' first, then their second ones.
+
+    noise: each filter's false-positive rate.
+    """
 
     langs: tuple[str, ...]
     slots: np.ndarray
@@ -87,6 +94,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
     langs = tuple(sorted(counts))
     if not langs:
         return Filters((), np.zeros((1, 1 << SLOT_BITS), np.int64), np.zeros(0))
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} labels: this is no column of languages")
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / counts[k]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(draw < share[F.col("lang")])
@@ -104,15 +113,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
                 )
 
     grams = sample.mapInArrow(count, "gram long, l int, n long").groupBy("gram", "l").agg(F.sum("n").alias("n"))
-    total = F.create_map(*[F.lit(x) for k, v in _totals(sample, langs).items() for x in (k, v)])
-    rated = grams.filter(F.col("n") >= MIN_COUNT).select("gram", "l", (F.col("n") / total[F.col("l")]).alias("rate"))
-    kept = (
-        rated.groupBy("gram")
-        .agg(F.collect_list(F.struct("l", "rate")).alias("by"), F.max("rate").alias("most"))  # at most one entry a language
-        .select("gram", "most", F.explode("by").alias("x"))
-        .filter(F.col("x.rate") >= MIN_SHARE * F.col("most"))
-        .select("gram", F.col("x.l").alias("l"))
-    )
+    size = {r["lang"]: float(max(1, r["n"] or 0)) for r in sample.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    total = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (i, size.get(k, 1.0))])
+    rated = grams.select("gram", "l", (F.col("n") / total[F.col("l")]).alias("rate"))
+    by_gram = rated.groupBy("gram").agg(F.collect_list(F.struct("l", "rate")).alias("by"), F.max("rate").alias("most"))  # at most one entry a language
+    each = by_gram.select("gram", "most", F.explode("by").alias("x"))
+    strong = F.when(F.col("x.rate") >= MIN_SHARE * F.col("most"), F.array(F.lit(0), F.lit(len(langs)))).otherwise(F.array(F.lit(0)))
+    kept = each.select("gram", F.explode(strong).alias("plane"), "x.l").select("gram", (F.col("l") + F.col("plane")).alias("l"))
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,21 +133,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
                 ["slot", "word", "mask"],
             )
 
-    table = np.zeros(((len(langs) + 62) // 63, 1 << SLOT_BITS), np.int64)
+    filters = 2 * len(langs)
+    table = np.zeros(((filters + 62) // 63, 1 << SLOT_BITS), np.int64)
     got = kept.mapInArrow(to_slots, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table[got["word"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy()
-    fill = np.array([np.mean((table[i // 63] >> (i % 63)) & 1) for i in range(len(langs))])
-    if len(langs) <= 8:
-        table = table.astype(np.uint8)  # stays in the cache of a core
+    fill = np.array([np.mean((table[i // 63] >> (i % 63)) & 1) for i in range(filters)])
+    if filters <= 16:
+        table = table.astype(np.uint8 if filters <= 8 else np.uint16)  # stays in the cache of a core
     return Filters(langs, table, fill**PROBES)
 
 
-def _totals(sample: DataFrame, langs: tuple[str, ...]) -> dict[int, float]:
-    """Bytes of the sample by language, the base of n-gram rates."""
-    got = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    return {i: float(max(1, got.get(k) or 0)) for i, k in enumerate(langs)}
-
-
 def score(texts: list[bytes], model: Filters) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     langs, n = model.langs, len(texts)
@@ -152,15 +154,15 @@ def score(texts: list[bytes], model: Filters) -> tuple[list[str], np.ndarray]:
         grams, owner = _grams(some)
         at = _slots(grams)
         total = np.maximum(np.bincount(owner, minlength=b - a), 1)
-        credit = np.zeros((len(langs), b - a))
+        credit = np.zeros((2 * len(langs), b - a))
         for w, table in enumerate(model.slots):
             mask = table[at[0]]
             for x in at[1:]:
                 mask &= table[x]
-            for i in range(63 * w, min(len(langs), 63 * w + 63)):
+            for i in range(63 * w, min(len(credit), 63 * w + 63)):
                 hits = np.bincount(owner, weights=(mask >> (i % 63)) & 1, minlength=b - a)
                 credit[i] = np.clip((hits - total * model.noise[i]) / (1 - model.noise[i] + 1e-12), 0, None)
-        best = credit.argmax(axis=0)
+        best = (credit[: len(langs)] + credit[len(langs) :]).argmax(axis=0)
         for i, t in enumerate(some):
             if _ASCII_LETTER.search(t) or any(c.isalpha() for c in t.decode("utf-8", "replace")):
                 preds[a + i] = langs[best[i]]

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from millrace.llm import op1_language_id as op
 
@@ -17,6 +18,48 @@ def test_held_out_rows_are_predicted(spark, sf_dir, corpus):
         assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
 
 
+def grams(text):
+    """Byte 4-grams of a text: letters in lower case and bytes beyond ASCII stay, the rest is one space."""
+    kept = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.encode())
+    words = " ".join(kept.split(" ")).split()
+    whole = " " + " ".join(words) + " "
+    return [whole[i : i + 4] for i in range(len(whole) - 3)] if words else []
+
+
+def test_filters_hold_every_gram_of_their_language_and_decide_as_sets_would(spark, docs, corpus):
+    model, counts, size = op.fit(op.training_rows(docs)), {}, Counter()
+    for i, t, lang, *_ in corpus:
+        if t is not None and lang and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            counts.setdefault(lang, Counter()).update(grams(t))
+            size[lang] += len(t.encode())
+    assert set(model.langs) == set(counts)
+    most = Counter()
+    for k, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / size[k])
+    strong = {k: {g for g, n in c.items() if n / size[k] >= op.MIN_SHARE * most[g]} for k, c in counts.items()}
+    texts = [t for _, t, *_ in corpus if t]
+    got, scores = op.score([t.encode() for t in texts], model)
+    for t, lang, score in zip(texts, got, scores):
+        own = grams(t)
+        if lang == op.UND:
+            assert not any(c.isalpha() for c in t)
+            continue
+        share = {k: sum(g in c for g in own) / len(own) for k, c in counts.items()}
+        both = {k: share[k] + sum(g in strong[k] for g in own) / len(own) for k in counts}
+        assert abs(score - share[lang]) < 0.02  # what false positives can do
+        assert both[lang] >= max(both.values()) - 0.04
+
+
+def test_accuracy_on_held_out_rows_alone(spark, docs, corpus):
+    # texts of one language each; copies carry the text of another document and may carry another label
+    own = [r for r in corpus if r[0] is not None and r[0] < 260 and r[0] % 11 and r[0] % 13 and r[0] % 7]
+    held = [r for r in own if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    got, _ = op.score([r[1].encode() for r in held], op.fit(op.training_rows(docs)))
+    assert len(held) > 30
+    assert sum(p == r[2] for p, r in zip(got, held)) >= 0.95 * len(held)
+
+
 def test_prediction_does_not_depend_on_the_batch(spark, docs):
     model = op.fit(op.training_rows(docs))
     texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]

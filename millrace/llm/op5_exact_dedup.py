@@ -1,76 +1,27 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
 The first pass reads of each text its byte length and the hash of a short prefix. Only rows whose
-(length, prefix hash) occurs again go on; a fixed-size Bloom filter of those pairs tells the second
-pass which texts to hash in full. A false positive of the filter costs one more hash and nothing
-else, because groups form on length, prefix hash and full hash together.
-
-Texts are equal if identical after lower-casing A-Z. Null counts as empty. Of equal rows the one
-with the largest doc_id stays (a null id is smallest; of repeated rows with that id, one stays).
-An empty table gives an empty result; only the id and text columns are read.
+(length, prefix hash) occurs again go on; a bitmap of those pairs, whose size has a bound, tells the second
+pass which texts to hash in full. A false positive of the bitmap costs one more hash and nothing else,
+because groups form on length, prefix hash and full hash together; beyond some ten million different pairs
+that occur again it tells less and less, and more texts are hashed in full than need be.
+
+Texts are equal if identical after lower-casing A-Z. Null counts as empty. Texts of any length are read
+whole. Of equal rows the one with the largest doc_id stays (a null id is smallest; of repeated rows with
+that id, one stays). An empty table gives an empty result; only the id and text columns are read, so
+others may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, utf8
-
-PREFIX_BYTES = 256
-#: Bits of the filter for each surviving pair, and its largest size in bits (8 MB).
-BITS_PER_PAIR, MAX_BITS = 16, 1 << 26
-PROBES = 3
-
-
-def _pair_key(size: int, prefix: int) -> int:
-    return (prefix ^ (size * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = utf8(batch.column(1))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(map(len, texts), pa.int64()),
-                pa.array((xxhash.xxh3_64_intdigest(t[:PREFIX_BYTES].lower()) - (1 << 63) for t in texts), pa.int64()),
-            ],
-            ["size", "prefix"],
-        )
-
+from .common import ascii_lower, bitmap, cut, marked, read
 
-def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Filter positions of 64-bit keys, one row for each probe."""
-    a, b = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
-    return np.stack([(a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(bits) for i in range(PROBES)])
-
-
-def _filter_of(pairs: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of (size, prefix) pairs: each task sets its own bits, the driver ORs by word.
-
-    What reaches the driver is bounded by the filter's words, not by the pairs.
-    """
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            size = batch.column(0).to_numpy().astype(np.uint64)
-            prefix = (batch.column(1).to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)
-            at = _positions(prefix ^ (size * np.uint64(0x9E3779B97F4A7C15)), bits).ravel()
-            np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at].view(np.int64))], ["word", "bits"])
-
-    got = pairs.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+PREFIX_CHARS = 256
+#: Bits of the map of pairs that go on: at most MARK_BITS / 64 rows are broadcast.
+MARK_BITS = 1 << 24
 
 
 def refine(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
@@ -79,40 +30,21 @@ def refine(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_a
     sha256 is null for rows that left the refinement early, unless ``digest_all`` asks for the
     digest of every text (which the second pass then computes in the same read).
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    features = own.mapInArrow(_features, "size long, prefix long")
-    by_size = features.groupBy("size", "prefix").agg(F.count("*").alias("n"))
-    pairs = cut(by_size)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # lower-casing A-Z changes no length, so the first pass lowers the prefix alone
+    prefix = F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX_CHARS))).alias("prefix")
+    sized = own.select("doc_id", "text", F.octet_length("text").alias("size"), prefix)
+    pairs = cut(sized.groupBy("size", "prefix").agg(F.count("*").alias("n")))
     # a length that only one row has can't hold a copy; then the same for its (length, prefix)
     lengths = pairs.groupBy("size").agg(F.sum("n").alias("rows")).filter("rows > 1").select("size")
-    again = pairs.filter("n > 1").join(lengths, "size", "left_semi").select("size", "prefix")
-    n = again.count()
-    bits = int(min(MAX_BITS, max(1 << 16, 1 << (n * BITS_PER_PAIR).bit_length())))
-    bloom = spark.sparkContext.broadcast(_filter_of(again, bits))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bloom.value
-        for batch in batches:
-            texts = [t.lower() for t in utf8(batch.column(1))]
-            keys = np.array([_pair_key(len(t), xxhash.xxh3_64_intdigest(t[:PREFIX_BYTES])) for t in texts], np.uint64)
-            at = _positions(keys, bits)
-            on = ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(map(len, texts), pa.int64()),
-                    pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)),
-                    pa.array([hashlib.sha256(t).hexdigest() if digest_all or s else None for t, s in zip(texts, on)], pa.string()),
-                    pa.array(on),
-                ],
-                ["doc_id", "size", "pair", "sha256", "survives"],
-            )
-
-    kind = own.schema["doc_id"].dataType.simpleString()
-    hashed = own.mapInArrow(full, f"doc_id {kind}, size long, pair long, sha256 string, survives boolean")
+    again = pairs.filter("n > 1").join(lengths, "size", "left_semi")
+    pair = F.xxhash64("size", "prefix").alias("pair")
+    marks = cut(bitmap(again.select(pair), "pair", MARK_BITS))
+    seen = marked(sized.withColumn("pair", pair), "pair", marks, MARK_BITS, "survives")
+    digest = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
+    hashed = seen.select("doc_id", "size", "prefix", "survives", (digest if digest_all else F.when(F.col("survives"), digest)).alias("sha256"))
     rows = cut(hashed.withColumn("row", F.monotonically_increasing_id()))
-    same = ["size", "pair", "sha256"]
+    same = ["size", "prefix", "sha256"]
     groups = cut(
         rows.filter("survives")
         .groupBy(*same)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import contracts, histograms
 from ..session import table
 from ..sources import readers, writers
 from ..sources.scratch import named_file, scratch
+from ..streaming import status
 
 _DOC = "doc_id long, text string, lang string, source string"
 
@@ -192,7 +195,25 @@ def counted_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SKIPS_SQL = "SELECT count(*) FILTER (p_size % 4 > 0) AS kept, count(*) FILTER (p_size % 4 = 0) AS skipped FROM part"
 
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses counted from a stream of appended files; records that a resumed run has written again count once."""
+    path, name = scratch(spark, "stream"), f"counts_{uuid.uuid4().hex}"
+    graded = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = graded.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dataset"), F.when(F.col("quality") == 1, "passed").otherwise("wrong_answer").alias("status"))
+    writers.jsonl(rows, f"{path}/in")
+    writers.jsonl(rows.filter("cast(id AS long) % 7 = 0"), f"{path}/in", mode="append")
+    counts = status.status_counts(status.records(spark, f"{path}/in"))
+    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    run.start().awaitTermination()
+    return spark.table(name).select("dataset", "status", "n")
+
+
+STREAM_SQL = """
+SELECT lang AS dataset, CASE WHEN quality = 1 THEN 'passed' ELSE 'wrong_answer' END AS status, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL
+"""
+
 QUERIES = {
+    "streamed_counts": streamed_counts,
     "jsonl_round_trip": jsonl_round_trip,
     "strict_round_trip": strict_round_trip,
     "array_round_trip": array_round_trip,
@@ -210,6 +231,7 @@ QUERIES = {
     "counted_skips": counted_skips,
 }
 ORACLE_SQL = {
+    "streamed_counts": STREAM_SQL,
     "jsonl_round_trip": JSONL_SQL,
     "strict_round_trip": JSONL_SQL,
     "array_round_trip": ARRAY_SQL,

@@ -90,21 +90,34 @@ def distinct_units(texts: Iterable[str]) -> set[str]:
 class Block:
     """Puts texts together from the values of their units; ``glue`` joins them."""
 
-    def __init__(self, values: dict[str, bytes], glue: bytes):
-        self.values, self.glue = values, glue
-        # parts stand for their units; a part of one space and another is no part of ``parted``
-        self.parts = {u[1:] if u[0] == " " else u: v for u, v in values.items() if u[:1] == "\n" or u[:1] == " " and u[1:2] != "\n"}
-
-    def __call__(self, text: str, some: list[str] | None) -> bytes:
+    def __init__(self, units: Iterable[str], values: Iterable[bytes], glue: bytes):
+        self.parts: dict[str, bytes] = {}  # by what ``parted`` gives for a unit
+        self.others: dict[str, bytes] = {}
+        self.glue = glue
+        for u, v in zip(units, values):
+            if u[0] == "\n":
+                self.parts[u] = v
+            elif u[0] == " " and u[1:2] != "\n":
+                self.parts[u[1:]] = v
+            else:
+                self.others[u] = v
+
+    def _value(self, unit: str) -> bytes:
+        if unit[0] == "\n":
+            return self.parts[unit]
+        return self.parts[unit[1:]] if unit[0] == " " and unit[1:2] != "\n" else self.others[unit]
+
+    def __call__(self, text: str) -> bytes:
+        some = parted(text)
         if some is None:
-            return self.glue.join(map(self.values.__getitem__, UNIT.findall(text)))
-        return self.glue.join([self.values[some[0]], *map(self.parts.__getitem__, some[1:])])
+            return self.glue.join(map(self._value, UNIT.findall(text)))
+        return self.glue.join([self.others[some[0]], *map(self.parts.__getitem__, some[1:])])
 
 
 def _pack(parts: list[bytes]) -> bytes:
     """Byte strings as one, compressed."""
     sizes = np.array([len(parts), *map(len, parts)], ID)
-    return zstandard.compress(b"".join([sizes.tobytes(), *parts]), 1)
+    return zstandard.compress(b"".join([sizes.tobytes(), *parts]), 3)
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -144,7 +157,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     same path on every executor, as an installed package does.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shards = max(SHARDS, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, parts = max(SHARDS, -(-size // SHARD_BYTES)), max(1, -(-size // BLOCK_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in blocks(batches):
@@ -192,30 +206,33 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     def put_together(codec: Codec, texts: list[str], known: dict[str, bytes]) -> dict[str, pa.Array]:
         if not digests:
-            join = Block(known, b"")
-            ids = [join(t, parted(t)) for t in texts]
+            join = Block(known, known.values(), b"")
+            ids = [join(t) for t in texts]
             return {"n_tokens": pa.array([len(x) // ID.itemsize for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
         ends = np.cumsum([len(x) // ID.itemsize for x in known.values()]).tolist()
-        flat = np.frombuffer(b"".join(known.values()), ID).tolist()
         ranges = [slice(a, b) for a, b in zip([0, *ends], ends)]
-        numbers, names = list(map(codec.decimals.__getitem__, flat)), list(map(codec.names.__getitem__, flat))
-        listed = Block({u: b" ".join(numbers[r]) for u, r in zip(known, ranges)}, b" ")
-        decoded = Block({u: b"".join(names[r]) for u, r in zip(known, ranges)}, b"")
-        n, of_ids, of_bytes = [], [], []
+        flat = np.frombuffer(b"".join(known.values()), ID).tolist()
+        n, of_ids = [], []
+        numbers = list(map(codec.decimals.__getitem__, flat))
+        join = Block(known, (b" ".join(numbers[r]) for r in ranges), b" ")
         for t in texts:
-            some = parted(t)
-            ids = listed(t, some)
+            ids = join(t)
             n.append(ids.count(b" ") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_bytes.append(hashlib.sha256(decoded(t, some)).hexdigest())
+        del numbers, join  # one table at a time is held
+        names = list(map(codec.names.__getitem__, flat))
+        join = Block(known, (b"".join(names[r]) for r in ranges), b"")
+        of_bytes = [hashlib.sha256(join(t)).hexdigest() for t in texts]
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
 
     kind = own.schema["doc_id"].dataType.simpleString()
     asked = own.mapInArrow(ask, "shard long, block long, units binary")
-    answers = asked.groupBy("shard").applyInArrow(replay, "block long, units binary, answers binary")
+    # as many partitions as shards and blocks, so that no task's share grows with the corpus
+    answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(replay, "block long, units binary, answers binary")
     texts = own.mapInArrow(give, f"block long, doc_ids array<{kind}>, texts binary")
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, {rest}")
+    by_block = lambda df: df.repartition(parts, "block").groupBy("block")
+    return by_block(texts).cogroup(by_block(answers)).applyInArrow(finish, f"doc_id {kind}, n_tokens long, {rest}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

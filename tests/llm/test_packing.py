@@ -1,6 +1,6 @@
 import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +50,37 @@ def test_a_seed_is_followed_by_its_nearest_neighbours():
     assert sum(a % 2 == b % 2 for a, b in zip(order, order[1:])) >= 26
 
 
+def test_every_neighbour_of_a_shard_is_looked_up_by_all_terms():
+    rng = np.random.default_rng(3)
+    lists = [rng.zipf(1.3, rng.integers(1, 900)) % 500 for _ in range(60)]
+    ids = [x.astype("<u2").tobytes() for x in lists]
+    idf, mean = rng.random(op.TERMS) + 0.1, float(np.mean([len(x) for x in lists]))
+    counts = [Counter(x.tolist()) for x in lists]
+
+    def score(seed, d):
+        size = 1 - op.B + op.B * len(lists[d]) / mean
+        return sum(idf[t] * counts[d][t] * (op.K1 + 1) / (counts[d][t] + op.K1 * size) for t in counts[seed] if t in counts[d])
+
+    order, unused, at, crossed = [], list(range(60)), 0, False
+    while unused:
+        if not crossed:
+            order.append(unused.pop(0))
+            at += len(lists[order[-1]])
+        crossed = False
+        if at % op.WINDOW == 0:
+            continue
+        seed, window = order[-1], at // op.WINDOW
+        near = sorted((d for d in unused if score(seed, d) > 0), key=lambda d: -score(seed, d))
+        for d in near:
+            order.append(d)
+            unused.remove(d)
+            at += len(lists[d])
+            if at // op.WINDOW != window:
+                crossed = at % op.WINDOW != 0
+                break
+    assert op.arrange(ids, idf, mean) == order
+
+
 def test_layout_has_no_padding():
     for sizes in ([1], [2048], [5000, 3], [1, 1, 2047], [700] * 9):
         document, start, length, sequence, offset = op.lay_out(np.array(sizes))

@@ -135,6 +135,7 @@ def test_python_2():
     assert set(made) == {"python2_to_python3", "python2_to_python3_and_main"}
     new = made["python2_to_python3"]
     assert code.Snippet(new).compiles and "print(i, 'x')" in new and "except ValueError as e:" in new and "range(3)" in new
+    assert code.from_python2("print 'a;b#', \"c;\"; print 1") == "print('a;b#', \"c;\"); print(1)"
     assert code.from_python2("print(1)") is None and code.from_python2("print 1 +") is None
 
 

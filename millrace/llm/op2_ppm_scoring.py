@@ -24,7 +24,9 @@ Scores are base-10 logarithms of probabilities; the code length in bits is -scor
 The unigram base counts every token of the training texts. Tokens with at least 1 / HOT_SHARE of all
 occurrences, of which there are at most HOT_SHARE, are looked up on the spot; the others are joined to
 the counts, one row for each text and token. Tokens are named by 64-bit hashes. Rows of equal id and text
-are scored each; an empty table gives an empty result; without training rows all is uniform.
+are scored each; an empty table gives an empty result; without training rows all is uniform. Texts of any
+length are coded whole, in segments. Scores have no ties to break. Only the id and text columns are read, so
+others may have any names.
 """
 
 from __future__ import annotations
@@ -73,13 +75,12 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _grams(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(p for _, p in parts), np.uint8)
-    n = len(raw) - ORDER
-    key = np.zeros(n, np.uint64)
-    for i in range(ORDER + 1):
-        key |= raw[i : n + i].astype(np.uint64) << np.uint64(8 * (ORDER - i))
     sizes = np.array([len(p) for _, p in parts], np.int64)
-    inside = np.ones(len(raw), bool)
+    n = int(sizes.sum()) - ORDER
+    # eight bytes from every place on, the first one highest, of which a gram has the first
+    raw = b"".join([*(p for _, p in parts), bytes(8 - ORDER - 1)])
+    key = (np.ndarray((n,), ">u8", raw, strides=(1,)) >> np.uint64(64 - 8 * (ORDER + 1))).astype(np.uint64)
+    inside = np.ones(n + ORDER, bool)
     for j, s in enumerate(np.cumsum(sizes) - sizes):
         inside[s : s + ORDER] = False
     owner = np.repeat(np.array([i for i, _ in parts]), sizes - ORDER)
@@ -97,13 +98,17 @@ def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, key, count) of the different pairs, in order of owner."""
+    """(owner, key, count) of the different pairs, in order of owner; so are the owners given."""
     if not len(key):
         return owner, key, np.empty(0, np.int64)
-    order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
-    return owner[first], key[first], np.diff(np.append(first, len(key)))
+    shift = np.uint64(8 * (ORDER + 1))
+    bases = np.arange(owner[0], owner[-1] + 1, 1 << (64 - int(shift)))  # owner and gram share 64 bits
+    cuts, out = [*np.searchsorted(owner, bases).tolist(), len(owner)], []
+    for base, a, b in zip(bases.tolist(), cuts, cuts[1:]):
+        both = np.sort(((owner[a:b] - base).astype(np.uint64) << shift) | key[a:b])
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, b - a), bool), both[1:] != both[:-1]]))
+        out.append(((both[first] >> shift).astype(np.int64) + base, both[first] & ((_ONE << shift) - _ONE), np.diff(np.append(first, b - a))))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _all_orders(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.llm import op2_ppm_scoring as op
@@ -106,3 +107,21 @@ def test_rare_grams_are_learnt_at_any_size(spark):
         b = bytes([op.START]) * op.ORDER + low(t) + bytes([op.END])
         own = [b[p - op.ORDER : p + 1] for p in range(op.ORDER, len(b))]
         assert got[i] == pytest.approx(sum(math.log10(grams[g] / (context[g[:-1]] + kinds[g[:-1]])) for g in own), rel=1e-9)
+
+
+def test_grams_are_counted_by_text():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, rng.integers(0, 12)).astype(np.uint8)) for _ in range(400)]
+    want = Counter()
+    for i, t in enumerate(texts):
+        whole = bytes([op.START] * op.ORDER) + t + bytes([op.END])
+        want.update((i, int.from_bytes(whole[k : k + op.ORDER + 1], "big")) for k in range(len(whole) - op.ORDER))
+    (grams, owner), *rest = op._segments(texts)
+    assert not rest
+    assert dict(zip(zip(*(x.tolist() for x in op._counted(owner, grams)[:2])), op._counted(owner, grams)[2].tolist())) == want
+    # owners far apart
+    far = np.array([3, 3, 65538, 65539, 400_000, 400_000, 400_000])
+    key = np.array([7, 7, (1 << 48) - 1, 0, 5, 4, 5], np.uint64)
+    got = [x.tolist() for x in op._counted(far, key)]
+    assert got == [[3, 65538, 65539, 400_000, 400_000], [7, (1 << 48) - 1, 0, 4, 5], [2, 1, 1, 1, 2]]
+    assert [len(x) for x in op._counted(far[:0], key[:0])] == [0, 0, 0]

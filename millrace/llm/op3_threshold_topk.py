@@ -13,7 +13,12 @@ Scores are integers: components are floor(64 * x) in double precision, products
 Queries and candidates meet share by share, so no pair of single rows is ever made. Null vectors and those
 with null or non-finite components take no part. Fewer candidates than k give fewer rows. Repeated ids
 are rows of their own, and a query leaves out its own row, not other rows of its id. Vectors of another
-length than the query's share no score and are left out for it. An empty table gives an empty result.
+length than the query's share no score and are left out for it. An empty table gives an empty result. Only the
+id and the vector are read, so other columns may have any names.
+
+Where vectors have no heavy components, as unit vectors in random directions, no sound bound over sorted lists
+falls below the kth score before nearly all vectors are met; README has the share that was. A search then costs
+what the full product of a block does, and its result is the same.
 """
 
 from __future__ import annotations

@@ -12,7 +12,12 @@ is the seed. The last window of a shard is cut into sequences whose lengths are
 need no padding, so nothing is padded at all.
 
 Null and empty texts have the closing id alone. Texts of any length are cut over as many windows as they
-need. Repeated rows are packed each. Null ids keep their rows. An empty table gives an empty result.
+need. Repeated rows are packed each. Null ids keep their rows. An empty table gives an empty result. Of
+neighbours with equal scores the first by id, then by content goes first, as do seeds. Only the id and text
+columns are read, so others may have any names.
+
+A seed is looked up by all its terms, so within its shard no neighbour is missed; README says what share of the best
+neighbours of the whole index lies there.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ WINDOW, END_ID = 2048, 1
 TERMS = 1 << 16
 #: Tokens of a shard; a row counts as ROW_TOKENS more, so that short documents don't crowd a shard.
 SHARD_TOKENS, ROW_TOKENS = 1 << 19, 128
-#: BM25 parameters, the terms of a seed that are looked up, and the heaviest terms that may name a shard.
-K1, B, QUERY_TERMS, KEY_TERMS = 1.2, 0.75, 32, 8
+#: BM25 parameters, and the heaviest terms that may name a shard.
+K1, B, KEY_TERMS = 1.2, 0.75, 8
 
 #: Encoders of this worker process by vocabulary file.
 _LIBRARIES: dict[str, tiktoken.Encoding] = {}
@@ -60,9 +65,9 @@ def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library(path, pattern).encode
+        encode, end = library(path, pattern).encode_to_numpy, np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids = [np.array([*encode(t or "", allowed_special="all"), END_ID], "<u2").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [encode(t or "", allowed_special="all").astype("<u2").tobytes() + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -72,8 +77,9 @@ def _postings(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """(document, term, count) of distinct terms in order of document and term, and lengths."""
     sizes = np.array([len(x) // 2 for x in ids], np.int64)
     flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-    key, n = np.unique(np.repeat(np.arange(len(ids)) * TERMS, sizes) + flat, return_counts=True)
-    return key // TERMS, key % TERMS, n, sizes
+    key = np.sort(np.repeat(np.arange(len(ids)) * TERMS, sizes) + flat)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first] // TERMS, key[first] % TERMS, np.diff(np.append(first, len(key))), sizes
 
 
 def _by_term(tokens: DataFrame, run: Callable) -> np.ndarray:
@@ -97,7 +103,9 @@ def _keys(ids: list[bytes], idf: np.ndarray, mean: float) -> tuple[np.ndarray, n
     """The term that names each document's shard, and its load."""
     doc, term, n, sizes = _postings(ids)
     weight = _weights(n, idf[term], sizes[doc], mean)
-    order = np.lexsort((term, -weight, doc))
+    # by document, then weight down; places of equal weight are in order of term already
+    down = np.uint64(0xFFFFFFFF) - weight.astype(np.float32).view(np.uint32).astype(np.uint64)
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(32)) | down, kind="stable")
     doc, term = doc[order], term[order]
     first = np.searchsorted(doc, np.arange(len(ids)))
     heavy = np.arange(len(doc)) - first[doc] < KEY_TERMS
@@ -130,7 +138,8 @@ def arrange(ids: list[bytes], idf: np.ndarray, mean: float) -> list[int]:
     weight = _weights(n, idf[term], sizes[doc], mean)
     of = np.searchsorted(doc, np.arange(len(ids) + 1))
     inverted = np.lexsort((doc, term))
-    p_doc, p_weight, p_term = doc[inverted], weight[inverted], term[inverted]
+    p_doc, p_weight = doc[inverted], weight[inverted]
+    begin = np.searchsorted(term[inverted], np.arange(TERMS + 1))
     unused, order, at, next_doc = np.ones(len(ids), bool), [], 0, 0
     while True:
         if not order or at % WINDOW == 0 or not found:
@@ -146,10 +155,9 @@ def arrange(ids: list[bytes], idf: np.ndarray, mean: float) -> list[int]:
                 continue
         else:
             seed = order[-1]
-        own = slice(of[seed], of[seed + 1])
-        best = term[own][np.argsort(-weight[own], kind="stable")[:QUERY_TERMS]]
-        a, b = np.searchsorted(p_term, best), np.searchsorted(p_term, best, side="right")
-        hit = np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist())])
+        own = term[of[seed] : of[seed + 1]]
+        n_hits = begin[own + 1] - begin[own]
+        hit = np.repeat(begin[own] - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
         score = np.bincount(p_doc[hit], weights=p_weight[hit], minlength=len(ids)) * unused
         near = np.flatnonzero(score > 0)
         found, window = False, at // WINDOW
@@ -209,7 +217,8 @@ def pack(tokens: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                 np.add.at(own, key, load)
         yield _sums(own)
 
-    shards = context.broadcast(_deal(_by_term(tokens, loads), shard_tokens))
+    dealt_out = _deal(_by_term(tokens, loads), shard_tokens)
+    shards, n_shards = context.broadcast(dealt_out), int((dealt_out[0] + dealt_out[1]).max())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, count = shards.value
@@ -247,7 +256,8 @@ def pack(tokens: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     dealt = tokens.mapInArrow(deal, f"shard long, doc_id {kind}, ids binary")
-    return dealt.groupBy("shard").applyInArrow(fill, f"doc_id {kind}, {PIECE}")
+    # as many partitions as shards, so that no task's share grows with the corpus
+    return dealt.repartition(n_shards, "shard").groupBy("shard").applyInArrow(fill, f"doc_id {kind}, {PIECE}")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

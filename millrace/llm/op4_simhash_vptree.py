@@ -11,7 +11,10 @@ counts of all distinct fingerprints by block value, a table of fixed size. A fin
 leaf (its home) and visits the leaves that the triangle bounds leave open for radius 1; of two leaves
 only the later one is visited, which still brings every pair together. Leaves are the shards: in each,
 homes are compared with homes and visitors whose block value lies within 1, and the full fingerprints
-decide. A shard with too many rows is dealt in slices, and each pair of slices is a task of its own.
+decide. Where both of two such values have many fingerprints, these are searched in the same way by the other
+three blocks (of a distance of 4 one of three blocks has 1 at most), so that the comparisons of a fingerprint
+don't grow with the rows of its value. A leaf holds a bounded number of rows unless a single value has more;
+a shard with too many is dealt in slices, and each pair of slices is a task of its own.
 
 A shard returns for each of its fingerprints one link to the smallest one it is connected with there,
 so links grow with the fingerprints and not with the square of a group. Components of these links are
@@ -19,6 +22,7 @@ found by ``graph.components``. Equal fingerprints are one node from the start.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows keep their rows.
 A null id is larger than any other when the smallest id is taken. An empty table gives an empty result.
+Texts of any length are read whole. Columns beside the id and the text are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,17 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, utf8
+from .common import cut, plain_names, read, utf8
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 1
 VALUES = 1 << BLOCK_BITS
-#: A leaf is split further while it holds more homes than this share of all, and than LEAF_LEAST.
-LEAF_SHARE, LEAF_LEAST, DEPTH = 1 / 64, 1024, 14
+#: A leaf is split further while it holds more homes than LEAF_MOST or this share of all, and than LEAF_LEAST.
+LEAF_SHARE, LEAF_LEAST, LEAF_MOST, DEPTH = 1 / 64, 1024, 1 << 19, 16
 #: Rows of a shard that one task compares; larger shards are dealt in slices.
 TASK_ROWS_LEAST, TASK_ROWS_MOST = 8192, 1 << 20
 PAIRS = 1 << 21
+#: Fingerprints of each of two block values from which the other blocks are searched too.
+DENSE = 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -98,7 +104,7 @@ def plant(weights: np.ndarray) -> Tree:
     """The vantage-point tree of one block space for counts of fingerprints by block value."""
     present = np.flatnonzero(weights)
     total = int(weights.sum())
-    limit = max(LEAF_LEAST, int(total * LEAF_SHARE))
+    limit = max(LEAF_LEAST, min(int(total * LEAF_SHARE), LEAF_MOST))
     leaves: list[tuple[np.ndarray, np.ndarray]] = []
     todo = [(present, np.empty(0, np.int64), 0)]
     while todo:
@@ -198,6 +204,31 @@ def _expand(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np
     return left[at] + nth // n_right[at], right[at] + nth % n_right[at]
 
 
+def _steps(load: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose loads sum to about PAIRS."""
+    upto = np.cumsum(load)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // PAIRS)) + 1).tolist(), len(upto)]
+    yield from zip(cuts, cuts[1:])
+
+
+def _dense(fps: np.ndarray, left: slice, right: slice, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs between two ranges of fingerprints with near values of block b: near in another block, too."""
+    for c in range(BLOCKS):
+        if c == b:
+            continue
+        wanted, there = _block(fps[left], c), _block(fps[right], c)
+        order = np.argsort(there, kind="stable")
+        there = there[order]
+        for mask in (0, *(1 << i for i in range(BLOCK_BITS))):
+            lo = np.searchsorted(there, wanted ^ mask)
+            n = np.searchsorted(there, wanted ^ mask, side="right") - lo
+            some = np.flatnonzero(n)
+            for s, e in _steps(n[some]):
+                at = some[s:e]
+                x, y = _expand(at, np.ones(len(at), np.int64), lo[at], n[at])
+                yield left.start + x, right.start + order[y]
+
+
 def links(fps: np.ndarray, role: np.ndarray, part: np.ndarray, b: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest one it is connected with here) of one task, by block b.
 
@@ -208,12 +239,26 @@ def links(fps: np.ndarray, role: np.ndarray, part: np.ndarray, b: int, across: b
     fps, role, part, value = fps[order], role[order], part[order], value[order]
     distinct, first, size = np.unique(value, return_index=True, return_counts=True)
     labels = np.arange(len(fps))
+
+    def unite(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        wanted = (x < y) & (labels[x] != labels[y]) & ((role[x] == 0) | (role[y] == 0))
+        if across:
+            wanted &= part[x] != part[y]
+        x, y = x[wanted], y[wanted]
+        close = np.bitwise_count(fps[x] ^ fps[y]) <= RADIUS
+        return _unite(labels, x[close], y[close])
+
     step = max(1, PAIRS // max(1, len(distinct)))
     for at in range(0, len(distinct), step):
         near = np.bitwise_count((distinct[at : at + step, None] ^ distinct[None, :]).astype(np.uint16)) <= BLOCK_RADIUS
         u, v = np.nonzero(near)
         u += at
         u, v = u[u <= v], v[u <= v]
+        dense = (size[u] >= DENSE) & (size[v] >= DENSE)
+        for i, j in zip(u[dense].tolist(), v[dense].tolist()):
+            for x, y in _dense(fps, slice(first[i], first[i] + size[i]), slice(first[j], first[j] + size[j]), b):
+                labels = unite(labels, x, y)
+        u, v = u[~dense], v[~dense]
         # ranges of at most 1024 rows a side, so that a very common value is no single step
         cu, cv = -(-size[u] // 1024), -(-size[v] // 1024)
         i, j = _expand(np.zeros(len(u), np.int64), cu, np.zeros(len(u), np.int64), cv)
@@ -221,18 +266,8 @@ def links(fps: np.ndarray, role: np.ndarray, part: np.ndarray, b: int, across: b
         left, right = first[u[pair]] + 1024 * i, first[v[pair]] + 1024 * j
         n_left = np.minimum(1024, first[u[pair]] + size[u[pair]] - left)
         n_right = np.minimum(1024, first[v[pair]] + size[v[pair]] - right)
-        ordered = (u[pair] != v[pair]) | (i <= j)
-        left, right, n_left, n_right = left[ordered], right[ordered], n_left[ordered], n_right[ordered]
-        load = np.cumsum(n_left * n_right)
-        cuts = [0, *(np.flatnonzero(np.diff(load // PAIRS)) + 1).tolist(), len(load)]
-        for s, e in zip(cuts, cuts[1:]):
-            x, y = _expand(left[s:e], n_left[s:e], right[s:e], n_right[s:e])
-            wanted = (x < y) & (labels[x] != labels[y]) & ((role[x] == 0) | (role[y] == 0))
-            if across:
-                wanted &= part[x] != part[y]
-            x, y = x[wanted], y[wanted]
-            close = np.bitwise_count(fps[x] ^ fps[y]) <= RADIUS
-            labels = _unite(labels, x[close], y[close])
+        for s, e in _steps(n_left * n_right):
+            labels = unite(labels, *_expand(left[s:e], n_left[s:e], right[s:e], n_right[s:e]))
     # rows are in order of value, so the smallest label isn't the smallest fingerprint; any member serves
     moved = labels != np.arange(len(fps))
     return fps[moved], fps[labels[moved]]
@@ -290,27 +325,26 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the one with the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs)
-    kept = cut(found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")))
-    several = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id")))
+    plain = plain_names(docs)
+    names = plain.columns
+    at, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = near_duplicates(plain, at, text)
+    kept = cut(found.filter("kept").select(F.col("doc_id").alias("id"), "fp"))
+    several = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id")))
+    same = F.col(at).eqNullSafe(F.col("id"))
     # texts move by their ids, which are as good as unique, so no task gets a hot group
-    whole = docs.join(kept.select("__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    whole = plain.join(kept.select("id").hint("shuffle_hash"), same, "left_semi")
     if several.isEmpty():
-        return whole.select(*docs.columns)
+        return whole.toDF(*docs.columns)
     # ids that occur in several rows: those rows are told apart by fingerprint, then one of equals stays
-    single = whole.join(several.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = whole.join(several.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    single = whole.join(several.hint("shuffle_hash"), same, "left_anti")
+    repeated = whole.join(several.hint("shuffle_hash"), same, "left_semi")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in utf8(batch.column(names.index(text)))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, "__fp"])
-
-    given = repeated.toDF(*names)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
-    marked = given.mapInArrow(mark, f"{fields}, __fp long")
-    right = kept.withColumnRenamed("__fp", "__own")
-    one = marked.join(right, F.col(at).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
-    return single.union(one.dropDuplicates([at, "__fp"]).select(*names)).toDF(*docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, "own"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    one = repeated.mapInArrow(mark, f"{fields}, own long").join(kept, same & (F.col("own") == F.col("fp")), "left_semi")
+    return single.union(one.dropDuplicates([at, "own"]).select(*names)).toDF(*docs.columns)

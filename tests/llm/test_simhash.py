@@ -54,6 +54,31 @@ def test_every_link_is_found_in_dense_and_random_fingerprints(spark, monkeypatch
     assert (labels == brute_classes(fps)).all()
 
 
+@pytest.mark.parametrize("dense", [2, 40, 10**9])
+@pytest.mark.parametrize("b", range(4))
+def test_dense_values_are_searched_by_the_other_blocks(monkeypatch, dense, b):
+    monkeypatch.setattr(op, "DENSE", dense)
+    monkeypatch.setattr(op, "PAIRS", 5000)  # many steps
+    rng = np.random.default_rng(b)
+    # few values in block b, so that most rows share theirs; links by chains of small changes elsewhere
+    values = np.array([3, 2, 7, 0x8000], np.uint64)[rng.integers(0, 4, 3000)]
+    fps = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for i in range(0, 3000, 3):
+        f = int(fps[i - 1])
+        for bit in rng.integers(0, 64, rng.integers(0, 6)):
+            f ^= 1 << int(bit)
+        fps[i] = f
+    mask = np.uint64(0xFFFF << (16 * b))
+    fps = np.unique((fps & ~mask) | (values << np.uint64(16 * b)))
+    near = op._block(fps, b)
+    zero = np.zeros(len(fps), np.int8)
+    x, y = op.links(fps, zero, zero, b, False)
+    labels = op._unite(np.arange(len(fps)), np.searchsorted(fps, x), np.searchsorted(fps, y))
+    close = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4) & (np.bitwise_count((near[:, None] ^ near[None, :]).astype(np.uint64)) <= 1)
+    i, j = np.nonzero(close)
+    assert (labels == op._unite(np.arange(len(fps)), i, j)).all()
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     from millrace.llm.graph import components
 

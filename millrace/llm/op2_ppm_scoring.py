@@ -53,6 +53,8 @@ SYMBOLS = 256
 #: Grams that a counting task holds before it hands them on.
 HELD_GRAMS = 1_000_000
 CACHED_WORDS = 200_000
+#: Bytes of text whose grams a worker holds as arrays at one time.
+SEGMENT_BYTES = CHUNK_BYTES // 2
 
 _ONE = np.uint64(1)
 
@@ -63,9 +65,9 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = 0
     for i, t in enumerate(texts):
         whole = bytes([START] * ORDER) + t.lower() + bytes([END])
-        for at in range(0, len(whole) - ORDER, CHUNK_BYTES):
-            part = whole[at : at + CHUNK_BYTES + ORDER]
-            if todo and size + len(part) > CHUNK_BYTES:
+        for at in range(0, len(whole) - ORDER, SEGMENT_BYTES):
+            part = whole[at : at + SEGMENT_BYTES + ORDER]
+            if todo and size + len(part) > SEGMENT_BYTES:
                 yield _grams(todo)
                 todo, size = [], 0
             todo.append((i, part))
@@ -377,7 +379,7 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
 
         for batch in batches:
             texts = utf8(batch.column(1))
-            for a, b in runs([len(t) for t in texts]):
+            for a, b in runs([len(t) for t in texts], SEGMENT_BYTES):
                 some = texts[a:b]
                 model_log, others, size = np.zeros(len(some)), [], np.zeros(len(some), np.int64)
                 for grams, owner in _segments(some):

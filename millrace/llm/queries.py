@@ -13,6 +13,7 @@ from . import (
     op8_line_dedup,
     op9_secret_scan,
     op10_license_scan,
+    op11_substring_dedup,
 )
 
 QUERIES = {
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_secret_scan": op9_secret_scan.op9_secret_scan,
     "op10_license_scan": op10_license_scan.op10_license_scan,
+    "op11_substring_dedup": op11_substring_dedup.op11_substring_dedup,
 }
 
 #: The others have no SQL: hashes and models that DuckDB lacks. Their tests hold them against brute force.
 ORACLE_SQL = {
     "op3_threshold_topk": op3_threshold_topk.SQL,
     "op5_exact_dedup": op5_exact_dedup.SQL,
+    "op11_substring_dedup": op11_substring_dedup.SQL,
 }

@@ -14,6 +14,7 @@ from . import (
     op9_secret_scan,
     op10_license_scan,
     op11_substring_dedup,
+    op12_fill_in_middle,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan.op9_secret_scan,
     "op10_license_scan": op10_license_scan.op10_license_scan,
     "op11_substring_dedup": op11_substring_dedup.op11_substring_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle.op12_fill_in_middle,
 }
 
 #: The others have no SQL: hashes and models that DuckDB lacks. Their tests hold them against brute force.
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op3_threshold_topk": op3_threshold_topk.SQL,
     "op5_exact_dedup": op5_exact_dedup.SQL,
     "op11_substring_dedup": op11_substring_dedup.SQL,
+    "op12_fill_in_middle": op12_fill_in_middle.SQL,
 }

@@ -15,6 +15,7 @@ from . import (
     op10_license_scan,
     op11_substring_dedup,
     op12_fill_in_middle,
+    op13_join_maintenance,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan.op10_license_scan,
     "op11_substring_dedup": op11_substring_dedup.op11_substring_dedup,
     "op12_fill_in_middle": op12_fill_in_middle.op12_fill_in_middle,
+    "op13_join_maintenance": op13_join_maintenance.op13_join_maintenance,
 }
 
 #: The others have no SQL: hashes and models that DuckDB lacks. Their tests hold them against brute force.
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": op5_exact_dedup.SQL,
     "op11_substring_dedup": op11_substring_dedup.SQL,
     "op12_fill_in_middle": op12_fill_in_middle.SQL,
+    "op13_join_maintenance": op13_join_maintenance.SQL,
 }

@@ -47,6 +47,7 @@ def corpus():
     return [(*r, None if r[1] is None else len(r[1])) for r in rows]
 
 
+LABELS = [(i % 270, (1, 0, None)[i % 3], (0, 1)[i % 2]) for i in range(0, 500, 3)] + [(None, 1, None), (6, 1, 0), (6, 1, 0)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -56,22 +57,25 @@ def docs(spark, corpus):
 
 
 @pytest.fixture(scope="session")
-def sf_dir(docs, tmp_path_factory):
+def sf_dir(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
 #: Names that operators use inside; documents may have columns of these names too.
-CLASHES = ("row", "key", "blob", "spans", "fp", "score", "lang_pred", "kept", "ids", "shard", "names", "gone", "total", "sha256", "c0")
+CLASHES = ("row", "key", "blob", "spans", "fp", "score", "lang_pred", "kept", "ids", "shard", "names", "gone", "total", "sha256", "c0", "n", "id", "form", "output", "base", "shifts", "parts", "event", "p0", "u0")
 
 
 @pytest.fixture(scope="session")
-def clashing_dir(docs, tmp_path_factory):
+def clashing_dir(spark, docs, tmp_path_factory):
     from pyspark.sql import functions as F
 
     path = str(tmp_path_factory.mktemp("clash"))
     docs.select("*", *[F.lit("x").alias(c) for c in CLASHES]).write.parquet(f"{path}/documents.parquet")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    labels.select("*", *[F.lit("x").alias(c) for c in CLASHES]).write.parquet(f"{path}/labels.parquet")
     return path
 
 
@@ -79,5 +83,6 @@ def clashing_dir(docs, tmp_path_factory):
 def empty_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path

@@ -11,7 +11,7 @@ batch touches nothing is computed. The others' joined copies are outer products
 taken for all keys and batches together, at most PAIRS pairs at a time; what differs from the batch before is a
 change. A side that is empty at a key pads the other with ``-``: its count of that part is one then.
 
-Null base keys match nothing: rows of the sides are padded apart, under a null key. Parts are texts in which nulls
+Null base keys match nothing: every such row meets a pad, under a null key. Parts are texts in which nulls
 are printed already; a part that prints like a pad or like another is the same joined row. Repeated rows count as
 often as they stand. Empty tables give no rows, and one empty side pads the other. The rows of one key can have no
 more joined parts than the product of their different parts, which is the result itself.
@@ -64,23 +64,40 @@ class Side:
         np.add.at(self.counts, (place, when), n)
         self.at = np.searchsorted(self.key, np.arange(width + 1))
 
-    def sums(self) -> np.ndarray:
-        return np.add.reduceat(self.counts, self.at[:-1], axis=0)
+    def moved(self) -> np.ndarray:
+        """Keys at which a batch changes a count."""
+        changed = (np.diff(self.counts, axis=1) != 0).any(axis=1)
+        return np.logical_or.reduceat(changed, self.at[:-1])
 
-    def padded(self, always: bool) -> np.ndarray:
+    def padded(self) -> np.ndarray:
         """Adds the pad where this side is empty; returns it by key and time."""
-        sums = self.sums()
-        pad = np.ones_like(sums) if always else (sums == 0).astype(np.int64)
+        pad = (np.add.reduceat(self.counts, self.at[:-1], axis=0) == 0).astype(np.int64)
         self.counts[self.at[:-1]] += pad
         return pad
 
 
-def _range(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], width: int, times: int, matched: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(time, key, left part, right part, weight, total) of the changes of a range, in blocks."""
+def _changed(copies: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(time, key, left part, right part, weight, total) where copies differ from the time before."""
+    weight = np.diff(copies, axis=1)
+    row, when = np.nonzero(weight)
+    return when + 1, key[row], left[row], right[row], weight[row, when], copies[row, when + 1]
+
+
+def _apart(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], times: int) -> tuple[np.ndarray, ...]:
+    """The changes under a null key, where every row meets a pad."""
+    a, b = Side(*left, 1, times), Side(*right, 1, times)
+    a.counts[0] += b.counts[0]  # parts that print like a pad
+    pads = np.zeros(len(a.part), np.int64), np.zeros(len(b.part) - 1, np.int64)
+    copies, parts = np.concatenate([a.counts, b.counts[1:]]), (np.concatenate([a.part, pads[1]]), np.concatenate([pads[0], b.part[1:]]))
+    return _changed(copies, np.zeros(len(copies), np.int64), *parts)
+
+
+def _range(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], width: int, times: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The changes of a range, in blocks."""
     a, b = Side(*left, width, times), Side(*right, width, times)
-    pads = a.padded(not matched), b.padded(not matched)
-    moved = [np.add.reduceat((np.diff(x.counts, axis=1) != 0).any(axis=1).astype(np.int64), x.at[:-1]) > 0 for x in (a, b)]
-    rows = np.flatnonzero((moved[0] | moved[1])[a.key])
+    moved = a.moved() | b.moved()
+    pads = a.padded(), b.padded()
+    rows = np.flatnonzero(moved[a.key])
     wide = np.diff(b.at)[a.key[rows]]
     block = (np.cumsum(wide) - wide) // PAIRS
     for begin, end in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.searchsorted(block, np.arange(block[-1] + 2 if len(block) else 1)))):
@@ -92,9 +109,7 @@ def _range(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], width: i
         copies = a.counts[i] * b.counts[j]
         both = (a.part[i] == 0) & (b.part[j] == 0)
         copies[both] -= (pads[0] * pads[1])[a.key[i[both]]]  # a pad joins no pad
-        weight = np.diff(copies, axis=1)
-        pair, when = np.nonzero(weight)
-        yield when + 1, a.key[i[pair]], a.part[i[pair]], b.part[j[pair]], weight[pair, when], copies[pair, when + 1]
+        yield _changed(copies, a.key[i], a.part[i], b.part[j])
 
 
 def _side(rows: DataFrame, left: bool, width: int) -> DataFrame:
@@ -103,8 +118,7 @@ def _side(rows: DataFrame, left: bool, width: int) -> DataFrame:
     ranges = F.array_distinct(F.array_compact(F.transform("shifts", lambda s: _floor(F.col("base") + s, width))))
     there = F.exists("shifts", lambda s: s.isNotNull())
     where = F.when(F.col("base").isNull(), F.when(there, F.array(F.lit(0).cast("long")))).otherwise(ranges)
-    alone = F.when(F.col("base").isNull(), F.lit(1 if left else 2)).otherwise(F.lit(0))
-    return counted.select(F.lit(left).alias("left"), alone.alias("alone"), F.explode(where).alias("range"), "base", "shifts", "parts", "n")
+    return counted.select(F.lit(left).alias("left"), F.col("base").isNull().alias("alone"), F.explode(where).alias("range"), "base", "shifts", "parts", "n")
 
 
 def changes(left: DataFrame, right: DataFrame, batches: int, width: int = WIDTH, initial: bool = False) -> DataFrame:
@@ -131,7 +145,7 @@ def changes(left: DataFrame, right: DataFrame, batches: int, width: int = WIDTH,
             places, parts = (np.concatenate([np.full((len(n), 1), -1), x], axis=1) for x in (places, parts))
         is_left = table["left"].to_numpy(zero_copy_only=False).astype(bool)
         sides = [(places[x], parts[x], n[x]) for x in (is_left, ~is_left)]
-        for when, k, a, b, weight, total in _range(*sides, 1 if alone else width, times, not alone):
+        for when, k, a, b, weight, total in [_apart(*sides, times)] if alone else _range(*sides, width, times):
             keys = pa.nulls(len(k), pa.int64()) if alone else pa.array(k + first, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(when - initial, pa.int32()), keys, *[pa.array(names[x], pa.string()) for x in (a, b)], pa.array(weight), pa.array(total)],

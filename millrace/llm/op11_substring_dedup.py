@@ -34,8 +34,10 @@ from .common import bitmap, cut, marked, plain_names, read, runs, utf8
 
 WINDOW = 50
 #: Bytes of text whose windows a worker holds at one time, and windows of a bucket on average.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 BUCKET_WINDOWS = 1 << 21
+#: Texts whose windows return together.
+BLOCK_TEXTS = 256
 #: Bits of the broadcast bitmap of documents that lose words (8 MB).
 MARK_BITS = 1 << 26
 SPACES = b" \t\n\v\f\r"
@@ -170,11 +172,11 @@ def _chunk(n: np.ndarray, ids: np.ndarray, keys: np.ndarray, none: np.ndarray, t
     )
 
 
-FOUND = "n long, id long, key long, gone binary"
+FOUND = "block long, n long, id long, key long, rows binary, sizes binary, gone binary"
 
 
 def _bucket(group: pa.Table) -> pa.Table:
-    """(n, gone): hashes of the windows that go, by text; what was known passes."""
+    """Hashes of the windows that go, by text, a row for each block of texts; what was known passes."""
     known = group.filter(pc.is_valid(group["n"]))
     rest = group.filter(pc.is_null(group["n"]))
     packed = [rest[c].to_pylist() for c in ("rows", "ids", "sizes", "hashes", "tags")]
@@ -191,11 +193,33 @@ def _bucket(group: pa.Table) -> pa.Table:
     n, hashes = n[order][gone], hashes[order][gone]
     by = np.argsort(n, kind="stable")
     n, hashes = n[by], hashes[by]
-    at = np.append(starts_of(n), len(n))
-    out = [hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-    none = pa.nulls(len(out), pa.int64())
-    found = pa.table([pa.array(n[at[:-1]], pa.int64()), none, none, pa.array(out, pa.binary())], ["n", "id", "key", "gone"])
-    return pa.concat_tables([found, known.select(["n", "id", "key", "hashes"]).rename_columns(["n", "id", "key", "gone"])])
+    block = n // BLOCK_TEXTS
+    at = np.append(starts_of(block), len(n))
+    rows, sizes, out = [], [], []
+    for a, b in zip(at[:-1], at[1:]):
+        begin = starts_of(n[a:b])
+        rows.append(_deltas(n[a:b][begin]))
+        sizes.append(np.diff(np.append(begin, b - a)).astype("<i4").tobytes())
+        out.append(hashes[a:b].tobytes())
+    m, k = known.num_rows, len(out)
+    blocks = np.concatenate([known["n"].to_numpy() // BLOCK_TEXTS, block[at[:-1]]])
+    more = [pa.concat_arrays([known[c].combine_chunks(), pa.nulls(k, pa.int64())]) for c in ("n", "id", "key")]
+    binary = [pa.array([*[None] * m, *x], pa.binary()) for x in (rows, sizes)]
+    return pa.table([pa.array(blocks, pa.int64()), *more, *binary, pa.array([*known["hashes"].to_pylist(), *out], pa.binary())], ["block", "n", "id", "key", "rows", "sizes", "gone"])
+
+
+def _block(group: pa.Table) -> pa.Table:
+    """(id, key, gone) of the texts of a block that lose windows."""
+    known = group.filter(pc.is_valid(group["n"]))
+    rest = group.filter(pc.is_null(group["n"]))
+    own = dict(zip(known["n"].to_pylist(), zip(known["id"].to_pylist(), known["key"].to_pylist())))
+    gone = {n: [x] for n, x in zip(known["n"].to_pylist(), known["gone"].to_pylist()) if x}
+    for rows, sizes, hashes in zip(*(rest[c].to_pylist() for c in ("rows", "sizes", "gone"))):
+        ends = 8 * np.cumsum(np.frombuffer(sizes, "<i4"))
+        for n, a, b in zip(_summed(rows).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            gone.setdefault(n, []).append(hashes[a:b])
+    ids, keys = (pa.array([own[n][i] for n in gone], pa.int64()) for i in (0, 1))
+    return pa.table([ids, keys, pa.array([b"".join(x) for x in gone.values()], pa.binary())], ["id", "key", "gone"])
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -214,9 +238,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
             for a, b in runs([len(t) for t in texts], CHUNK_BYTES):
                 yield _chunk(n[a:b], ids[a:b], keys[a:b], none[a:b], texts[a:b], window, buckets)
 
-    found = given.mapInArrow(run, DEALT).groupBy("bucket").applyInArrow(_bucket, FOUND).filter("key IS NOT NULL OR octet_length(gone) > 0")
-    of_row = found.groupBy("n").agg(F.max("id").alias("id"), F.max("key").alias("key"), F.collect_list(F.when(F.octet_length("gone") > 0, F.col("gone"))).alias("gone"))
-    return of_row.filter(F.size("gone") > 0).select("id", "key", "gone").dropDuplicates(["id", "key"])
+    found = given.mapInArrow(run, DEALT).groupBy("bucket").applyInArrow(_bucket, FOUND)
+    return found.groupBy("block").applyInArrow(_block, "id long, key long, gone binary").dropDuplicates(["id", "key"])
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -240,7 +263,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     gone = cut(removals(plain, doc_id, text, window))
     keyed = plain.withColumn("key", _key(doc_id, text))
     maybe = marked(keyed, "key", bitmap(gone, "key", MARK_BITS), MARK_BITS, "maybe")
-    whole = maybe.filter(~F.col("maybe")).select(*plain.columns, F.lit(None).cast("array<binary>").alias("gone"))
+    whole = maybe.filter(~F.col("maybe")).select(*plain.columns, F.lit(None).cast("binary").alias("gone"))
     own = F.col("id").eqNullSafe(F.col(doc_id).cast("long"))
     some = maybe.filter("maybe").join(gone.withColumnRenamed("key", "gone_key").hint("shuffle_hash"), (F.col("key") == F.col("gone_key")) & own, "left").select(*plain.columns, "gone")
     own_names = plain.columns
@@ -251,9 +274,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             texts, sets = utf8(batch.column(place).cast(pa.string())), batch.column(len(own_names))
             for a, b in runs([len(t) for t in texts], CHUNK_BYTES):
                 counts, spans, kept = [], [], []
-                for t, parts in zip(texts[a:b], sets.slice(a, b - a).to_pylist()):
+                for t, hashes in zip(texts[a:b], sets.slice(a, b - a).to_pylist()):
                     words = [w for piece in word_pieces(t) for w in piece]
-                    cuts = intervals(word_hashes(t), np.frombuffer(b"".join(parts), "<u8"), window).tolist() if parts else []
+                    cuts = intervals(word_hashes(t), np.frombuffer(hashes, "<u8"), window).tolist() if hashes else []
                     counts.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in cuts])
                     for s, e in reversed(cuts):

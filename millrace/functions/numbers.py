@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .text import WS, col, strip
 
@@ -24,26 +21,35 @@ PLAIN_NUMBER = r"[+-]?(?:\d+(?:_?\d+)*\.?(?:\d+(?:_?\d+)*)?|\.\d+(?:_?\d+)*)(?:[
 PARSED = "struct<value:double,percent:boolean>"
 
 
-def command_bodies(text: str, command: str = "boxed") -> list[str]:
-    """Bodies of a LaTeX command in order, nested braces kept; a body inside a found one is not listed."""
-    closes, open_ = {}, []
-    for m in re.finditer(r"[{}]", text):
-        if m[0] == "{":
-            open_.append(m.start())
-        elif open_:
-            closes[open_.pop()] = m.start()
-    out, past = [], 0
-    for m in re.finditer(rf"\\{command}\s*(?=\{{)", text):
-        if m.start() >= past and m.end() in closes:
-            past = closes[m.end()] + 1
-            out.append(text[m.end() + 1 : closes[m.end()]])
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def boxed(texts: pd.Series) -> pd.Series:
-    """Bodies of boxed answers; braces nest, so no regular expression finds them."""
-    return texts.fillna("").map(command_bodies)
+_OPEN, _FOUND = "array<struct<depth:int,start:int>>", "array<struct<start:int,stop:int>>"
+
+
+def boxed(c: Column | str, command: str = "boxed") -> Column:
+    """Bodies of a LaTeX command in order, nested braces kept; a body inside a found one is not listed.
+
+    One fold over the braces carries their depth, the commands that are open, and what has been found. Nothing is
+    scanned in a text without the command.
+    """
+    begins = rf"\\{command}{WS}*\{{"
+
+    def of(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(rf"({begins}|[{{}}]|[^{{}}\\]+|\\)"), F.lit(1))
+
+        def step(a: Column, t: Column) -> Column:
+            command_opens, opens, closes = F.startswith(t, F.lit("\\")) & F.endswith(t, F.lit("{")), F.endswith(t, F.lit("{")), t == "}"
+            depth = F.when(opens, a["depth"] + 1).when(closes, F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+            at, top, last = a["at"] + F.length(t), F.try_element_at(a["open"], F.lit(-1)), F.try_element_at(a["found"], F.lit(-1))
+            ends = F.coalesce(closes & (top["depth"] == a["depth"]), F.lit(False))
+            open_ = F.when(command_opens, F.concat(a["open"], F.array(F.struct(depth.alias("depth"), at.alias("start"))))).when(ends, F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)).otherwise(a["open"])
+            outside = F.when(last["start"] > top["start"], F.filter(a["found"], lambda f: f["start"] < top["start"])).otherwise(a["found"])
+            found = F.when(ends, F.concat(outside, F.array(F.struct(top["start"].alias("start"), a["at"].alias("stop"))))).otherwise(a["found"])
+            return F.struct(at.alias("at"), depth.alias("depth"), open_.cast(_OPEN).alias("open"), found.cast(_FOUND).alias("found"))
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("open"), F.array().cast(_FOUND).alias("found"))
+        return F.aggregate(pieces, start, step, lambda a: F.transform(a["found"], lambda f: F.substr(text, f["start"], f["stop"] - f["start"])))
+
+    from_first = F.regexp_extract(col(c), f"(?s){begins}.*", 0)
+    return F.when(F.coalesce(col(c).rlike(begins), F.lit(False)), once(from_first, of)).otherwise(F.array().cast("array<string>"))
 
 
 def answer_spans(c: Column | str, bodies: Column | None = None) -> Column:

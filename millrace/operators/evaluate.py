@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas
 from ..functions import numbers as num
 from ..functions.text import cut_at_next_question, strip
 
@@ -110,20 +111,27 @@ def grade_interval(reply: str, target: str, lower: str, upper: str) -> Column:
 
 def grade_numeric_or_text(reply: str, target: str) -> Column:
     """Null for an empty target; a target with a number is compared as one, any other as text."""
-    t = num.first_number(target)
-    text = num.text_answer_matches(
-        num.normalise_text_answer(num.answer_spans(reply), reply), num.normalise_text_answer(num.answer_spans(target), target)
-    )
-    as_number = num.numbers_match(num.first_number(reply), t)
-    return F.when(strip(target) == "", F.lit(None).cast("boolean")).when(t.isNotNull(), as_number).otherwise(text)
+
+    def compare(spans: Column) -> Column:
+        said, wanted = spans["said"], spans["wanted"]
+        text = num.text_answer_matches(num.normalise_text_answer(said, reply), num.normalise_text_answer(wanted, target))
+        as_number = lambda n: F.when(n.isNotNull(), num.numbers_match(num.candidate(said), n)).otherwise(text)
+        return num.once(num.candidate(wanted), as_number)
+
+    spans = F.struct(num.answer_spans(reply).alias("said"), num.answer_spans(target).alias("wanted"))
+    return F.when(strip(target) == "", F.lit(None).cast("boolean")).otherwise(num.once(spans, compare))
 
 
 def grade_math(reply: str, target: str) -> Column:
-    """Equal formulas, else equal numbers if the target is one. A symbolic verifier is not available here: no match."""
-    span = F.coalesce(F.try_element_at(F.filter(num.answer_spans(reply), lambda s: strip(s) != ""), F.lit(1)), F.lit(""))
-    wanted, got = num.normalise_math(target), num.normalise_math(strip(span))
-    as_number = num.numbers_match(num.first_number(strip(span)), num.first_number(target))
-    return F.when((wanted != "") & (wanted == got), True).when(num.is_numeric_math(target), as_number).otherwise(False)
+    """Formulas of equal spelling; else equal numbers if the target is one, and equal values of formulas if not."""
+
+    def compare(span: Column) -> Column:
+        wanted, got = num.normalise_math(target), num.normalise_math(span)
+        as_number = num.numbers_match(num.first_number(span), num.first_number(target))
+        return F.when((wanted != "") & (wanted == got), True).when(num.is_numeric_math(target), as_number).otherwise(formulas.equal(target, span))
+
+    filled = F.filter(num.answer_spans(reply), lambda s: strip(s) != "")
+    return num.once(F.coalesce(strip(F.try_element_at(filled, F.lit(1))), F.lit("")), compare)
 
 
 def grade_label(predicted: str, target: str) -> Column:

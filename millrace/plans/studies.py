@@ -88,40 +88,40 @@ def rl_split(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return splits.reindexed(splits.holdout(rows, "problem_id", ["interface_kind"], n, seed), "split", "problem_id", seed)
 
 
-
-
-def grader(task: str) -> Column:
-    """The verdict expression of a task over (reply, target, lower, upper, passed)."""
-    if task in ("arc_challenge", "scienceqa"):
-        return F.col("reply") == F.col("target")
-    if task == "gsm8k":
-        return evaluate.grade_number("reply", "target")
-    if task in ("math500_medium", "math500_high_level"):
-        return evaluate.grade_math("reply", "target")
-    if task == "medcalc":
-        return evaluate.grade_interval("reply", "target", "lower", "upper")
-    if task == "finqa":
-        return evaluate.grade_numeric_or_text("reply", "target")
-    if task == "legalbench":
-        return evaluate.grade_label("reply", "target")
-    if task in ("humaneval", "mbpp_plus", "mbpp_simple", "apps_hard"):
-        return F.col("passed")
-    return F.lit(None).cast("boolean")  # replies without a grade
-
-
-def graded(records: DataFrame, task: str) -> DataFrame:
-    return records.withColumn("passed", grader(task))
-
-
-def suite(records: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """((task, suite, n, correct, accuracy, raw_n), one row of means) of the tasks' recorded replies."""
-    every: DataFrame | None = None
-    for task, rows in records.items():
-        one = graded(rows, task).select(F.lit(task).alias("task"), "passed")
-        every = one if every is None else every.union(one)
-    if every is None:
-        raise ValueError("no task")
-    metrics = evaluate.accuracy(every, "task").withColumn("suite", evaluate.suite_of(F.col("task")))
+#: What grades a task, over (reply, target, lower, upper, passed); replies to other tasks have no grade.
+GRADERS = {
+    "choice": lambda: F.col("reply") == F.col("target"),
+    "number": lambda: evaluate.grade_number("reply", "target"),
+    "formula": lambda: evaluate.grade_math("reply", "target"),
+    "interval": lambda: evaluate.grade_interval("reply", "target", "lower", "upper"),
+    "number_or_text": lambda: evaluate.grade_numeric_or_text("reply", "target"),
+    "label": lambda: evaluate.grade_label("reply", "target"),
+    "recorded": lambda: F.col("passed"),
+}
+GRADED_BY = {
+    "arc_challenge": "choice", "scienceqa": "choice", "gsm8k": "number", "math500_medium": "formula", "math500_high_level": "formula", "medcalc": "interval",
+    "finqa": "number_or_text", "legalbench": "label", "humaneval": "recorded", "mbpp_plus": "recorded", "mbpp_simple": "recorded", "apps_hard": "recorded",
+}
+
+
+def verdict(task: Column, graded_by: dict[str, str] = GRADED_BY) -> Column:
+    """The verdict of a row of any task; the grader is looked up by the task's name."""
+    out = F.lit(None).cast("boolean")
+    for name, grade in GRADERS.items():
+        if of := [t for t, g in graded_by.items() if g == name]:
+            out = F.when(task.isin(*of), grade()).otherwise(out)
+    return out
+
+
+def graded(records: DataFrame, graded_by: dict[str, str] = GRADED_BY) -> DataFrame:
+    """Replies of many tasks (task, reply, target, lower, upper, passed) with their verdicts, in one pass."""
+    return records.withColumn("passed", verdict(F.col("task"), graded_by))
+
+
+def suite(records: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((task, suite, n, correct, accuracy, raw_n), one row of means) of the tasks' recorded replies, from one scan."""
+    rows = records if only is None else records.filter(F.col("task").isin(*only))
+    metrics = evaluate.accuracy(graded(rows).select("task", "passed"), "task").withColumn("suite", evaluate.suite_of(F.col("task")))
     scored = metrics.filter(~F.col("task").isin(*evaluate.UNSCORED))
     return metrics, evaluate.suite_means(scored.select("task", F.col("accuracy").alias("value")))
 

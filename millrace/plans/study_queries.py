@@ -132,24 +132,28 @@ SELECT problem_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256(
 """
 
 
-def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Recorded replies of each task, made of parts."""
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded replies of every task, made of parts in one scan."""
     base = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(REPLY).alias("said"))
     size, letter = F.col("p_size").cast("string"), _cycle("p_size", "A", "B", "C")
-    row = lambda reply, target, lower=_null(), upper=_null(), passed=_null("boolean"): base.select(
-        reply.alias("reply"), target.alias("target"), lower.alias("lower"), upper.alias("upper"), passed.alias("passed")
+    row = lambda task, reply, target, lower=_null(), upper=_null(), passed=_null("boolean"): F.struct(
+        F.lit(task).alias("task"), reply.alias("reply"), target.alias("target"), lower.alias("lower"), upper.alias("upper"), passed.alias("passed")
     )
-    asks = F.concat(F.col("said"), F.lit("\nQ: and 17?"))
+    said, asks = F.col("said"), F.concat(F.col("said"), F.lit("\nQ: and 17?"))
     finqa = F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(size)
     bound = lambda d: F.when(F.col("p_partkey") % 9 == 0, "none").otherwise((F.col("p_size") + d).cast("string"))
-    passed = row(F.lit("code"), F.lit(""), passed=F.when(F.col("p_size") % 8 > 0, F.col("p_size") % 2 == 1))
-    return {
-        "arc_challenge": row(letter, _cycle("p_partkey", "A", "B", "C")), "scienceqa": row(letter, F.lit("B")), "gsm8k": row(asks, size),
-        "math500_medium": row(F.col("said"), size), "math500_high_level": row(F.col("said"), F.concat(F.lit("\\frac{"), size, F.lit("}{4}"))),
-        "medcalc": row(F.col("said"), size, bound(-1), bound(1)), "finqa": row(F.col("said"), finqa),
-        "legalbench": row(_cycle("p_size", " Yes ", "no"), _cycle("p_partkey", "yes", "No")), "humaneval": passed, "mbpp_plus": passed, "mbpp_simple": passed, "apps_hard": passed,
-        "healthbench": row(F.col("said"), F.lit("")),
-    }
+    code = lambda task: row(task, F.lit("code"), F.lit(""), passed=F.when(F.col("p_size") % 8 > 0, F.col("p_size") % 2 == 1))
+    # of the harder formulas a third are equal, if at all, only when multiplied out
+    product = F.expr("concat('(x+', p_size, ')(x-', p_partkey % 5, ')')")
+    expanded = F.expr("concat('Hence \\\\boxed{x^{2}+(', p_size - p_partkey % 4, ')x-', p_size * (p_partkey % 4), '}.')")
+    third = F.col("p_partkey") % 3 == 0
+    rows = F.array(
+        row("arc_challenge", letter, _cycle("p_partkey", "A", "B", "C")), row("scienceqa", letter, F.lit("B")), row("gsm8k", asks, size), row("math500_medium", said, size),
+        row("math500_high_level", F.when(third, expanded).otherwise(said), F.when(third, product).otherwise(F.concat(F.lit("\\frac{"), size, F.lit("}{4}")))),
+        row("medcalc", said, size, bound(-1), bound(1)), row("finqa", said, finqa), row("legalbench", _cycle("p_size", " Yes ", "no"), _cycle("p_partkey", "yes", "No")),
+        *map(code, ("humaneval", "mbpp_plus", "mbpp_simple", "apps_hard")), row("healthbench", said, F.lit("")),
+    )
+    return base.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +169,8 @@ _TASK_SQL = f"""
   UNION ALL SELECT 'scienceqa', p_size % 3 = 1 FROM part
   UNION ALL SELECT 'gsm8k', coalesce({_CLOSE("p_size")}, false) FROM v
   UNION ALL SELECT 'math500_medium', coalesce({_CLOSE("p_size")}, false) FROM v
-  UNION ALL SELECT 'math500_high_level', coalesce({_CLOSE("(p_size / 4)")}, false) FROM v
+  UNION ALL SELECT 'math500_high_level', CASE WHEN p_partkey % 3 = 0 THEN list_bool_and(list_transform([0.5, 2.25, -3.75], lambda x: abs((x + p_size) * (x - p_partkey % 5) - (x * x + (p_size - p_partkey % 4) * x - p_size * (p_partkey % 4))) < 1e-9))
+    ELSE coalesce({_CLOSE("(p_size / 4)")}, false) END FROM v
   UNION ALL SELECT 'medcalc', CASE WHEN p_partkey % 9 = 0 THEN value IS NOT NULL AND contains(reply, p_size::VARCHAR) ELSE coalesce(value BETWEEN p_size - 1 AND p_size + 1, false) END FROM v
   UNION ALL SELECT 'finqa', CASE WHEN p_partkey % 5 <> 0 THEN coalesce({_CLOSE("p_size")}, false) END FROM v
   UNION ALL SELECT 'legalbench', p_size % 2 = p_partkey % 2 FROM part
@@ -181,9 +186,7 @@ WITH {_TASK_SQL} SELECT task, CASE WHEN task IN ({_list(evaluate.HARD)}) THEN 'h
 
 def task_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the tasks of the suites; names and aliases say which tasks there are."""
-    records = _records(spark, sf_dir)
-    wanted = [t for t in evaluate.tasks("all") if t in records]
-    _, means = studies.suite({t: records[t] for t in wanted})
+    _, means = studies.suite(_records(spark, sf_dir), evaluate.tasks("all"))
     return means.select(*[F.round(c, 9).alias(c) if c.endswith("mean") else F.col(c) for c in means.columns])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, code, dates, numbers, values
+from ..functions import arrays, code, dates, formulas, numbers, values
 from ..functions import text as tx
 from ..operators import evaluate
 from ..session import table
@@ -283,6 +283,27 @@ MATH_SQL = """
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lower('(' || p_size || ')/(xy)+(' || p_brand || ')') WHEN 1 THEN p_size || '{z}' ELSE p_size || '.5' END AS formula, p_partkey % 3 = 2 AS numeric FROM part
 """
 
+#: Pairs of formulas that are equal where p_partkey % 5 and p_partkey % 4 are, and never in the same spelling.
+FORMULAS = r"""CASE p_partkey % 6
+ WHEN 0 THEN array(concat('(x+', a, ')(x-', k, ')'), concat('x^2+(', a - j, ')x-', a * j)) WHEN 1 THEN array(concat('\\frac{', a, 'x}{', k + 1, '}'), concat('\\frac{', a, '}{', j + 1, '}x'))
+ WHEN 2 THEN array(concat('\\sqrt{', a * a * (k + 1), '}'), concat(a, '\\sqrt ', j + 1)) WHEN 3 THEN array(concat('2^{', k, '+x}'), concat('2^{x}\\cdot 2^', j))
+ WHEN 4 THEN array(concat('\\left(', a, ', \\frac{', k, '}{2}\\right)'), concat('(', a, '.0,', j, '/2)')) ELSE array(concat('\\sin(', k, 'y + y)'), concat('\\sin((', j + 1, ')y)')) END"""
+
+
+def formula_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of formulas in unequal spelling, and whether their values are equal."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS a", "p_partkey % 5 AS k", "p_partkey % 4 AS j")
+    return rows.select("p_partkey", F.expr(FORMULAS).alias("f")).select("p_partkey", formulas.equal(F.col("f")[0], F.col("f")[1]).alias("equal"))
+
+
+#: The same formulas in numbers, at several points.
+FORMULA_SQL = """
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 5)::DOUBLE AS k, (p_partkey % 4)::DOUBLE AS j, unnest([0.37, 1.91, 2.74, 5.13]) AS x FROM part),
+v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN (x + a) * (x - k) WHEN 1 THEN a * x / (k + 1) WHEN 2 THEN sqrt(a * a * (k + 1)) WHEN 3 THEN pow(2, k + x) WHEN 4 THEN k / 2 ELSE sin(k * x + x) END AS f,
+  CASE p_partkey % 6 WHEN 0 THEN x * x + (a - j) * x - a * j WHEN 1 THEN a / (j + 1) * x WHEN 2 THEN a * sqrt(j + 1) WHEN 3 THEN pow(2, x) * pow(2, j) WHEN 4 THEN j / 2 ELSE sin((j + 1) * x) END AS g FROM p)
+SELECT p_partkey, bool_and(abs(f - g) < 1e-9) AS equal FROM v GROUP BY p_partkey
+"""
+
 QUERIES = {
     "text_scalars": text_scalars,
     "line_scalars": line_scalars,
@@ -295,6 +316,7 @@ QUERIES = {
     "numeric_extract": numeric_extract,
     "numeric_match": numeric_match,
     "math_text": math_text,
+    "formula_match": formula_match,
 }
 ORACLE_SQL = {
     "text_scalars": TEXT_SQL,
@@ -308,4 +330,5 @@ ORACLE_SQL = {
     "numeric_extract": NUMERIC_SQL,
     "numeric_match": MATCH_SQL,
     "math_text": MATH_SQL,
+    "formula_match": FORMULA_SQL,
 }

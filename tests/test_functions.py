@@ -1,9 +1,12 @@
 import json
+import random
+import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import arrays, code, numbers, values
+from millrace.functions import arrays, code, formulas, numbers, values
 from millrace.functions import text as tx
 from millrace.operators import evaluate
 
@@ -58,8 +61,71 @@ def test_first_number(spark, text, value, percent):
     assert (got and got["value"], got and got["percent"]) == (value, percent)
 
 
-def test_nested_braces():
-    assert numbers.command_bodies(r"\boxed{a{b}c} and \boxed {d} \boxed{open \boxed{e}") == ["a{b}c", "d", "e"]
+def bodies(text):
+    """Bodies of boxed answers by trying every opening brace."""
+    out, past = [], 0
+    for m in re.finditer(r"\\boxed\s*(?=\{)", text):
+        depth, at = 0, m.end()
+        while at < len(text):
+            depth += {"{": 1, "}": -1}.get(text[at], 0)
+            if not depth:
+                break
+            at += 1
+        if m.start() >= past and at < len(text):
+            out.append(text[m.end() + 1 : at])
+            past = at + 1
+    return out
+
+
+def test_nested_braces(spark):
+    rng = random.Random(1)
+    texts = [r"\boxed{a{b}c} and \boxed {d} \boxed{open \boxed{e}", "", "no command {", r"} } \boxed{\boxed{𝄞}x}\boxed{}", r"\boxed", "\\boxed{" * 50 + "}" * 30]
+    texts += ["".join(rng.choice([r"\boxed{", r"\boxed {", "{", "}", "}", "x", "\\", "𝄞y"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", numbers.boxed("t").alias("b"))
+    assert bodies(texts[0]) == ["a{b}c", "d", "e"]
+    assert [(r["t"], r["b"]) for r in df.collect()] == [(t, bodies(t)) for t in texts] + [(None, [])]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "equal"),
+    [
+        (r"\frac{1}{2}", "0.5", True), (r"\frac12x", "x/2", True), (r"\sqrt{8}", r"2\sqrt{2}", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+2x+2", False),
+        (r"\sqrt{x}\sqrt x", "x", True), (r"\sqrt[3]{54}", r"3\sqrt[3]{2}", True), ("2^{x+1}", r"2\cdot 2^x", True), ("-x^2", "(-x)^2", False), ("-x^2", "-(x^2)", True),
+        (r"(3,\frac{\pi}{2})", r"(3, 0.5\pi)", True), ("(3,1)", "(1,3)", False), ("[1,2)", "(1,2)", False), ("[1,2)", "[1,4/2)", True), ("x=5", "5", True), ("10,000", "10^4", True),
+        ("listen", "silent", False), (r"\text{east}", "seat", False), (r"\sin(2x)", r"\sin(x+x)", True), (r"\sin(x)", r"\cos(x)", False), ("1/0", "1/0", False),
+        (r"90^\circ", "90", True), (r"5\text{ cm}", "5", True), (r"\frac{\sqrt{3}}{3}", r"\frac{1}{\sqrt{3}}", True), ("x^{-1}", r"\frac1x", True), ("((x)", "(x)", False), ("x)", "x", False),
+        ("", "", False), (r"x \leq 2", r"x \leq 2", False), ("2^{3^2}", "512", True), ("2/3/4", "1/6", True), (r"2\frac{1}{2}^2", "1/2", True), (r"\frac{x^2-1}{x-1}", "x+1", True),
+        ("4^{1/2}", "2", True), ("e^{2x}", "(e^x)^2", True), ("3 - -2", "5", True), ("2 3", "6", False), (None, "x", False), ("1,2", "1, 4/2", True), ("+", "+", False), ("0^{-1}", "0", False),
+        (r"\frac{1+\sqrt{5}}{2}", r"\frac{2}{\sqrt 5-1}", True), ("1.25", "5/4", True), ("x" * 3, "x^3", False), (r"\alpha\beta", r"\beta\alpha", True), (r"\unknown x", r"\unknown x", False),
+    ],
+)
+def test_formulas(spark, a, b, equal):
+    assert one(spark, formulas.equal("a", "b"), a=a, b=b) is equal
+
+
+def test_random_formulas_against_exact_fractions(spark):
+    rng = random.Random(6)
+
+    def made(depth):
+        if depth == 0:
+            return rng.choice([(str(n := rng.randint(0, 9)), Fraction(n)), (f"{(n := rng.randint(0, 99))}.5", n + Fraction(1, 2))])
+        (s, x), (t, y) = made(depth - 1), made(depth - 1)
+        kind = rng.randrange(6)
+        if kind == 5 and abs(x) < 100:
+            n = rng.randint(0, 3)
+            return f"({s})^{{{n}}}", x**n
+        if kind == 4 and y:
+            return rf"\frac{{{s}}}{{{t}}}", x / y
+        return [(f"({s})+{t}", x + y), (f"({s})-({t})", x - y), (f"({s})({t})", x * y), (f"-({s})", -x)][kind % 4]
+
+    pairs = []
+    for _ in range(120):
+        (s, x) = made(3)
+        y = rng.choice([x, x, x + Fraction(1, 7)])
+        pairs.append((s, f"{y.numerator}/{y.denominator}", x == y))
+    got = spark.createDataFrame(pairs, "a string, b string, want boolean").select("a", "b", "want", formulas.equal("a", "b").alias("got")).collect()
+    assert [r for r in got if r["want"] != r["got"]] == []
+    assert {r["want"] for r in got} == {True, False}
 
 
 @pytest.mark.parametrize(
@@ -78,6 +144,9 @@ def test_other_graders(spark):
     assert grade(evaluate.grade_numeric_or_text, r="anything", t=" ") is None
     assert grade(evaluate.grade_math, r="so \\boxed{\\dfrac{x}{2}}", t="\\frac{x}{2}") is True
     assert grade(evaluate.grade_math, r="\\boxed{0.5}", t="\\frac{1}{2}") is True
+    assert grade(evaluate.grade_math, r="so \\boxed{x^2-1}", t="(x-1)(x+1)") is True
+    assert grade(evaluate.grade_math, r="so \\boxed{x^2+1}", t="(x-1)(x+1)") is False
+    assert grade(evaluate.grade_math, r="a word", t="drow a") is False
     assert grade(evaluate.grade_label, r=" Yes ", t="yes") is True
     assert one(spark, evaluate.best_choice(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0)))) == 1
 

@@ -57,19 +57,18 @@ def test_sft_arms(spark):
 
 
 def test_suite(spark):
-    text = "reply string, target string, lower string, upper string, passed boolean"
-    table = lambda *rows: spark.createDataFrame(list(rows), text)
-    records = {
-        "gsm8k": table(("The answer is 4.\nQ: next 9", "4", None, None, None), ("5", "6", None, None, None)),
-        "finqa": table(("12%", "0.12", None, None, None), ("x", "", None, None, None)),
-        "medcalc": table(("about 7", "7", "6", "8", None)),
-        "legalbench": table(("Yes", "yes", None, None, None)),
-        "mbpp_plus": table(("code", None, None, None, True), ("code", None, None, None, False)),
-        "mbpp_simple": table(("code", None, None, None, True)),
-        "scienceqa": table(("B", "B", None, None, None)),
-        "healthbench": table(("text", None, None, None, None)),
-    }
-    metrics, means = studies.suite(records)
+    records = [
+        ("gsm8k", "The answer is 4.\nQ: next 9", "4", None, None, None), ("gsm8k", "5", "6", None, None, None),
+        ("finqa", "12%", "0.12", None, None, None), ("finqa", "x", "", None, None, None),
+        ("medcalc", "about 7", "7", "6", "8", None), ("legalbench", "Yes", "yes", None, None, None),
+        ("mbpp_plus", "code", None, None, None, True), ("mbpp_plus", "code", None, None, None, False), ("mbpp_simple", "code", None, None, None, True),
+        ("scienceqa", "B", "B", None, None, None), ("healthbench", "text", None, None, None, None),
+    ]
+    table = spark.createDataFrame(records, "task string, reply string, target string, lower string, upper string, passed boolean")
+    metrics, means = studies.suite(table)
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Scan ") == 1
+    assert studies.suite(table, ["gsm8k"])[0].count() == 1
     by = {r["task"]: r for r in metrics.collect()}
     assert (by["finqa"]["n"], by["finqa"]["raw_n"], by["finqa"]["accuracy"]) == (1, 2, 1.0)
     assert by["gsm8k"]["accuracy"] == 0.5 and by["healthbench"]["n"] == 0

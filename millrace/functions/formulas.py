@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .text import col
 
+#: Expressions are SQL text here: they are long, and one parse is faster than a call for each of their parts.
 # Fields, and the commands that are understood.
 PRIMES = (803460479, 1098701159, 1931011319)
 FUNCTIONS = ("sin", "cos", "tan", "cot", "sec", "csc", "arcsin", "arccos", "arctan", "log", "ln", "exp")
@@ -52,174 +53,135 @@ _STEPS = [
 ]
 
 
-def _plain(c: Column) -> Column:
-    for pattern, by in _STEPS:
-        c = F.regexp_replace(c, pattern, by)
-    # a bar for every fraction, or what stands between the braces is something else
-    bars, fractions = F.regexp_count(c, F.lit(r"\}\s*\{")), F.regexp_count(c, F.lit(r"\\frac(?![a-zA-Z])"))
-    c = F.when(bars == fractions, F.regexp_replace(F.regexp_replace(c, r"\\frac(?![a-zA-Z])", ""), r"\}\s*\{", ")÷("))
-    return F.translate(c, "{}", "()")
-
-
-def tokens(c: Column | str) -> Column:
-    """Tokens with implied products and signs written out; null for what is no formula."""
-    text = _plain(col(c))
-    bare = F.regexp_replace(text, rf"\\(?:{_WORDS})(?![a-zA-Z])", "")
-    fine = text.rlike(rf"^(?:(?:{_TOKEN})|\s)+$") & ~F.contains(bare, F.lit("\\")) & ~bare.rlike("[a-zA-Z]{3}")
-    fine = fine & ~text.rlike(rf"\\(?:{'|'.join(FUNCTIONS)})(?![a-zA-Z])\s*(?!\s*\()")
-    found = F.when(fine, F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1)))
+def _let(name: str, value: str, body: str) -> str:
+    """The body, in which the value goes by a name and is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def written_out(all_: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(all_, i - 1))
-            ended = F.coalesce(before.rlike(rf"^(?:\d|\.\d|[a-zA-Z)]|\\(?:{'|'.join(LETTERS)})$)"), F.lit(False))
-            product = F.when(t.rlike(r"^(?:[a-zA-Z(]|\\)"), F.array(F.lit("*"), t)).when(t.rlike(r"^[\d.]"), F.array(F.lit(BAD))).otherwise(F.array(t))
-            sign = F.when(t == "-", F.array(F.lit("~"))).when(t == "+", F.array().cast("array<string>")).otherwise(F.array(t))
-            return F.when(ended, product).otherwise(sign)
 
-        return F.flatten(F.transform(all_, one))
+def _listed(xs: object) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
 
-    return F.get(F.transform(F.array(found), written_out), F.lit(0))
 
+_CALLED = ", ".join(rf"r'\{x}'" for x in FUNCTIONS)
+_BINARY = _listed(o for o in RANKS if o != "~")
 
-def _rank(t: Column) -> Column:
-    ranks = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
-    return F.when(F.startswith(t, F.lit("\\")), 7).otherwise(F.coalesce(F.try_element_at(ranks, t), F.lit(0)))
 
+def _plain(text: str) -> str:
+    for pattern, by in _STEPS:
+        text = f"regexp_replace({text}, r'{pattern}', r'{by}')"
+    # a bar for every fraction, or what stands between the braces is something else
+    barred = r"translate(regexp_replace(regexp_replace(cleared, r'\\frac(?![a-zA-Z])', ''), r'\}\s*\{', ')÷('), '{}', '()')"
+    return _let("cleared", text, rf"CASE WHEN regexp_count(cleared, r'\}}\s*\{{') = regexp_count(cleared, r'\\frac(?![a-zA-Z])') THEN {barred} END")
 
-def _is_function(t: Column) -> Column:
-    return t.isin(*[f"\\{x}" for x in FUNCTIONS])
 
+def _tokens(text: str) -> str:
+    bare = rf"regexp_replace(plain, r'\\(?:{_WORDS})(?![a-zA-Z])', '')"
+    fine = rf"plain RLIKE r'^(?:(?:{_TOKEN})|\s)+$' AND NOT contains({bare}, r'\') AND NOT {bare} RLIKE '[a-zA-Z]{{3}}' AND NOT plain RLIKE r'\\(?:{'|'.join(FUNCTIONS)})(?![a-zA-Z])\s*(?!\s*\()'"
+    found = _let("plain", _plain(text), f"CASE WHEN {fine} THEN regexp_extract_all(plain, r'({_TOKEN})', 1) END")
+    # implied products and signs are written out; a number after an operand is none
+    ended = rf"coalesce(CASE WHEN i > 0 THEN get(found, i - 1) END RLIKE r'^(?:\d|\.\d|[a-zA-Z)]|\\(?:{'|'.join(LETTERS)})$)', false)"
+    product = rf"CASE WHEN t RLIKE r'^(?:[a-zA-Z(]|\\)' THEN array('*', t) WHEN t RLIKE r'^[\d.]' THEN array('{BAD}') ELSE array(t) END"
+    sign = "CASE t WHEN '-' THEN array('~') WHEN '+' THEN slice(array(t), 1, 0) ELSE array(t) END"
+    return _let("found", found, f"flatten(transform(found, (t, i) -> CASE WHEN {ended} THEN {product} ELSE {sign} END))")
 
-def postfix(found: Column) -> Column:
-    """Operands before their operators; ``!`` or a bracket is left where brackets don't match."""
-    none = F.array().cast("array<string>")
 
-    def step(a: Column, t: Column) -> Column:
-        ops = a["ops"]
-        # the place up to which the stack stays
-        stays = F.when(t == ")", _last(ops, lambda o: o == "(")).otherwise(
-            _last(ops, lambda o: (o == "(") | (_rank(o) < _rank(t)) | ((t == "^") & (o == "^")))
-        )
-        popped = F.reverse(F.slice(ops, stays + 1, F.size(ops)))
-        kept = F.slice(ops, F.lit(1), stays)
-        prefix = (t == "(") | (t == "~") | _is_function(t)
-        binary = t.isin(*RANKS)
-        out = F.when(prefix, a["out"]).when(t == ")", F.concat(a["out"], F.when(stays > 0, popped).otherwise(F.array(F.lit(BAD))))).when(binary, F.concat(a["out"], popped)).otherwise(F.concat(a["out"], F.array(t)))
-        left = F.when(prefix, F.concat(ops, F.array(t))).when(t == ")", F.slice(ops, F.lit(1), F.greatest(stays - 1, F.lit(0)))).when(binary, F.concat(kept, F.array(t))).otherwise(ops)
-        return F.struct(out.alias("out"), left.alias("ops"))
+def _rank(t: str) -> str:
+    return f"CASE {' '.join(f"WHEN {t} = '{o}' THEN {n}" for o, n in RANKS.items())} WHEN startswith({t}, r'\\') THEN 7 ELSE 0 END"
 
-    return F.aggregate(found, F.struct(none.alias("out"), none.alias("ops")), step, lambda a: F.concat(a["out"], F.reverse(a["ops"])))
 
-
-def _last(stack: Column, holds) -> Column:  # noqa: ANN001
-    """The place, from 1, of the last element for which it holds; 0 if there is none."""
-    return F.coalesce(F.array_max(F.transform(stack, lambda o, i: F.when(holds(o), i + 1))), F.lit(0))
+def _postfix(tokens: str) -> str:
+    """Operands before their operators; ``!`` or a bracket is left where brackets don't match."""
+    none = "cast(array() AS array<string>)"
+    # the place up to which the stack of operators stays
+    stays_if = f"CASE WHEN t = ')' THEN o = '(' ELSE o = '(' OR {_rank('o')} < {_rank('t')} OR t = '^' AND o = '^' END"
+    stays = f"coalesce(array_max(transform(a.ops, (o, i) -> CASE WHEN {stays_if} THEN i + 1 END)), 0)"
+    popped, kept = "reverse(slice(a.ops, k + 1, size(a.ops)))", "slice(a.ops, 1, k)"
+    step = f"""CASE WHEN t IN ('(', '~', {_CALLED}) THEN named_struct('out', a.out, 'ops', concat(a.ops, array(t)))
+        WHEN t = ')' THEN {_let("k", stays, f"named_struct('out', concat(a.out, CASE WHEN k > 0 THEN {popped} ELSE array('{BAD}') END), 'ops', slice(a.ops, 1, greatest(k - 1, 0)))")}
+        WHEN t IN ({_BINARY}) THEN {_let("k", stays, f"named_struct('out', concat(a.out, {popped}), 'ops', concat({kept}, array(t)))")}
+        ELSE named_struct('out', concat(a.out, array(t)), 'ops', a.ops) END"""
+    return f"aggregate({tokens}, named_struct('out', {none}, 'ops', {none}), (a, t) -> {step}, a -> concat(a.out, reverse(a.ops)))"
+
+
+_FULL, _HALF = (f"array({', '.join(f'{x}L' for x in xs)})" for xs in (PRIMES, [(p - 1) // 2 for p in PRIMES]))
+#: In both fields, and as a whole number where the value is a small one.
+VALUE = "struct<m:array<bigint>,q:array<bigint>,n:bigint>"
 
 
-def _power(base: Column, exponent: Column, modulus: Column) -> Column:
+def _power(base: str, exponent: str, modulus: str) -> str:
     """By squares; exponents from 0 to 2^31 - 1."""
-    start = F.struct(F.lit(1).cast("long").alias("r"), base.alias("b"))
-    step = lambda a, k: F.struct(F.when(F.getbit(exponent, k) == 1, a["r"] * a["b"] % modulus).otherwise(a["r"]).alias("r"), (a["b"] * a["b"] % modulus).alias("b"))
-    return F.when(base.isNotNull() & exponent.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(30)), start, step, lambda a: a["r"]))
-
-
-def _fields(half: bool) -> Column:
-    return F.array(*[F.lit((p - 1) // 2 if half else p).cast("long") for p in PRIMES])
-
-
-def _calculated(t: Column, a: Column, b: Column, modulus: Column, exponent: Column) -> Column:
-    """One operator on two values of a field; ``exponent`` is that of a power."""
-    divides = t.isin("/", "÷")
-    powered = _power(F.when(divides, b).otherwise(a), F.when(divides, modulus - 2).otherwise(exponent), modulus)
-    return (
-        F.when(t == "+", (a + b) % modulus).when(t == "-", (a - b + modulus) % modulus).when(t == "*", a * b % modulus)
-        .when(divides, F.when(b != 0, a * powered % modulus)).when((a != 0) | (exponent == 0), powered).when(exponent > 0, F.lit(0).cast("long"))
-    )
-
+    squares = "named_struct('r', CASE WHEN getbit(pw.e, bit) = 1 THEN pr.r * pr.b % pw.m ELSE pr.r END, 'b', pr.b * pr.b % pw.m)"
+    return _let("pw", f"named_struct('b', {base}, 'e', {exponent}, 'm', {modulus})", f"CASE WHEN pw.b IS NOT NULL AND pw.e IS NOT NULL THEN aggregate(sequence(0, 30), named_struct('r', 1L, 'b', pw.b), (pr, bit) -> {squares}, pr -> pr.r) END")
 
-def _operand(t: Column) -> Column:
-    """A number or a variable in both fields, and its value as a whole number if it is one."""
-    digits, scale = F.translate(t, ".", "").try_cast("decimal(38,0)"), F.when(F.contains(t, F.lit(".")), F.length(F.substring_index(t, ".", -1))).otherwise(0)
 
-    def number(modulus: Column) -> Column:
-        whole = (digits % modulus).cast("long")
-        return F.when(scale == 0, whole).otherwise(whole * _power(F.lit(10).cast("long"), modulus - 1 - scale, modulus) % modulus)
+def _calculated(a: str, b: str, modulus: str, exponent: str) -> str:
+    """The operator s.op on two values of a field; ``exponent`` is that of a power."""
+    powered = f"CASE WHEN w.a <> 0 OR w.e = 0 THEN {_power('w.a', 'w.e', 'w.m')} WHEN w.e > 0 THEN 0L END"
+    by_op = f"""CASE s.op WHEN '+' THEN (w.a + w.b) % w.m WHEN '-' THEN (w.a - w.b + w.m) % w.m WHEN '*' THEN w.a * w.b % w.m
+        WHEN '/' THEN CASE WHEN w.b <> 0 THEN w.a * {_power("w.b", "w.m - 2", "w.m")} % w.m END WHEN '^' THEN {powered} END"""
+    return _let("w", f"named_struct('a', {a}, 'b', {b}, 'm', {modulus}, 'e', {exponent})", by_op)
 
-    drawn = lambda half: lambda m, i: F.pmod(F.xxhash64(t, F.lit(half), i), m)
-    square = F.transform(F.transform(_fields(False), drawn(False)), lambda v, i: v * v % F.get(_fields(False), i))
-    is_number = t.rlike(r"^[\d.]")
-    return F.struct(
-        F.when(is_number, F.transform(_fields(False), number)).otherwise(square).alias("m"),
-        F.when(is_number, F.transform(_fields(True), number)).otherwise(F.transform(_fields(True), drawn(True))).alias("q"),
-        F.when(is_number & (scale == 0), digits.try_cast("long")).alias("n"),
-    )
 
+def _operand(t: str) -> str:
+    """A number or a variable."""
+    number = lambda fields: f"transform({fields}, m -> CASE WHEN d.scale = 0 THEN cast(d.digits % m AS bigint) ELSE cast(d.digits % m AS bigint) * {_power('10L', 'm - 1 - d.scale', 'm')} % m END)"
+    whole = "CASE WHEN d.scale = 0 THEN try_cast(d.digits AS bigint) END"
+    digits = f"named_struct('digits', try_cast(replace({t}, '.', '') AS decimal(38,0)), 'scale', CASE WHEN contains({t}, '.') THEN length(substring_index({t}, '.', -1)) ELSE 0 END)"
+    variable = f"named_struct('m', transform(transform({_FULL}, (m, i) -> pmod(xxhash64({t}, i), m)), (v, i) -> v * v % get({_FULL}, i)), 'q', transform({_HALF}, (m, i) -> pmod(xxhash64({t}, 'q', i), m)), 'n', cast(NULL AS bigint))"
+    return rf"CASE WHEN {t} RLIKE r'^[\d.]' THEN {_let('d', digits, f"named_struct('m', {number(_FULL)}, 'q', {number(_HALF)}, 'n', {whole})")} ELSE {variable} END"
 
-def _whole(t: Column, a: Column, b: Column) -> Column:
-    """The value as a whole number, where both are and it is small."""
-    power = F.when(b.between(0, 62), F.pow(a.cast("double"), b.cast("double")))
-    return (
-        F.when(t == "+", F.try_add(a, b)).when(t == "-", F.try_subtract(a, b)).when(t == "*", F.try_multiply(a, b))
-        .when(t.isin("/", "÷"), F.when(F.try_mod(a, b) == 0, F.call_function("div", a, F.nullif(b, F.lit(0).cast("long")))))
-        .when(t == "^", F.when(F.abs(power) < 2.0**53, power.cast("long")))
-    )
 
-
-def _applied(t: Column, x: Column, y: Column) -> Column:
+def _applied(t: str, x: str, y: str) -> str:
     """A binary operator on two values; the index of a root stands on its left and is an exponent."""
-    root = t == "√"
-    a, b, op = F.when(root, y).otherwise(x), F.when(root, x).otherwise(y), F.when(root, "^").otherwise(t)
+    operands = f"CASE WHEN {t} = '√' THEN named_struct('op', '^', 'a', {y}, 'b', {x}) ELSE named_struct('op', CASE WHEN {t} = '÷' THEN '/' ELSE {t} END, 'a', {x}, 'b', {y}) END"
+    paired = f"transform(s.a.m, (v, i) -> CASE WHEN v IS NOT NULL AND get(s.b.m, i) IS NOT NULL THEN pmod(xxhash64(',', v, get(s.b.m, i), i), get({_FULL}, i)) END)"
+    defined = "s.op <> '^' OR NOT exists(s.a.m, v -> v = 0) OR coalesce(s.b.n >= 0, false)"
+    of_value = _calculated("v", "get(s.b.m, i)", f"get({_FULL}, i)", f"coalesce(pmod(s.b.n, get({_FULL}, i) - 1), get(s.b.q, i))")
+    of_exponent = _calculated("v", "get(s.b.q, i)", f"get({_HALF}, i)", f"pmod(s.b.n, get({_HALF}, i) - 1)")
+    powered = _let("z", "CASE WHEN s.b.n BETWEEN 0 AND 62 THEN pow(cast(s.a.n AS double), cast(s.b.n AS double)) END", "CASE WHEN abs(z) < 9007199254740992D THEN cast(z AS bigint) END")
+    whole = f"""CASE s.op WHEN '+' THEN try_add(s.a.n, s.b.n) WHEN '-' THEN try_subtract(s.a.n, s.b.n) WHEN '*' THEN try_multiply(s.a.n, s.b.n)
+        WHEN '/' THEN CASE WHEN try_mod(s.a.n, s.b.n) = 0 THEN s.a.n div nullif(s.b.n, 0L) END WHEN '^' THEN {powered} END"""
+    both = f"named_struct('m', CASE WHEN s.op = ',' THEN {paired} WHEN {defined} THEN transform(s.a.m, (v, i) -> {of_value}) END, 'q', CASE WHEN s.op <> ',' THEN transform(s.a.q, (v, i) -> {of_exponent}) END, 'n', {whole})"
+    return _let("s", operands, both)
+
+
+def _values(text: str) -> str:
+    y, x = "try_element_at(stack, -1)", "try_element_at(stack, -2)"
+    minus = lambda part, fields: f"transform({y}.{part}, (v, i) -> pmod(-v, get({fields}, i)))"
+    negative = f"named_struct('m', {minus('m', _FULL)}, 'q', {minus('q', _HALF)}, 'n', try_subtract(0L, {y}.n))"
+    called = f"named_struct('m', transform({y}.m, (v, i) -> CASE WHEN v IS NOT NULL THEN pmod(xxhash64(t, v, i), get({_FULL}, i)) END), 'q', cast(NULL AS array<bigint>), 'n', cast(NULL AS bigint))"
+    under = lambda n: f"slice(stack, 1, greatest(size(stack) - {n}, 0))"
+    pushed = lambda rest, value: f"concat({rest}, array(cast({value} AS {VALUE})))"
+    step = f"""CASE WHEN t = '~' THEN {pushed(under(1), negative)} WHEN t IN ({_CALLED}) THEN {pushed(under(1), called)} WHEN t IN ({_BINARY}) THEN {pushed(under(2), _applied("t", x, y))}
+        WHEN t IN ('(', '{BAD}') THEN {pushed("stack", "NULL")} ELSE {pushed("stack", _operand("t"))} END"""
+    stack = f"aggregate({_postfix(_tokens(text))}, cast(array() AS array<{VALUE}>), (stack, t) -> {step})"
+    return _let("stack", stack, "CASE WHEN size(stack) = 1 AND forall(get(stack, 0).m, v -> v IS NOT NULL) THEN get(stack, 0).m END")
+
+
+def _of(c: Column, name: str, body: str) -> Column:
+    """An expression in SQL text over one value."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(f"{name} -> {body}")), F.lit(0))
 
-    def both(s: Column) -> Column:
-        a, b, op = s["a"], s["b"], s["op"]
-        paired = F.transform(a["m"], lambda v, i: F.when(v.isNotNull() & F.get(b["m"], i).isNotNull(), F.pmod(F.xxhash64(F.lit(","), v, F.get(b["m"], i), i), F.get(_fields(False), i))))
-        inside = lambda half, exponent: lambda v, i: _calculated(op, v, F.get(b["q" if half else "m"], i), F.get(_fields(half), i), exponent(i))
-        of_value = lambda i: F.coalesce(F.pmod(b["n"], F.get(_fields(False), i) - 1), F.get(b["q"], i))
-        of_exponent = lambda i: F.pmod(b["n"], F.get(_fields(True), i) - 1)
-        defined = (op != "^") | ~F.exists(a["m"], lambda v: v == 0) | F.coalesce(b["n"] >= 0, F.lit(False))
-        return F.struct(
-            F.when(op == ",", paired).when(defined, F.transform(a["m"], inside(False, of_value))).alias("m"),
-            F.when(op != ",", F.transform(a["q"], inside(True, of_exponent))).alias("q"),
-            _whole(op, a["n"], b["n"]).alias("n"),
-        )
 
-    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), op.alias("op"))), both), F.lit(0))
+def tokens(c: Column | str) -> Column:
+    """Tokens with implied products and signs written out; null for what is no formula."""
+    return _of(col(c), "f", _tokens("f"))
 
 
-VALUE = "struct<m:array<bigint>,q:array<bigint>,n:bigint>"
+def postfix(c: Column | str) -> Column:
+    return _of(col(c), "f", _postfix(_tokens("f")))
 
 
 def values(c: Column | str) -> Column:
     """The formula's value at the point of each field; null if it has none."""
-
-    def step(stack: Column, t: Column) -> Column:
-        y, x = F.try_element_at(stack, F.lit(-1)), F.try_element_at(stack, F.lit(-2))
-        negative = F.struct(
-            F.transform(y["m"], lambda v, i: F.pmod(-v, F.get(_fields(False), i))).alias("m"),
-            F.transform(y["q"], lambda v, i: F.pmod(-v, F.get(_fields(True), i))).alias("q"),
-            F.try_subtract(F.lit(0).cast("long"), y["n"]).alias("n"),
-        )
-        called = F.struct(
-            F.transform(y["m"], lambda v, i: F.when(v.isNotNull(), F.pmod(F.xxhash64(t, v, i), F.get(_fields(False), i)))).alias("m"),
-            F.lit(None).cast("array<bigint>").alias("q"),
-            F.lit(None).cast("bigint").alias("n"),
-        )
-        unary, binary = (t == "~") | _is_function(t), t.isin(*[o for o in RANKS if o != "~"])
-        value = F.when(t == "~", negative).when(_is_function(t), called).when(binary, _applied(t, x, y)).when(~t.isin("(", BAD), _operand(t))
-        rest = F.size(stack) - F.when(unary, 1).when(binary, 2).otherwise(0)
-        return F.concat(F.slice(stack, F.lit(1), F.greatest(rest, F.lit(0))), F.array(value.cast(VALUE)))
-
-    stack = F.aggregate(postfix(tokens(c)), F.array().cast(f"array<{VALUE}>"), step)
-    whole = lambda s: F.when((F.size(s) == 1) & F.forall(F.get(s, F.lit(0))["m"], lambda v: v.isNotNull()), F.get(s, F.lit(0))["m"])
-    return F.get(F.transform(F.array(stack), whole), F.lit(0))
+    return _of(col(c), "f", _values("f"))
 
 
 def equal(a: Column | str, b: Column | str) -> Column:
     """Whether both are formulas of equal value with the same square brackets; never null."""
-    shape = lambda x: F.regexp_replace(x, r"\\sqrt\s*\[[^\[\]]*\]|[^\[\]]", "")
-    # intervals and tuples: a square bracket beside a comma counts as a round one, its shape has been compared
-    rounded = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?<!sqrt)\[([^\[\]]*,)", "($1"), r"(,[^\[\]]*)\]", "$1)")
-    both = F.transform(F.array(col(a), col(b)), lambda x: values(rounded(x)))
-    same = F.transform(F.array(both), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
-    return F.coalesce((shape(col(a)) == shape(col(b))) & F.get(same, F.lit(0)), F.lit(False))
+    shape = lambda x: rf"regexp_replace({x}, r'\\sqrt\s*\[[^\[\]]*\]|[^\[\]]', '')"
+    # intervals: a square bracket beside a comma counts as a round one, its shape has been compared
+    rounded = r"regexp_replace(regexp_replace(f, r'(?<!sqrt)\[([^\[\]]*,)', '($1'), r'(,[^\[\]]*)\]', '$1)')"
+    both = f"transform(array(pair.a, pair.b), f -> {_values(rounded)})"
+    same = f"{shape('pair.a')} = {shape('pair.b')} AND {_let('two', both, 'get(two, 0) = get(two, 1)')}"
+    return F.coalesce(_of(F.struct(col(a).alias("a"), col(b).alias("b")), "pair", same), F.lit(False))

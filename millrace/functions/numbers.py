@@ -21,35 +21,28 @@ PLAIN_NUMBER = r"[+-]?(?:\d+(?:_?\d+)*\.?(?:\d+(?:_?\d+)*)?|\.\d+(?:_?\d+)*)(?:[
 PARSED = "struct<value:double,percent:boolean>"
 
 
-_OPEN, _FOUND = "array<struct<depth:int,start:int>>", "array<struct<start:int,stop:int>>"
+def _bodies(text: str, begins: str) -> str:
+    """SQL text of a fold over the braces of a text: their depth, the commands that are open, what has been found."""
+    depth = "CASE WHEN endswith(t, '{') THEN a.depth + 1 WHEN t = '}' THEN greatest(a.depth - 1, 0) ELSE a.depth END"
+    at = "a.at + length(t)"
+    outside = "CASE WHEN try_element_at(a.found, -1).start > w.start THEN filter(a.found, f -> f.start < w.start) ELSE a.found END"
+    ended = f"get(transform(array(try_element_at(a.open, -1)), w -> named_struct('at', {at}, 'depth', {depth}, 'open', slice(a.open, 1, size(a.open) - 1), 'found', concat({outside}, array(named_struct('start', w.start, 'stop', a.at))))), 0)"
+    opened = rf"CASE WHEN startswith(t, r'\') AND endswith(t, '{{') THEN concat(a.open, array(named_struct('depth', {depth}, 'start', {at}))) ELSE a.open END"
+    step = f"CASE WHEN t = '}}' AND coalesce(try_element_at(a.open, -1).depth = a.depth, false) THEN {ended} ELSE named_struct('at', {at}, 'depth', {depth}, 'open', {opened}, 'found', a.found) END"
+    start = "named_struct('at', 1, 'depth', 0, 'open', cast(array() AS array<struct<depth:int,start:int>>), 'found', cast(array() AS array<struct<start:int,stop:int>>))"
+    pieces = rf"regexp_extract_all({text}, r'({begins}|[{{}}]|[^{{}}\\]+|\\)', 1)"
+    return f"aggregate({pieces}, {start}, (a, t) -> {step}, a -> transform(a.found, f -> substr({text}, f.start, f.stop - f.start)))"
 
 
 def boxed(c: Column | str, command: str = "boxed") -> Column:
     """Bodies of a LaTeX command in order, nested braces kept; a body inside a found one is not listed.
 
-    One fold over the braces carries their depth, the commands that are open, and what has been found. Nothing is
-    scanned in a text without the command.
+    Nothing is scanned ahead of the first such command, or in a text without one.
     """
     begins = rf"\\{command}{WS}*\{{"
-
-    def of(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(rf"({begins}|[{{}}]|[^{{}}\\]+|\\)"), F.lit(1))
-
-        def step(a: Column, t: Column) -> Column:
-            command_opens, opens, closes = F.startswith(t, F.lit("\\")) & F.endswith(t, F.lit("{")), F.endswith(t, F.lit("{")), t == "}"
-            depth = F.when(opens, a["depth"] + 1).when(closes, F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
-            at, top, last = a["at"] + F.length(t), F.try_element_at(a["open"], F.lit(-1)), F.try_element_at(a["found"], F.lit(-1))
-            ends = F.coalesce(closes & (top["depth"] == a["depth"]), F.lit(False))
-            open_ = F.when(command_opens, F.concat(a["open"], F.array(F.struct(depth.alias("depth"), at.alias("start"))))).when(ends, F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)).otherwise(a["open"])
-            outside = F.when(last["start"] > top["start"], F.filter(a["found"], lambda f: f["start"] < top["start"])).otherwise(a["found"])
-            found = F.when(ends, F.concat(outside, F.array(F.struct(top["start"].alias("start"), a["at"].alias("stop"))))).otherwise(a["found"])
-            return F.struct(at.alias("at"), depth.alias("depth"), open_.cast(_OPEN).alias("open"), found.cast(_FOUND).alias("found"))
-
-        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("open"), F.array().cast(_FOUND).alias("found"))
-        return F.aggregate(pieces, start, step, lambda a: F.transform(a["found"], lambda f: F.substr(text, f["start"], f["stop"] - f["start"])))
-
-    from_first = F.regexp_extract(col(c), f"(?s){begins}.*", 0)
-    return F.when(F.coalesce(col(c).rlike(begins), F.lit(False)), once(from_first, of)).otherwise(F.array().cast("array<string>"))
+    from_first = F.array(F.regexp_extract(col(c), f"(?s){begins}.*", 0))
+    found = F.get(F.call_function("transform", from_first, F.expr(f"x -> {_bodies('x', begins)}")), F.lit(0))
+    return F.when(F.coalesce(col(c).rlike(begins), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
 def answer_spans(c: Column | str, bodies: Column | None = None) -> Column:

@@ -86,21 +86,21 @@ def test_nested_braces(spark):
     assert [(r["t"], r["b"]) for r in df.collect()] == [(t, bodies(t)) for t in texts] + [(None, [])]
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "equal"),
-    [
-        (r"\frac{1}{2}", "0.5", True), (r"\frac12x", "x/2", True), (r"\sqrt{8}", r"2\sqrt{2}", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+2x+2", False),
-        (r"\sqrt{x}\sqrt x", "x", True), (r"\sqrt[3]{54}", r"3\sqrt[3]{2}", True), ("2^{x+1}", r"2\cdot 2^x", True), ("-x^2", "(-x)^2", False), ("-x^2", "-(x^2)", True),
-        (r"(3,\frac{\pi}{2})", r"(3, 0.5\pi)", True), ("(3,1)", "(1,3)", False), ("[1,2)", "(1,2)", False), ("[1,2)", "[1,4/2)", True), ("x=5", "5", True), ("10,000", "10^4", True),
-        ("listen", "silent", False), (r"\text{east}", "seat", False), (r"\sin(2x)", r"\sin(x+x)", True), (r"\sin(x)", r"\cos(x)", False), ("1/0", "1/0", False),
-        (r"90^\circ", "90", True), (r"5\text{ cm}", "5", True), (r"\frac{\sqrt{3}}{3}", r"\frac{1}{\sqrt{3}}", True), ("x^{-1}", r"\frac1x", True), ("((x)", "(x)", False), ("x)", "x", False),
-        ("", "", False), (r"x \leq 2", r"x \leq 2", False), ("2^{3^2}", "512", True), ("2/3/4", "1/6", True), (r"2\frac{1}{2}^2", "1/2", True), (r"\frac{x^2-1}{x-1}", "x+1", True),
-        ("4^{1/2}", "2", True), ("e^{2x}", "(e^x)^2", True), ("3 - -2", "5", True), ("2 3", "6", False), (None, "x", False), ("1,2", "1, 4/2", True), ("+", "+", False), ("0^{-1}", "0", False),
-        (r"\frac{1+\sqrt{5}}{2}", r"\frac{2}{\sqrt 5-1}", True), ("1.25", "5/4", True), ("x" * 3, "x^3", False), (r"\alpha\beta", r"\beta\alpha", True), (r"\unknown x", r"\unknown x", False),
-    ],
-)
-def test_formulas(spark, a, b, equal):
-    assert one(spark, formulas.equal("a", "b"), a=a, b=b) is equal
+FORMULAS = [
+    (r"\frac{1}{2}", "0.5", True), (r"\frac12x", "x/2", True), (r"\sqrt{8}", r"2\sqrt{2}", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+2x+2", False),
+    (r"\sqrt{x}\sqrt x", "x", True), (r"\sqrt[3]{54}", r"3\sqrt[3]{2}", True), ("2^{x+1}", r"2\cdot 2^x", True), ("-x^2", "(-x)^2", False), ("-x^2", "-(x^2)", True),
+    (r"(3,\frac{\pi}{2})", r"(3, 0.5\pi)", True), ("(3,1)", "(1,3)", False), ("[1,2)", "(1,2)", False), ("[1,2)", "[1,4/2)", True), ("x=5", "5", True), ("10,000", "10^4", True),
+    ("listen", "silent", False), (r"\text{east}", "seat", False), (r"\sin(2x)", r"\sin(x+x)", True), (r"\sin(x)", r"\cos(x)", False), ("1/0", "1/0", False),
+    (r"90^\circ", "90", True), (r"5\text{ cm}", "5", True), (r"\frac{\sqrt{3}}{3}", r"\frac{1}{\sqrt{3}}", True), ("x^{-1}", r"\frac1x", True), ("((x)", "(x)", False), ("x)", "x", False),
+    ("", "", False), (r"x \leq 2", r"x \leq 2", False), ("2^{3^2}", "512", True), ("2/3/4", "1/6", True), (r"2\frac{1}{2}^2", "1/2", True), (r"\frac{x^2-1}{x-1}", "x+1", True),
+    ("4^{1/2}", "2", True), ("e^{2x}", "(e^x)^2", True), ("3 - -2", "5", True), ("2 3", "6", False), (None, "x", False), ("1,2", "1, 4/2", True), ("+", "+", False), ("0^{-1}", "0", False),
+    (r"\frac{1+\sqrt{5}}{2}", r"\frac{2}{\sqrt 5-1}", True), ("1.25", "5/4", True), ("x" * 3, "x^3", False), (r"\alpha\beta", r"\beta\alpha", True), (r"\unknown x", r"\unknown x", False),
+]
+
+
+def test_formulas(spark):
+    got = spark.createDataFrame(FORMULAS, "a string, b string, want boolean").select("a", "b", "want", formulas.equal("a", "b").alias("got"))
+    assert [r for r in got.collect() if r["want"] is not r["got"]] == []
 
 
 def test_random_formulas_against_exact_fractions(spark):

@@ -45,10 +45,13 @@ def placed(df: DataFrame, group: list[str], rank_column: str, row_id: str, most:
     return out.drop("__digits", "__b", "__before", *[f"__g{i}" for i in range(len(group))])
 
 
-def ranked(df: DataFrame, row_id: str, category: str, seed: int, purpose: str = "single_pool") -> DataFrame:
-    """(id, category, nth): the place of every id in its category's ranking, shared by all arms."""
+def ranked(df: DataFrame, row_id: str, category: str, seed: int, purpose: str = "single_pool", most: Column | None = None) -> DataFrame:
+    """(id, category, nth): the place of every id in its category's ranking, shared by all arms.
+
+    With ``most`` rows beyond it may be left out, most of them before they are shuffled.
+    """
     r = rank(seed, purpose, F.col(category).cast("string"), row_id)
-    return placed(df.select(row_id, category, r.alias("__rank")), [category], "__rank", row_id).drop("__rank")
+    return placed(df.select(row_id, category, r.alias("__rank")), [category], "__rank", row_id, most).drop("__rank")
 
 
 def first_by_category(df: DataFrame, row_id: str, category: str, n: int, seed: int, purpose: str = "single_pool") -> DataFrame:
@@ -60,13 +63,25 @@ def first_by_category(df: DataFrame, row_id: str, category: str, n: int, seed: i
 
 def stratified(df: DataFrame, row_id: str, stratum: str, n: int, seed: int, label: str, name_descending: bool = True) -> DataFrame:
     """(id, stratum) of a proportional sample of n rows; equal remainders go to the later (or earlier) name."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    # names in order: a stratum's place among the others is its tie-break
-    nth = F.row_number().over(Window.orderBy(F.desc(stratum) if name_descending else F.asc(stratum)))
-    takes = largest_remainder(sizes.withColumn("__place", nth), stratum, "size", n, F.col("__place")).select(F.col(stratum).alias("__s"), "take")
-    r = rank(seed, label, F.col(stratum).cast("string"), row_id)
-    rows = df.select(row_id, stratum, r.alias("__rank")).join(takes, F.col(stratum).eqNullSafe(F.col("__s")))
-    return placed(rows, [stratum], "__rank", row_id, F.col("take")).filter("nth <= take").select(row_id, stratum)
+    one = df.select(row_id, stratum, F.lit(label).alias("__label"), F.lit(seed).alias("__seed"))
+    return stratified_by(one, row_id, stratum, n, name_descending).select(row_id, stratum)
+
+
+def stratified_by(df: DataFrame, row_id: str, stratum: str, n: int, name_descending: bool = True) -> DataFrame:
+    """(__label, id, stratum): a proportional sample of n rows for every label of (id, stratum, __label, __seed).
+
+    One plan for all labels: their strata are counted together, and a row is ranked once for each label that it
+    is open to. A label and a stratum name a group, which no task gets whole.
+    """
+    sizes = df.groupBy("__label", stratum).agg(F.count("*").alias("size"))
+    # names in order: a stratum's place among the others of its label is its tie-break
+    nth = F.row_number().over(Window.partitionBy("__label").orderBy(F.desc(stratum) if name_descending else F.asc(stratum)))
+    takes = largest_remainder(sizes.withColumn("__place", nth), stratum, "size", n, F.col("__place"), ("__label",))
+    takes = takes.select(F.col(stratum).alias("__s"), F.col("__label").alias("__l"), "take")
+    r = rank(F.col("__seed"), F.col("__label"), F.col(stratum).cast("string"), row_id)
+    met = (F.col("__label") == F.col("__l")) & F.col(stratum).eqNullSafe(F.col("__s"))
+    rows = df.select(row_id, stratum, "__label", r.alias("__rank")).join(takes, met).drop("__s", "__l")
+    return placed(rows, ["__label", stratum], "__rank", row_id, F.col("take")).filter("nth <= take").select("__label", row_id, stratum)
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int, purpose: str = "shuffle") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import pair_key
 from ..functions.text import strip
 from ..operators import arms, classify, dedup, evaluate, joins, prompts, sampling, splits
+from ..sources.scratch import kept
 
 
 def verified_rows(legacy: DataFrame, source: DataFrame, trusted: DataFrame, repairs: DataFrame | None = None, repairs_on: bool = False) -> DataFrame:
@@ -51,6 +52,7 @@ def ablation(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     One pass: a row is exploded over the arms that don't remove it, and each arm keeps its n smallest
     hashes. A pool smaller than n stops the study.
     """
+    rows = kept(rows.select(key, "category", "overlap"), "pool")
     names = list(arms.pool_sizes(rows, "category"))
     every = F.array(*[F.lit(x) for x in sorted(names)])
     open_ = rows.select(F.col(key), F.explode(F.filter(every, lambda c: ~F.array_contains("overlap", c))).alias("gone"))
@@ -58,28 +60,26 @@ def ablation(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     short = [c for c in names if sizes.get(c, 0) < n]
     if short:
         raise ValueError(f"fewer than {n} rows without {short}")
-    taken = sampling.ranked(open_, key, "gone", seed, "ablation").filter(F.col("nth") <= n)
+    taken = sampling.ranked(open_, key, "gone", seed, "ablation", F.lit(n)).filter(F.col("nth") <= n)
     return rows.select(F.lit("full").alias("arm"), key).union(taken.select(F.concat(F.lit("no_"), F.col("gone")), key))
 
 
 def sft_arms(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """Training rows of the full arm, a balanced control of n rows, and an arm of n rows without each bucket."""
+    """Training rows of the full arm, a balanced control of n rows, and an arm of n rows without each bucket.
+
+    Ids and categories of the usable rows are written once. Each is exploded over the arms that don't remove it,
+    all arms are sampled by one plan, and texts meet the chosen ids at the end.
+    """
     usable = prompts.usable(rows).filter("usable")
-    pool = usable.withColumns({"__bucket": classify.bucket(F.coalesce("primary_category", F.lit("other_algorithm")))}).select("id", "__bucket", "overlap_categories", "primary_category")
-    shown = classify.overlap_or_primary("overlap_categories", "primary_category")
-    takes = [pool.select(F.lit("full").alias("arm"), "id")]
-    chosen = sampling.stratified(pool, "id", "__bucket", n, seed, "balanced")
-    takes.append(chosen.select(F.lit("balanced").alias("arm"), "id"))
-    for i, name in enumerate((*classify.CORE_BUCKETS, "other_algorithm")):
-        gone = F.array(*[F.lit(c) for c in classify.removed_by(name)])
-        left = pool.filter(~F.arrays_overlap(F.array_compact(shown), gone))
-        takes.append(sampling.stratified(left, "id", "__bucket", n, seed + 100 + i, f"no_{name}").select(F.lit(f"no_{name}").alias("arm"), "id"))
-    every = takes[0]
-    for t in takes[1:]:
-        every = every.union(t)
-    both = every.join(usable, "id")
+    shown = F.array_compact(classify.overlap_or_primary("overlap_categories", "primary_category"))
+    pool = kept(usable.select("id", classify.bucket(F.coalesce("primary_category", F.lit("other_algorithm"))).alias("bucket"), shown.alias("shown")), "pool")
+    arm = lambda name, own, gone: F.struct(F.lit(name).alias("label"), F.lit(own).alias("seed"), F.array(*map(F.lit, gone)).cast("array<string>").alias("gone"))
+    every = F.array(arm("balanced", seed, ()), *[arm(f"no_{b}", seed + 100 + i, classify.removed_by(b)) for i, b in enumerate((*classify.CORE_BUCKETS, "other_algorithm"))])
+    open_ = pool.select("id", "bucket", F.explode(F.filter(every, lambda a: ~F.arrays_overlap("shown", a["gone"]))).alias("a"))
+    sampled = sampling.stratified_by(open_.select("id", "bucket", F.col("a.label").alias("__label"), F.col("a.seed").alias("__seed")), "id", "bucket", n)
+    takes = pool.select(F.lit("full").alias("arm"), "id").union(sampled.select(F.col("__label").alias("arm"), "id"))
     removed = F.when(F.startswith("arm", F.lit("no_")), F.substring("arm", 4, 100))
-    return prompts.sft_records(both, F.col("arm"), classify.bucket("primary_category"), removed)
+    return prompts.sft_records(takes.join(usable, "id"), F.col("arm"), classify.bucket("primary_category"), removed)
 
 
 def rl_split(rows: DataFrame, n: int, seed: int) -> DataFrame:

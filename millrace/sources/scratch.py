@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='millrace-scratch-')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once under the shared folder and read from there: what several parts of a plan need again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def named_file(lines: DataFrame, path: str) -> None:
     """A small table of one text column as one file of that very name."""
     spark = lines.sparkSession

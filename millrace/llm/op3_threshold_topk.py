@@ -9,7 +9,9 @@ to it goes on, because ties go to the smaller id). The lists are read in steps o
 takes its queries through its blocks one after the other and keeps the best k between them, so later
 blocks are left the sooner.
 
-Scores are integers: components are floor(64 * x) in double precision, products are summed exactly.
+Scores are integers: components are floor(64 * x) in double precision, products are summed exactly in 64 bits. Where
+they might not fit (the sum of a query's components times the largest one of a block reaches 2^62) the search
+stops with an error instead of wrong scores.
 Queries and candidates meet share by share, so no pair of single rows is ever made. Null vectors and those
 with null or non-finite components take no part. Fewer candidates than k give fewer rows. Repeated ids
 are rows of their own, and a query leaves out its own row, not other rows of its id. Vectors of another
@@ -51,12 +53,19 @@ class Lists:
         self.ids, self.rows, self.vectors = ids, rows, vectors
         self.down = np.argsort(-vectors, axis=0, kind="stable").T.copy()
         self.sorted = -np.sort(-vectors, axis=0).T
-        top = float(np.abs(vectors).max(initial=0))
+        top = float(np.abs(vectors.astype(np.float64)).max(initial=0))
         self.exact = vectors.astype(np.float64) if top < 2**40 else None
         self.top = top
 
+    def largest(self, q: np.ndarray) -> float:
+        """What no score of the query exceeds; an error if it might not fit into 64 bits."""
+        most = float(np.abs(q.astype(np.float64)).sum()) * self.top
+        if most >= 2.0**62:  # half of what a long holds, for the rounding of the bound
+            raise OverflowError(f"scores up to {most:.3g} do not fit into 64 bits: scale the vectors by less")
+        return most
+
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.exact is None or float(np.abs(q).sum()) * self.top >= 2**53:
+        if self.exact is None or self.largest(q) >= 2**53:
             return self.vectors[at] @ q
         q = q.astype(np.float64)  # every partial sum is exact
         many = 4 * len(at) > len(self.ids)  # then one product over the block is cheaper than picking its rows
@@ -66,6 +75,7 @@ class Lists:
 def search(q: np.ndarray, own_row: int, block: Lists, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
     """[scores, ids, rows] of the best k so far, by score down and id up, after one more block."""
     n = len(block.ids)
+    block.largest(q)
     up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
     seen, left, depth = np.zeros(n, bool), n, 0
     while left:

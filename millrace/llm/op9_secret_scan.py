@@ -49,26 +49,41 @@ SPAN = "struct<start:int,kind:int,end:int>"
 _NONE = f"cast(array() as array<{SPAN}>)"
 
 
+#: Numbers that one fold sums up: a fold copies what it has gathered at every step.
+TOGETHER = 64
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text of the body, in which the value goes by a name and is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running(values: str) -> str:
+    """SQL text of the sums ahead of every number of an array (and some zeros' after them), in groups of groups.
+
+    Each fold has TOGETHER numbers, so the work grows with the numbers, not with their square.
+    """
+    n = TOGETHER
+    groups = lambda v: f"sequence(0, greatest(size({v}) - 1, 0) div {n})"
+    inside = lambda v: f"sequence(0, greatest(least({n - 1}, size({v}) - 1 - {n} * j), 0))"
+    number = lambda v: f"coalesce(get({v}, {n} * j + i), 0)"
+    sums = lambda v: f"transform({groups(v)}, j -> aggregate({inside(v)}, 0, (s, i) -> s + {number(v)}))"
+    ahead = lambda v, before: f"flatten(transform({groups(v)}, j -> slice(aggregate({inside(v)}, array(coalesce(get({before}, j), 0)), (s, i) -> concat(s, array(element_at(s, -1) + {number(v)}))), 1, {n})))"
+    top = "aggregate(s1, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
+    return _let("v", values, _let("s0", sums("v"), _let("s1", sums("s0"), _let("p2", top, _let("p1", ahead("s0", "p2"), ahead("v", "p1"))))))
+
+
 def _matches(text: str, kind: int) -> Column:
     """Spans of one rule: array of (start, kind, end)."""
     _, pattern, group, least = RULES[kind]
     t, p = F.col(text), F.lit(pattern)
-    pieces = F.transform(F.split(t, pattern, -1), F.length)
-    whole = F.regexp_extract_all(t, p, F.lit(0))
-    sizes = F.transform(whole, F.length)
-    counted = sizes if group == 0 else F.transform(F.regexp_extract_all(t, p, F.lit(group)), F.length)
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), sizes.alias("size"), counted.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        a = (state["at"] + x["gap"]).cast("int")
-        b = (a + x["size"]).cast("int")
-        span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"))
-        return F.struct(
-            b.alias("at"), F.when(x["counted"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans")
-        )
-
-    found = F.aggregate(both, start, step, lambda s: s["spans"])
+    whole = F.transform(F.regexp_extract_all(t, p, F.lit(0)), F.length)
+    counted = whole if group == 0 else F.transform(F.regexp_extract_all(t, p, F.lit(group)), F.length)
+    given = F.struct(F.transform(F.split(t, pattern, -1), F.length).alias("gaps"), whole.alias("sizes"), counted.alias("counted"))
+    moves = running("zip_with(slice(m.gaps, 1, size(m.sizes)), m.sizes, (g, z) -> g + z)")
+    span = f"named_struct('start', get(at, i) + get(m.gaps, i), 'kind', {kind}, 'end', get(at, i) + get(m.gaps, i) + z)"
+    spans = f"filter(transform(m.sizes, (z, i) -> CASE WHEN get(m.counted, i) >= {least} THEN {span} END), x -> x IS NOT NULL)"
+    found = F.get(F.call_function("transform", F.array(given), F.expr(f"m -> {_let('at', moves, spans)}")), F.lit(0)).cast(f"array<{SPAN}>")
     return F.when(t.rlike(pattern), found).otherwise(F.expr(_NONE))
 
 

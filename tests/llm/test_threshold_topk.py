@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import op3_threshold_topk as op
 
@@ -46,3 +48,13 @@ def test_lists_are_left_before_their_end():
     best = op.search(np.full(8, 9), -1, block, 1, [np.empty(0, np.int64)] * 3)
     assert best[1].tolist() == [7]
     assert sum(scored) < 400
+
+
+def test_scores_that_do_not_fit_stop_the_search(spark):
+    rows = [(0, [5.0e7]), (1, [4.9e7]), (2, [-4.0])]
+    vectors = op.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).withColumn("row", F.col("vec_id"))
+    with pytest.raises(Exception, match="do not fit into 64 bits"):
+        op.top_k(vectors, vectors.filter("vec_id = 0")).collect()
+    fits = op.quantised(spark.createDataFrame([(0, [2.0e7, 1.0]), (1, [1.9e7, 3.0]), (2, [-4.0, 0.0])], "vec_id long, embedding array<double>")).withColumn("row", F.col("vec_id"))
+    got = [(r["vec_id"], r["score"]) for r in op.top_k(fits, fits.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1280000000 * 1216000000 + 64 * 192), (2, -256 * 1280000000)]

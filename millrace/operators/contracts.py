@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import set_fingerprint
@@ -35,6 +35,68 @@ def frozen_or_raise(df: DataFrame, key: str, rows: int, digest: str, name: str)
         raise ValueError(f"{name}: {got['n']} rows with digest {got['d']}, recorded are {rows} and {digest}")
 
 
+def artifact_differences(recorded: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """(key, reason): files (key, rows, bytes, sha256) that are missing, were never recorded, or are not as recorded."""
+    then, now = (df.select(F.col(key).alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("rows", "bytes", "sha256")]) for df, x in ((recorded, "then"), (found, "now")))
+    both = then.join(now, F.col("then_key") == F.col("now_key"), "full")
+    changed = [F.when(F.col(f"then_{c}") != F.col(f"now_{c}"), F.lit(c)) for c in ("rows", "bytes", "sha256")]
+    reason = F.when(F.col("now_key").isNull(), "missing").when(F.col("then_key").isNull(), "not recorded").otherwise(F.array_join(F.array_compact(F.array(*changed)), ","))
+    return both.select(F.coalesce("then_key", "now_key").alias(key), reason.alias("reason")).filter("reason <> ''")
+
+
+def artifacts_or_raise(recorded: DataFrame, found: DataFrame, key: str = "path", shown: int = 5) -> None:
+    """Stops if a file is not as recorded; the error names the first."""
+    wrong = artifact_differences(recorded, found, key).orderBy(key).limit(shown).collect()
+    if wrong:
+        raise ValueError(f"not as recorded: {', '.join(f'{r[key]} ({r["reason"]})' for r in wrong)}")
+
+
+def guarded(df: DataFrame, **rules: Column) -> DataFrame:
+    """The rows, each held against every rule as it passes; the first that breaks one stops the run and is shown.
+
+    A rule is a condition, null counting as broken. There is no job and no scan of its own: the check is part of
+    whatever reads the rows, and lies below all that is done with them.
+    """
+    shown = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    fine = F.lit(True)
+    for name, holds in rules.items():
+        broken = F.raise_error(F.concat(F.lit(f"{name}: "), F.substring(shown, 1, 500))).cast("boolean")
+        fine = F.when(F.coalesce(holds, F.lit(False)), fine).otherwise(broken)
+    return df.filter(fine)
+
+
+def guarded_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows, none of whose keys is null or repeated; the first that is stops the run.
+
+    Rows meet by key in one shuffle, which a later join or grouping by it uses again. Of a key that very many rows
+    have, a task counts no further than to the second.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    counted = df.withColumn("__nth", nth).filter("__nth <= 2")
+    return guarded(counted, **{f"missing {', '.join(keys)}": known, f"repeated {', '.join(keys)}": F.col("__nth") == 1}).drop("__nth")
+
+
+def violations(df: DataFrame, key: str, required: list[str], expected: int | None = None) -> DataFrame:
+    """(guard, key, n) of all that breaks a guard, from one scan and one shuffle of keys and partial counts.
+
+    ``missing <column>``: rows of the key without it; ``repeated``: rows of a key that has several; ``missing key``;
+    ``rows``: how many there are, if that is not what is expected.
+    """
+    gone = [F.count_if(F.col(c).isNull()).alias(f"__{c}") for c in required]
+    by_key = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n"), *gone)
+    one = lambda guard, n, when: F.when(when, F.struct(F.lit(guard).alias("guard"), F.col("key"), n.alias("n")))
+    n, none = F.col("n"), F.col("key").isNull()
+    found = F.array(one("missing key", n, none), one("repeated", n, ~none & (n > 1)), *[one(f"missing {c}", F.col(f"__{c}"), F.col(f"__{c}") > 0) for c in required])
+    out = by_key.select(F.explode(F.array_compact(found)).alias("v")).select("v.*")
+    if expected is None:
+        return out
+    total = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).filter(F.col("n") != expected)
+    return out.union(total.select(F.lit("rows"), F.lit(None).cast("string"), "n"))
+
+
 def coverage(sample: DataFrame, pool: DataFrame, category: str) -> DataFrame:
     """Categories of the pool that the sample lacks."""
     return pool.select(category).distinct().join(sample.select(category).distinct(), category, "left_anti")

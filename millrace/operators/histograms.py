@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import filled
+from ..sources.scratch import kept
 
 MISSING = "MISSING"
 
@@ -50,6 +51,17 @@ def by_count(df: DataFrame, column: str) -> DataFrame:
     return frequency(df, column).orderBy(F.desc("n"), "name")
 
 
+def report(df: DataFrame, column: str, title: str, top: int = 80) -> DataFrame:
+    """(line, text): a Markdown table of the most frequent names with their share of all rows, made where the rows are."""
+    counts = frequency(df, column)
+    total = counts.agg(F.sum("n").alias("total"))
+    first = counts.orderBy(F.desc("n"), "name").limit(top)
+    line = F.row_number().over(Window.orderBy(F.desc("n"), "name")) + 1  # over ``top`` rows
+    text = F.format_string("| %s | %d | %s |", "name", "n", percent(F.col("n"), F.col("total")))
+    head = df.sparkSession.createDataFrame([(0, f"| {title} | rows | share |"), (1, "| --- | ---: | ---: |")], "line long, text string")
+    return head.union(first.crossJoin(total).select(line.cast("long"), text))  # a row of totals
+
+
 def folder_totals(df: DataFrame) -> DataFrame:
     """(folder, n): rows of a scan by the folder of their file."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
@@ -67,10 +79,61 @@ def composite(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def summary(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """n, total, mean, median, least and most of a group's values; nulls don't count. No group is held by one task."""
     c = F.col(column)
-    return df.groupBy(*by).agg(
-        F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("least"), F.max(c).alias("most")
-    )
+    rest = df.groupBy(*by).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"))
+    middle = medians(df, column, *by).toDF(*[f"__g{i}" for i in range(len(by))], "median")
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__g{i}"))
+    return rest.join(middle, same, "left").select(*by, "n", "total", "mean", "median", "least", "most")
+
+
+#: Ranges into which a group's distinct values are dealt at a time, and distinct values that one window may hold.
+SPLITS, WINDOW_VALUES = 64, 1 << 16
+
+
+def medians(df: DataFrame, column: str, *by: str, most: int = WINDOW_VALUES) -> DataFrame:
+    """(by, median): the exact median of each group's values, the mean of the two middle ones of an even number.
+
+    Values are counted first. While a group has more than ``most`` distinct ones, they are dealt to SPLITS ranges by
+    approximate quantiles; the ranges' counts, a bounded number of rows a group, say which of them hold the middle,
+    and only those go on. So a group of any size is counted by many tasks, and its last few values by a window.
+    """
+    groups = [F.col(b).alias(f"g{i}") for i, b in enumerate(by)]
+    keys = [f"g{i}" for i in range(len(by))] or ["g"]
+    named = df.filter(F.col(column).isNotNull()).select(*(groups or [F.lit(0).alias("g")]), F.col(column).cast("double").alias("v"))
+    left = named.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    total = left.groupBy(*keys).agg(F.sum("n").alias("rows"))
+    left = _met(left, total, keys).withColumn("before", F.lit(0).cast("long"))
+    own = Window.partitionBy(*keys)
+    while (left.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) > most:
+        cuts = left.groupBy(*keys).agg(F.percentile_approx("v", [i / SPLITS for i in range(1, SPLITS)], 100 * SPLITS).alias("cuts"))
+        dealt = _met(left, cuts, keys).withColumn("range", F.size(F.filter("cuts", lambda p: p < F.col("v"))))
+        counts = dealt.groupBy(*keys, "range", "rows", "before").agg(F.sum("n").alias("in_range"))
+        upto = F.col("before") + F.sum("in_range").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counts.withColumn("upto", upto).withColumn("ahead", F.col("upto") - F.col("in_range"))
+        holding = placed.filter((F.col("upto") > _middles()[0]) & (F.col("ahead") <= _middles()[1]))
+        first = holding.groupBy(*keys).agg(F.min("ahead").alias("ahead"), F.min("range").alias("low"), F.max("range").alias("high"))
+        left = kept(_met(dealt, first, keys).filter(F.col("range").between(F.col("low"), F.col("high"))).select(*keys, "v", "n", "rows", F.col("ahead").alias("before")), "medians")
+    upto = F.col("before") + F.sum("n").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    low, high = (F.min(F.when(F.col("upto") > k, F.col("v"))) for k in _middles())
+    out = left.withColumn("upto", upto).groupBy(*keys).agg(((low + high) / 2).alias("median"))
+    return out.select(*keys[: len(by)], "median").toDF(*by, "median")
+
+
+def _middles() -> tuple[Column, Column]:
+    """Zero-based places of the two middle ones of ``rows`` values."""
+    return F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with what a table of groups says of its group; null groups meet too."""
+    other = right.toDF(*[f"__{c}" if c in keys else c for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, same).drop(*[f"__{k}" for k in keys])
 
 
 def percentile_places(n: Column, q: float) -> dict[str, Column]:

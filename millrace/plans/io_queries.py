@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import contracts, histograms
 from ..session import table
 from ..sources import readers, writers
 from ..sources.scratch import named_file, scratch
-from ..streaming import status
+from ..streaming import appends, status
 
 _DOC = "doc_id long, text string, lang string, source string"
 
@@ -104,16 +106,13 @@ FOLDER_SQL = "SELECT '__source=' || source AS folder, count(*) AS n FROM documen
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of the most frequent priorities, line by line."""
-    counts = histograms.by_count(table(spark, sf_dir, "orders"), "o_orderpriority")
-    rows = [r.asDict() for r in counts.limit(80).collect()]
-    text = writers.pipe_table(rows, sum(r["n"] for r in rows), "priority")
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line long, text string")
+    """A report of the 80 customers with most orders, line by line, with shares of all rows."""
+    return histograms.report(table(spark, sf_dir, "orders"), "o_custkey", "customer")
 
 
 REPORT_SQL = """
-WITH c AS (SELECT o_orderpriority AS name, count(*) AS n, sum(count(*)) OVER () AS t, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS k FROM orders GROUP BY 1)
-SELECT 0::BIGINT AS line, '| priority | rows | share |' AS text UNION ALL SELECT 1, '| --- | ---: | ---: |' UNION ALL SELECT k + 1, '| ' || name || ' | ' || n || ' | ' || printf('%.2f', n * 100.0 / t) || '% |' FROM c
+WITH c AS (SELECT o_custkey::VARCHAR AS name, count(*) AS n, sum(count(*)) OVER () AS t, row_number() OVER (ORDER BY count(*) DESC, o_custkey::VARCHAR) AS k FROM orders GROUP BY 1)
+SELECT 0::BIGINT AS line, '| customer | rows | share |' AS text UNION ALL SELECT 1, '| --- | ---: | ---: |' UNION ALL SELECT k + 1, '| ' || name || ' | ' || n || ' | ' || printf('%.2f', n * 100.0 / t) || '% |' FROM c WHERE k <= 80
 """
 
 
@@ -159,10 +158,9 @@ TRUSTED_SQL = "SELECT 'p' || p_partkey AS id, p_name AS name, p_size::BIGINT AS
 
 
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, keys and the digest of each language's ids; totals by folder; the table is as recorded."""
+    """Rows, keys and the digest of each language's ids; totals by folder."""
     docs = _docs(spark, sf_dir)
     whole = writers.manifest(docs, "doc_id").first()
-    contracts.frozen_or_raise(docs, "doc_id", whole["rows"], str(whole["key_digest"]), "documents")
     of = docs.groupBy("lang").agg(F.count("*").alias("n"), hashing.set_digest("doc_id").alias("digest"), F.sum(F.octet_length("text")).alias("bytes"))
     return of.withColumns({"rows": F.lit(whole["rows"]), "keys": F.lit(whole["keys"]), "share": histograms.percent(F.col("n"), F.lit(whole["rows"]))})
 
@@ -185,6 +183,45 @@ SELECT 1::BIGINT AS rows, strlen(r_regionkey || ' ' || r_name || chr(10))::BIGIN
 """
 
 
+def frozen_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each priority, recorded, then changed in one byte, in its rows, taken away or added: what differs."""
+    path, orders = scratch(spark, "frozen"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    line = lambda end: F.concat(F.col("o_orderkey"), F.lit(" "), F.when(F.col("o_orderkey") == F.col("first"), end).otherwise(F.lit("a")))
+    first = orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("first"))  # a priority's smallest key
+    rows = orders.join(F.broadcast(first), "o_orderpriority").repartition("o_orderpriority").withColumn("p", F.substring("o_orderpriority", 1, 1))
+    more = rows.filter("p = '2' AND o_orderkey = first")
+    for name, now in (("then", rows.filter("p <> '5'").select("p", line(F.lit("a")).alias("value"))), ("now", rows.filter("p <> '4'").union(more).repartition("p").select("p", line(F.when(F.col("p") == "1", "b").otherwise("a")).alias("value")))):
+        now.sortWithinPartitions("p", "value").write.partitionBy("p").text(f"{path}/{name}")
+    found = {x: writers.file_manifest(spark, f"{path}/{x}/*").withColumn("path", F.regexp_extract("path", r"/p=([^/]*)/", 1)) for x in ("then", "now")}
+    return contracts.artifact_differences(found["then"], found["now"]).withColumnRenamed("path", "priority")
+
+
+FROZEN_SQL = """
+SELECT DISTINCT o_orderpriority[1] AS priority, CASE o_orderpriority[1] WHEN '1' THEN 'sha256' WHEN '2' THEN 'rows,bytes,sha256' WHEN '4' THEN 'missing' ELSE 'not recorded' END AS reason FROM orders WHERE o_orderpriority[1] <> '3'
+"""
+
+
+def ledgered_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files is appended by batches, killed between the rows of the second and its entry, and goes on."""
+    path = scratch(spark, "ledgered")
+    writers.jsonl(_docs(spark, sf_dir).repartition(4, "doc_id"), f"{path}/in")
+
+    def kill(number: int) -> None:
+        if number == 1:
+            raise InterruptedError("killed")
+
+    stream = lambda: spark.readStream.schema(_DOC).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    with contextlib.suppress(StreamingQueryException):
+        appends.append(stream(), f"{path}/out", f"{path}/state", kill).awaitTermination()
+    seen = appends.read(spark, f"{path}/out", _DOC).agg(F.max("batch")).first()[0]  # what a reader sees meanwhile
+    appends.append(stream(), f"{path}/out", f"{path}/state").awaitTermination()
+    rows = appends.read(spark, f"{path}/out", _DOC)
+    return _digest(rows.withColumn("killed_after", F.lit(seen)), "killed_after")
+
+
+LEDGERED_SQL = f"SELECT {_DIGEST}, 0::BIGINT AS killed_after FROM documents"
+
+
 def counted_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without an answer go; the counter knows how many."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_name")).alias("answer"))
@@ -229,6 +266,8 @@ QUERIES = {
     "table_manifest": table_manifest,
     "file_manifest": file_manifest,
     "counted_skips": counted_skips,
+    "frozen_artifacts": frozen_artifacts,
+    "ledgered_append": ledgered_append,
 }
 ORACLE_SQL = {
     "streamed_counts": STREAM_SQL,
@@ -247,4 +286,6 @@ ORACLE_SQL = {
     "table_manifest": MANIFEST_SQL,
     "file_manifest": FILES_SQL,
     "counted_skips": SKIPS_SQL,
+    "frozen_artifacts": FROZEN_SQL,
+    "ledgered_append": LEDGERED_SQL,
 }

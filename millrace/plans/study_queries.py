@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,11 +270,8 @@ SECTIONS_SQL = "SELECT source AS task, count(DISTINCT lang) AS suites FROM docum
 
 
 def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that pass every guard, with the checks on their numbers and the brands that a sample lacks."""
-    p = table(spark, sf_dir, "part")
-    arms.unique_or_raise(p, "p_partkey")
-    arms.disjoint_or_raise(p.filter("p_size % 2 = 0"), p.filter("p_size % 2 = 1"), "p_partkey")
-    contracts.count_or_raise(p, p.count(), "part")
+    """Parts that pass every guard on the way, with the checks on their numbers and the brands that a sample lacks."""
+    p = contracts.guarded_unique(contracts.guarded(table(spark, sf_dir, "part"), name=F.col("p_name").isNotNull(), size=F.col("p_size") > 0), "p_partkey")
     lacking = contracts.coverage(p.filter("p_size < 10"), p, "p_brand").select("p_brand", F.lit(True).alias("lacks"))
     sound = contracts.finite_positive("p_size", "x")
     rows = p.withColumn("x", F.when(F.col("p_partkey") % 3 == 0, F.lit(float("inf"))).when(F.col("p_partkey") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("p_size") - 5))
@@ -285,6 +283,36 @@ SELECT p_partkey, p_partkey % 3 = 2 AND p_size > 5 AS sound, p_brand NOT IN (SEL
 """
 
 
+def guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with repeated rows, missing names, keys and brands: all that breaks a guard, and whether a run over them stops."""
+    p = table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 97 > 0, F.col("p_partkey")).alias("id"), F.when(F.col("p_partkey") % 40 > 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") != 7, F.col("p_brand")).alias("brand"), "p_size"
+    )
+    p = p.union(p.filter("id % 50 = 0")).union(p.filter("id % 100 = 0"))
+
+    def stops(df: DataFrame) -> bool:
+        try:
+            df.write.format("noop").mode("overwrite").save()
+        except PySparkException as e:
+            return "USER_RAISED_EXCEPTION" in str(e)
+        return False
+
+    runs = {"repeated": contracts.guarded_unique(p.filter("id IS NOT NULL"), "id"), "missing key": contracts.guarded_unique(p, "id"), "missing name": contracts.guarded(p, name=F.col("name").isNotNull()), "rows": contracts.guarded(p, size=F.col("p_size") > 0)}
+    stopped = spark.createDataFrame([(k, stops(df)) for k, df in runs.items()], "guard string, stops boolean")
+    found = contracts.violations(p, "id", ["name", "brand"], expected=table(spark, sf_dir, "part").count())
+    return found.join(F.broadcast(stopped), "guard", "left").select("guard", "key", "n", "stops")  # a row a guard
+
+
+VIOLATION_SQL = """
+WITH p AS (SELECT CASE WHEN p_partkey % 97 > 0 THEN p_partkey END AS id, CASE WHEN p_partkey % 40 > 0 THEN p_name END AS name, CASE WHEN p_size <> 7 THEN p_brand END AS brand FROM part),
+a AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE id % 50 = 0 UNION ALL SELECT * FROM p WHERE id % 100 = 0),
+k AS (SELECT id::VARCHAR AS key, count(*) AS n, count(*) - count(name) AS names, count(*) - count(brand) AS brands FROM a GROUP BY id)
+SELECT 'missing key' AS guard, key, n, true AS stops FROM k WHERE key IS NULL UNION ALL SELECT 'repeated', key, n, true FROM k WHERE n > 1 AND key IS NOT NULL
+UNION ALL SELECT 'missing name', key, names, true FROM k WHERE names > 0 UNION ALL SELECT 'missing brand', key, brands, NULL FROM k WHERE brands > 0
+UNION ALL SELECT 'rows', NULL, sum(n)::BIGINT, false FROM k HAVING sum(n) <> (SELECT count(*) FROM part)
+"""
+
+
 def largest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest category, the first by name of equal ones."""
     return arms.largest(table(spark, sf_dir, "documents"), "lang")
@@ -326,6 +354,7 @@ QUERIES = {
     "evaluation_contract": evaluation_contract,
     "repeated_sections": repeated_sections,
     "guarded_rows": guarded_rows,
+    "guard_violations": guard_violations,
     "largest_category": largest_category,
     "supervised_lengths": supervised_lengths,
     "shuffled_places": shuffled_places,
@@ -346,6 +375,7 @@ ORACLE_SQL = {
     "evaluation_contract": CONTRACT_SQL,
     "repeated_sections": SECTIONS_SQL,
     "guarded_rows": GUARD_SQL,
+    "guard_violations": VIOLATION_SQL,
     "largest_category": LARGEST_SQL,
     "supervised_lengths": SUPERVISED_SQL,
     "shuffled_places": SHUFFLE_SQL,

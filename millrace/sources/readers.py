@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,10 +139,46 @@ def trusted(rows: DataFrame, schema: str) -> DataFrame:
     )
 
 
+#: Bytes of a file that a task holds at a time.
+PIECE = 1 << 20
+
+
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, bytes, sha256) of whole files."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, rows, bytes, sha256) of whole files of any size.
+
+    Names are dealt to tasks, and a task streams each of its files in pieces of 1 MiB and counts its lines as it
+    goes; empty files are listed too. The files must lie in a store that Arrow opens by the same address (local,
+    HDFS, S3, GCS).
+    """
+    files = spark.createDataFrame([(p,) for p in listed(spark, pattern)], "path string")
+    dealt = files.repartition(spark.sparkContext.defaultParallelism, "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [digest_of(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["path", "rows", "bytes", "sha256"])
+
+    return dealt.mapInArrow(run, "path string, rows long, bytes long, sha256 string")
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files of a pattern and of the folders that it meets, but hidden ones."""
+    store = file_system(spark, pattern)
+    found = store.globStatus(hadoop_path(spark, pattern)) or []
+    files = [f for x in found for f in (store.listStatus(x.getPath()) if x.isDirectory() else [x]) if f.isFile()]
+    return sorted(f.getPath().toString() for f in files if f.getPath().getName()[0] not in "._")
+
+
+def digest_of(path: str) -> tuple[int, int, str]:
+    """(lines, bytes, SHA-256) of one file; a last line without a line feed counts."""
+    local = re.sub(r"^file:(//)?(?=/)", "", path)
+    store, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    digest, lines, size, last = hashlib.sha256(), 0, 0, b"\n"
+    with store.open_input_stream(at, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+            lines, size, last = lines + piece.count(b"\n"), size + len(piece), piece[-1:]
+    return lines + (last != b"\n"), size, digest.hexdigest()
 
 
 def observed(df: DataFrame, keep: str, name: str) -> tuple[DataFrame, Observation]:

@@ -92,21 +92,10 @@ def manifest(df: DataFrame, key: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, rows, bytes, sha256) of text files: what a receipt lists of an artifact."""
-    lines = spark.read.text(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-    digests = file_digests(spark, pattern)
-    return digests.join(lines, digests["path"] == lines["file"], "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", "sha256")
+    """(path, rows, bytes, sha256) of text files of any size: what a receipt lists of an artifact."""
+    return file_digests(spark, pattern)
 
 
 def relative_or_whole(path: str, base: str) -> str:
     p = Path(path).resolve()
     return str(p.relative_to(Path(base).resolve())) if p.is_relative_to(Path(base).resolve()) else str(p)
-
-
-def pipe_table(rows: list[dict], total: int, name: str, top: int = 80) -> str:
-    """A Markdown table of a small histogram (name, n) with shares, the largest first."""
-    lines = [f"| {name} | rows | share |", "| --- | ---: | ---: |"]
-    for r in rows[:top]:
-        share = 100.0 * r["n"] / total if total else 0.0
-        lines.append(f"| {r['name']} | {r['n']} | {share:.2f}% |")
-    return "\n".join(lines)

@@ -1,12 +1,15 @@
+import hashlib
 import json
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.operators import admission, classify, contracts, dedup, prompts, rewards, select
+from millrace.operators import admission, classify, contracts, dedup, histograms, prompts, rewards, select
 from millrace.sources import readers, writers
-from millrace.streaming import status
+from millrace.streaming import appends, status
 
 
 def test_json_lines(spark, tmp_path):
@@ -58,7 +61,9 @@ def test_writers(spark, tmp_path):
         writers.exclusive_json({}, str(tmp_path / "m.json"))
     one, two = (writers.manifest(df.repartition(n), "id").first() for n in (1, 3))
     assert one == two and one["rows"] == 2
-    assert "| b | 1 | 50.00% |" in writers.pipe_table([{"name": "a", "n": 1}, {"name": "b", "n": 1}], 2, "tag")
+    rows = spark.createDataFrame([(f"t{i:03d}",) for i in range(100) for _ in range(20)], "tag string")
+    report = [r["text"] for r in histograms.report(rows, "tag", "tag").orderBy("line").collect()]
+    assert len(report) == 82 and report[2] == "| t000 | 20 | 1.00% |"
 
 
 def test_small_files_in_any_store(spark, tmp_path):
@@ -225,3 +230,74 @@ def test_stream_counts_each_record_once(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("counts").collect()} == {("d", "passed", 1), ("d", "timeout", 1)}
+
+
+def test_medians_of_hot_groups(spark):
+    rng = random.Random(3)
+    rows = [("hot", float(rng.choice([rng.gauss(0, 1), rng.randint(0, 5), 7.0]))) for _ in range(4001)]
+    rows += [("even", float(i * i)) for i in range(300)] + [(None, 1.5), (None, 2.5), ("one", 4.0), ("same", 2.0)] + [("same", 2.0)] * 500 + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    want = {g: statistics.median(v for h, v in rows if h == g) for g in ("hot", "even", None, "one", "same")}
+    for most in (1 << 16, 50, 3):
+        assert {r["g"]: r["median"] for r in histograms.medians(df, "v", "g", most=most).collect()} == want
+    assert histograms.medians(df, "v", most=20).first()["median"] == statistics.median(v for _, v in rows if v is not None)
+    assert {r["g"]: (r["n"], r["median"]) for r in histograms.summary(df, "v", "g").collect()}["none"] == (0, None)
+    assert histograms.medians(df.filter("false"), "v", "g").collect() == []
+
+
+def test_digests_of_files_in_pieces(spark, tmp_path, monkeypatch):
+    content = {"a": b"", "b": b"x\ny", "c": b"line\n" * 500_000, "d e": b"\n"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): tuple(r)[1:] for r in readers.file_digests(spark, str(tmp_path / "*")).collect()}
+    lines = {"a": 0, "b": 2, "c": 500_000, "d e": 1}
+    assert got == {k: (lines[k], len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()}
+
+
+def test_artifacts_are_as_recorded(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"one\ntwo\n")
+    (tmp_path / "b").write_bytes(b"three\n")
+    read = lambda: readers.file_digests(spark, str(tmp_path / "*"))
+    recorded = spark.createDataFrame(read().collect())
+    contracts.artifacts_or_raise(recorded, read())
+    (tmp_path / "a").write_bytes(b"one\ntwO\n")
+    with pytest.raises(ValueError, match=r"a \(sha256\)"):
+        contracts.artifacts_or_raise(recorded, read())
+    (tmp_path / "b").unlink()
+    assert {r["reason"] for r in contracts.artifact_differences(recorded, read()).collect()} == {"sha256", "missing"}
+
+
+def test_guards_stop_as_rows_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (3, "d")], "id int, name string")
+    with pytest.raises(Exception, match='name: {"id":2}'):
+        contracts.guarded(df, name=F.col("name").isNotNull()).collect()
+    with pytest.raises(Exception, match="repeated id"):
+        contracts.guarded_unique(df, "id").collect()
+    with pytest.raises(Exception, match="missing name"):
+        contracts.guarded_unique(df, "name").collect()
+    kept = contracts.guarded_unique(contracts.guarded(df.filter("id = 1"), name=F.col("name").isNotNull()), "id")
+    assert kept.collect() == [(1, "a")]
+    assert contracts.guarded(df, positive=F.col("id") > 0).count() == 4
+
+
+def test_a_killed_batch_is_appended_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps({"id": i * 10 + k}) + "\n" for k in range(10)))
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out, state, seen = str(tmp_path / "out"), str(tmp_path / "state"), []
+
+    def kill(number):
+        seen.append(number)
+        if number == 1 and seen.count(1) < 3:
+            raise InterruptedError("killed")
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            appends.append(stream(), out, state, kill).awaitTermination()
+        assert appends.read(spark, out, "id long").count() == 10
+    appends.append(stream(), out, state, kill).awaitTermination()
+    assert sorted(r["id"] for r in appends.read(spark, out, "id long").collect()) == list(range(30))
+    assert seen == [0, 1, 1, 1, 2]
+    appends.committed(out)(spark.createDataFrame([(99,)], "id long"), 2)  # a batch that is done stays as it is
+    assert appends.read(spark, out, "id long").count() == 30

@@ -9,9 +9,11 @@ with the documents that have it, not with their square. No run is too frequent t
 
 Each pair is aligned by patience diff: equal heads and tails, then lines that are unique on both sides in
 their longest common order, then the same between them. An aligned block of at least MIN_WORDS words is
-deleted from the later document, whose rest is aligned once more for blocks that have moved. Blocks that
-no alignment shows, behind short ones or of repeated lines, are found by their runs. The first holder of a
-run keeps it, so one copy always stays.
+deleted from the later document, and with it the shorter blocks that the alignment puts next to it with at most
+GAP other lines between on either side: the lines of a passage that is the same but for a few edited ones. Its
+rest is aligned once more for blocks that have moved. Blocks of MIN_WORDS words that no alignment shows, of
+repeated lines or behind short ones, are found by their runs. The first holder of a run keeps it, so one copy
+always stays.
 
 Documents come in order of doc_id, null last. Rows of equal id and text are one document and are treated
 alike. Null texts stay null, empty texts stay empty, neither has shared lines. An empty table gives an
@@ -35,6 +37,8 @@ from .common import cut, plain_names, read, utf8
 
 #: Words of an aligned block from which it is deleted.
 MIN_WORDS = 10
+#: Other lines between an aligned block that is deleted and a shorter one that goes with it, on either side.
+GAP = 1
 NAME_BYTES = 16
 
 
@@ -153,24 +157,41 @@ def _shared(a: list, b: list, words: list[int], min_words: int) -> set[int]:
     return {y for s, e in spans(np.array(words, np.int64), min_words) if tuple(b[s:e]) in of_a for y in range(s, e)}
 
 
-def deleted(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Lines of b in aligned blocks of enough words.
+def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, lines) of the runs of aligned places that follow each other on both sides."""
+    out: list[tuple[int, int, int]] = []
+    for i, j in pairs:
+        if out and (i, j) == (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]):
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((i, j, 1))
+    return out
+
+
+def taken(aligned: list[tuple[int, int, int]], words: list[int], min_words: int, gap: int) -> list[bool]:
+    """Which aligned blocks go: those of enough words, and shorter ones at most ``gap`` lines from one that goes."""
+    goes = [sum(words[j : j + n]) >= min_words for _, j, n in aligned]
+    near = [max(i2 - i - n, j2 - j - n) <= gap for (i, j, n), (i2, j2, _) in zip(aligned, aligned[1:])]
+    for k in range(1, len(aligned)):
+        goes[k] = goes[k] or goes[k - 1] and near[k - 1]
+    for k in range(len(aligned) - 1, 0, -1):
+        goes[k - 1] = goes[k - 1] or goes[k] and near[k - 1]
+    return goes
+
+
+def deleted(a: list, b: list, words: list[int], min_words: int, gap: int = GAP) -> list[int]:
+    """Lines of b that go: aligned blocks of enough words with the shorter ones beside them.
 
     What is deleted leaves the alignment, and the rest is aligned again until nothing more goes. Aligned
     blocks that are too short keep their place and may hide a moved block, and repeated lines anchor
-    nothing, so the blocks that are then still shared are found by their runs of lines.
+    nothing, so the blocks of enough words that are then still shared are found by their runs of lines.
+    A negative ``gap`` leaves all shorter blocks.
     """
     rest = list(b)
     gone: list[int] = []
     while True:
-        new, block = [], []
-        for i, j in [*patience(a, rest), (-9, -9)]:
-            if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
-                block.append((i, j))
-                continue
-            if sum(words[y] for _, y in block) >= min_words:
-                new += [y for _, y in block]
-            block = [(i, j)]
+        aligned = blocks(patience(a, rest))
+        new = [y for (_, j, n), goes in zip(aligned, taken(aligned, words, min_words, gap)) if goes for y in range(j, j + n)]
         if not new:
             return sorted({*gone, *_shared(a, b, words, min_words)})
         gone += new
@@ -178,7 +199,7 @@ def deleted(a: list, b: list, words: list[int], min_words: int) -> list[int]:
             rest[j] = None
 
 
-def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
     """(key, gone): packed 32-bit line numbers to delete, for documents that lose any."""
     # inside, a document goes by a number, which is as long as it need be
     lines = cut(line_table(docs, doc_id, text).dropDuplicates(["key"]).withColumn("n", F.monotonically_increasing_id()))
@@ -195,7 +216,7 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
         for batch in batches:
             gone = []
             for a, b, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                gone.append(np.array(deleted(_names(a), _names(b), np.frombuffer(words, "<i4").tolist(), min_words), "<i4").tobytes())
+                gone.append(np.array(deleted(_names(a), _names(b), np.frombuffer(words, "<i4").tolist(), min_words, gap), "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.binary())], ["key", "gone"])
 
     found = both.mapInArrow(align, "key binary, gone binary").filter(F.octet_length("gone") > 0)
@@ -203,9 +224,9 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     return found.groupBy("key").agg(F.collect_list("gone").alias("gone"))
 
 
-def _without(plain: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+def _without(plain: DataFrame, doc_id: str, text: str, min_words: int, gap: int = GAP) -> DataFrame:
     """Rows of a table with plain names, the text without its deleted lines, then lines and removed (line counts)."""
-    gone = cut(deletions(plain, doc_id, text, min_words))
+    gone = cut(deletions(plain, doc_id, text, min_words, gap))
     names, at = plain.columns, plain.columns.index(text)
     given = plain.withColumn("key", _key(doc_id, text)).join(gone.hint("shuffle_hash"), "key", "left").select(*names, "gone")
 
@@ -226,13 +247,13 @@ def _without(plain: DataFrame, doc_id: str, text: str, min_words: int) -> DataFr
     return given.mapInArrow(run, f"{fields}, lines long, removed long")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] = ("__lines", "__removed")) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] = ("__lines", "__removed"), gap: int = GAP) -> DataFrame:
     """All rows and columns, the text without its deleted lines, then two line counts, which need names of their own."""
     if {*counts} & {*docs.columns}:
         raise ValueError(f"the table has a column {counts[0]} or {counts[1]}: name the counts otherwise")
     plain = plain_names(docs)
     at = dict(zip(docs.columns, plain.columns))
-    return _without(plain, at[doc_id], at[text], min_words).toDF(*docs.columns, *counts)
+    return _without(plain, at[doc_id], at[text], min_words, gap).toDF(*docs.columns, *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from millrace.llm import op8_line_dedup as op
 
 
@@ -11,16 +13,15 @@ def brute(corpus):
         docs[i, t] = (i is None, i if i is not None else 0)
     order, first, out = sorted(docs, key=lambda k: (docs[k], op_key(k))), {}, {}
     lines = {k: [x.strip() for x in (k[1] or "").encode().split(b"\n")] for k in order}
+    words = {k: [len(x.split()) for x in lines[k]] for k in order}
+    runs = {k: {tuple(lines[k][s:e]) for s, e in op.spans(np.array(words[k]), op.MIN_WORDS)} for k in order}
     for k in order:
-        n = Counter(lines[k])
-        for x in lines[k]:
-            if x and n[x] == 1:
-                first.setdefault(x, k)
+        for x in runs[k]:
+            first.setdefault(x, k)
     for k in order:
-        n, gone = Counter(lines[k]), set()
-        words = [len(x.split()) for x in lines[k]]
-        for p in {first[x] for x in lines[k] if x and n[x] == 1} - {k}:
-            gone |= set(op.deleted(lines[p], lines[k], words, op.MIN_WORDS))
+        gone = set()
+        for p in {first[x] for x in runs[k]} - {k}:
+            gone |= set(op.deleted(lines[p], lines[k], words[k], op.MIN_WORDS))
         out[k[0]] = (0 if k[1] is None else len(k[1].split("\n")), len(gone), "\n".join(x for j, x in enumerate((k[1] or "").split("\n")) if j not in gone))
     return out
 
@@ -86,7 +87,7 @@ def test_every_common_block_is_deleted():
     for _ in range(400):
         a, b = ([rng.randrange(7) for _ in range(rng.randint(0, 25))] for _ in range(2))
         words = [size[x] for x in b]
-        assert set(op.deleted(a, b, words, 10)) - {j for j in range(len(b)) if not words[j]} == {j for j in common(a, b, words, 10) if words[j]}
+        assert set(op.deleted(a, b, words, 10, gap=-1)) - {j for j in range(len(b)) if not words[j]} == {j for j in common(a, b, words, 10) if words[j]}
 
 
 def test_a_passage_that_a_document_repeats_is_found(spark):
@@ -113,5 +114,42 @@ def test_against_all_pairs(spark):
         words = [len(x.split()) for x in own]
         gone = set().union(*[common(t.split("\n"), own, words, op.MIN_WORDS) for _, t in rows[:i]])
         want[doc] = [x for j, x in enumerate(own) if x and j not in gone]
-    for r in op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in op.dedup(df, gap=-1).collect():
         assert [x for x in (r["text"] or "").split("\n") if x] == want[r["doc_id"]]
+    for r in op.dedup(df).collect():  # the short lines beside them go too, and nothing comes back
+        left = iter(want[r["doc_id"]])
+        assert all(x in left for x in (r["text"] or "").split("\n") if x)
+
+
+def test_alignment_takes_the_short_lines_of_an_edited_passage(monkeypatch):
+    a, b = list("AxyBzC"), list("AqyBwzD")  # one line of the passage is edited, one put in
+    words = [12, 3, 3, 12, 3, 3, 12]
+    assert op.deleted(a, b, words, 10) == [0, 2, 3, 5]
+    assert op.deleted(a, b, words, 10, gap=-1) == [0, 2, 3]
+    assert op.deleted(a, list("Aq.yD"), [12, 3, 3, 3, 12], 10) == [0]  # two other lines are too many
+    monkeypatch.setattr(op, "patience", lambda a, b: [])
+    assert op.deleted(a, b, words, 10) == [0, 2, 3]
+
+
+def test_short_blocks_go_only_with_one_of_enough_words():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.randrange(30) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        words = [(x * 7) % 13 for x in b]
+        core, wide = (set(op.deleted(a, b, words, 10, gap)) for gap in (-1, 2))
+        assert core <= wide
+        if not core:
+            assert not wide
+        assert all(any(abs(j - k) <= len(wide) * 4 for k in core) for j in wide - core)
+        aligned = op.blocks(op.patience(a, b))
+        assert sorted((i + k, j + k) for i, j, n in aligned for k in range(n)) == op.patience(a, b)
+
+
+def test_an_edited_copy_loses_its_short_lines_too(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(12))
+    first = "\n".join([long("a"), "short one", "short two", "short three", "end of it"])
+    second = "\n".join(["own head", long("a"), "short one", "edited here", "short three", "own", "tail"])
+    rows = [(1, first), (2, second), (3, "short three\nelsewhere")]
+    got = {r["doc_id"]: r["text"] for r in op.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: first, 2: "own head\nedited here\nown\ntail", 3: "short three\nelsewhere"}

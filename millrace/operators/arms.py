@@ -81,6 +81,13 @@ def _takes(spec: dict, chosen: dict[str, int], pools: dict[str, int], seed: int)
 MOST_CATEGORIES = 10_000
 
 
+def name_faults(df: DataFrame, name: str) -> DataFrame:
+    """(name, n, fault) of names that no arm may have: unsafe ones, the reserved one, and those that stand twice."""
+    safe, counted = F.col(name).rlike(rf"\A(?:{NAME.pattern})\z"), df.groupBy(name).agg(F.count("*").alias("n"))
+    fault = F.when(~F.coalesce(safe, F.lit(False)), "unsafe").when(F.col(name) == "base", "reserved").when(F.col("n") > 1, "repeated")
+    return counted.withColumn("fault", fault).filter("fault IS NOT NULL")
+
+
 def pool_sizes(pool: DataFrame, category: str = "primary_category") -> dict[str, int]:
     """Rows of each category, of which there are at most MOST_CATEGORIES."""
     rows = pool.groupBy(category).agg(F.count("*").alias("n")).limit(MOST_CATEGORIES + 1).collect()

@@ -132,6 +132,22 @@ def resume_or_raise(before: dict, now: dict, keys: tuple[str, ...]) -> None:
         raise ValueError(f"a resumed run must keep {', '.join(changed)}")
 
 
+def resume_differences(before: DataFrame, now: DataFrame, key: str, settings: tuple[str, ...]) -> DataFrame:
+    """(key, changed): of runs that began with one table of settings and go on with another, what has changed."""
+    other = now.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in settings])
+    changed = F.concat_ws(",", *[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in settings])
+    both = before.join(other, F.col(key) == F.col("__key"), "left")
+    return both.select(key, F.when(F.col("__key").isNull(), "not resumed").otherwise(changed).alias("changed")).filter("changed <> ''")
+
+
+def inside(path: Column | str, root: str) -> Column:
+    """Whether an absolute path is the root or lies in it once ``.``, ``..`` and repeated slashes are resolved."""
+    p = F.col(path) if isinstance(path, str) else path
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x.isin("", "."), a).otherwise(F.concat(a, F.array(x)))
+    whole = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+    return F.startswith(F.concat(F.lit("/"), whole, F.lit("/")), F.lit(f"{root.rstrip('/')}/"))
+
+
 def outside_or_raise(path: str, root: str) -> None:
     from pathlib import Path
 

@@ -19,6 +19,11 @@ def _part(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame
     return table(spark, sf_dir, "part").select("p_partkey", *columns)
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt to all cores: the file is small, the work on each row is not."""
+    return table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.expr("concat(' \\t', p_name, '  \\nQ: what is ', p_brand, '? ')")
     rows = _part(spark, sf_dir, t.alias("t"), "p_name", "p_size", "p_type")
@@ -202,8 +207,8 @@ def code_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
     body = F.concat(F.lit("    return '"), F.col("p_name"), F.lit("'"))
     whole = F.concat(F.lit("def "), name, F.lit("(x):\n"), body)
-    rows = _part(
-        spark, sf_dir, name.alias("name"), whole.alias("whole"), body.alias("body"),
+    rows = _dealt(spark, sf_dir).select(
+        "p_partkey", name.alias("name"), whole.alias("whole"), body.alias("body"),
         F.concat(whole, F.lit("\nthis is no code")).alias("broken"),
         F.concat(F.lit("Here:\n```python\n"), whole, F.lit("\n```\n```py\nx = 1\n```")).alias("reply"),
         F.concat(F.lit("import os\ndef "), name, F.lit("(x):\n")).alias("prompt"),
@@ -251,7 +256,7 @@ v AS (SELECT *, found LIKE '%\%' ESCAPE '\' AS percent, CASE WHEN regexp_matches
 
 
 def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(REPLY).alias("reply"))
+    rows = _dealt(spark, sf_dir).select("p_partkey", F.expr(REPLY).alias("reply"))
     got = numbers.first_number("reply")
     return rows.select("p_partkey", got["value"].alias("value"), F.coalesce(got["percent"], F.lit(False)).alias("percent"))
 
@@ -262,7 +267,7 @@ NUMERIC_SQL = f"WITH {READ_SQL} SELECT p_partkey, value, coalesce(percent, false
 def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies against the size of the part, plain or as a per cent."""
     target = F.expr("concat(p_size, CASE WHEN p_partkey % 2 = 0 THEN '%' ELSE '' END)")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(REPLY).alias("reply"), target.alias("target"))
+    rows = _dealt(spark, sf_dir).select("p_partkey", F.expr(REPLY).alias("reply"), target.alias("target"))
     return rows.select("p_partkey", evaluate.grade_number("reply", "target").alias("passed"))
 
 
@@ -292,7 +297,7 @@ FORMULAS = r"""CASE p_partkey % 6
 
 def formula_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of formulas in unequal spelling, and whether their values are equal."""
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS a", "p_partkey % 5 AS k", "p_partkey % 4 AS j")
+    rows = _dealt(spark, sf_dir).selectExpr("p_partkey", "p_size AS a", "p_partkey % 5 AS k", "p_partkey % 4 AS j")
     return rows.select("p_partkey", F.expr(FORMULAS).alias("f")).select("p_partkey", formulas.equal(F.col("f")[0], F.col("f")[1]).alias("equal"))
 
 

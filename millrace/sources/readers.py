@@ -127,8 +127,11 @@ def file_system(spark: SparkSession, path: str):  # noqa: ANN201
     return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def config(path: str) -> dict | list:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def config(path: str, spark: SparkSession | None = None) -> dict | list:
+    """A small JSON file; with a session it may lie in any store that it reads."""
+    if spark is None:
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def trusted(rows: DataFrame, schema: str) -> DataFrame:

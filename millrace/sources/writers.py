@@ -97,5 +97,7 @@ def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def relative_or_whole(path: str, base: str) -> str:
+    if "://" in path or path.startswith("file:"):  # in a store: no links are followed
+        return path.removeprefix(f"{base.rstrip('/')}/")
     p = Path(path).resolve()
     return str(p.relative_to(Path(base).resolve())) if p.is_relative_to(Path(base).resolve()) else str(p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,9 +77,11 @@ def united_by(first: DataFrame, second: DataFrame, category: str) -> DataFrame:
 
 
 def group_normalised(df: DataFrame, group: str, score: str, epsilon: float = 1e-6) -> DataFrame:
-    """Scores less the group's mean over its deviation; groups of one score are dropped."""
-    w = Window.partitionBy(group)
+    """Scores less the group's mean over its deviation; groups of one score are dropped.
+
+    A group is summed up by every task that has rows of it and joined back, so a hot one is no task's alone.
+    """
     s = F.col(score)
-    kept = df.withColumns({"__min": F.min(s).over(w), "__max": F.max(s).over(w), "__mean": F.avg(s).over(w), "__std": F.stddev(s).over(w)})
-    kept = kept.filter("__min < __max")
-    return kept.withColumn("advantage", (s - F.col("__mean")) / (F.col("__std") + epsilon)).drop("__min", "__max", "__mean", "__std")
+    of = df.groupBy(F.col(group).alias("__group")).agg(F.min(s).alias("__min"), F.max(s).alias("__max"), F.avg(s).alias("__mean"), F.stddev(s).alias("__std"))
+    met = df.join(of.filter("__min < __max"), F.col(group).eqNullSafe(F.col("__group")))
+    return met.withColumn("advantage", (s - F.col("__mean")) / (F.col("__std") + epsilon)).select(*df.columns, "advantage")

@@ -145,6 +145,31 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED_SQL = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS \"index\", o_orderkey, row_number() OVER (ORDER BY o_orderkey) <= 30 AS early FROM orders"
 
 
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in folders of Parquet and of JSON lines, one after the other by path: the place of each row in all of them."""
+    path, orders = scratch(spark, "ordered"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    for k in range(4):
+        part = orders.filter(F.col("o_orderkey") % 4 == k).repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+        writers.parquet(part, f"{path}/{k}") if k % 2 else writers.jsonl(part, f"{path}/{k}")
+    rows = readers.numbered(readers.ordered(spark, f"{path}/*", "o_orderkey long, o_orderpriority string"))
+    return rows.select(F.col("index").cast("long"), "o_orderkey", "o_orderpriority")
+
+
+ORDERED_SQL = 'SELECT row_number() OVER (ORDER BY o_orderkey % 4, o_orderkey) - 1 AS "index", o_orderkey, o_orderpriority FROM orders'
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a file for each priority, numbered in splits."""
+    path = scratch(spark, "lines")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    rows.repartition("p").sortWithinPartitions("p", F.col("value").cast("long")).write.partitionBy("p").text(path)
+    got = readers.numbered_lines(spark, f"{path}/*")
+    return got.select(F.regexp_extract("path", "/p=([^/]*)/", 1).alias("priority"), "line", F.col("value").cast("long").alias("o_orderkey"))
+
+
+LINES_SQL = "SELECT o_orderpriority[1] AS priority, row_number() OVER (PARTITION BY o_orderpriority[1] ORDER BY o_orderkey) AS line, o_orderkey FROM orders"
+
+
 def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems whose solution was verified, with their parsed truth and the validation flag."""
     extra = F.struct(F.concat(F.lit("p"), F.col("p_partkey")).alias("problem_id"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3 == 1).alias("canonical_verified"))
@@ -267,6 +292,8 @@ QUERIES = {
     "file_manifest": file_manifest,
     "counted_skips": counted_skips,
     "frozen_artifacts": frozen_artifacts,
+    "ordered_union": ordered_union,
+    "numbered_lines": numbered_lines,
     "ledgered_append": ledgered_append,
 }
 ORACLE_SQL = {
@@ -287,5 +314,7 @@ ORACLE_SQL = {
     "file_manifest": FILES_SQL,
     "counted_skips": SKIPS_SQL,
     "frozen_artifacts": FROZEN_SQL,
+    "ordered_union": ORDERED_SQL,
+    "numbered_lines": LINES_SQL,
     "ledgered_append": LEDGERED_SQL,
 }

@@ -22,8 +22,8 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As jsonl, but a line that is no object is an error with its file and number.
 
-    Lines are checked where they lie, files of any size in splits; only of a file with a bad line are the
-    lines numbered, to say where it is.
+    Lines are checked where they lie, files of any size in splits; of a file with a bad line the lines are
+    numbered, in splits too, to say where it is.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     ok = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")), F.lit(False))
@@ -35,11 +35,39 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): each file is read whole by one task, so lines have their numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    split = whole.select("file", F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value"))
-    return split.select("file", (F.col("at") + 1).alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file, line, value), lines from 1 in their file; files of any size are read in splits.
+
+    A split lies in one task, in order, so a line's place in it is its running number less the split's first. The
+    splits' counts, a row a split, give the lines before each.
+    """
+    at = {"path": F.col("_metadata.file_path"), "file": F.col("_metadata.file_name"), "split": F.col("_metadata.file_block_start"), "n": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).select("value", *[c.alias(k) for k, c in at.items()])
+    splits = lines.groupBy("path", "split").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    start = splits.select(F.col("path").alias("__path"), F.col("split").alias("__split"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("start"))
+    met = lines.join(start, (F.col("path") == F.col("__path")) & (F.col("split") == F.col("__split")))
+    return met.select("path", "file", (F.col("start") + F.col("n") + 1).alias("line"), "value")
+
+
+def ordered(spark: SparkSession, pattern: str, schema: str, name: str = "ord") -> DataFrame:
+    """The rows of all files of a pattern, Parquet or JSON lines by their suffix, with the place of each in its file.
+
+    Files count in order of their paths; ``numbered`` makes one sequence of the places. Blank lines are no rows, but
+    keep their numbers.
+    """
+    files = listed(spark, pattern)
+    columns = [c for c in files if c.endswith(".parquet")], [c for c in files if not c.endswith(".parquet")]
+    place = lambda file, row: F.struct(file.alias("file"), row.alias("row")).alias(name)
+    parts = []
+    if columns[0]:
+        parts.append(spark.read.schema(schema).parquet(*columns[0]).select("*", place(F.col("_metadata.file_path"), F.col("_metadata.row_index"))))
+    if columns[1]:
+        lines = numbered_lines(spark, columns[1]).filter("trim(value) <> ''")
+        parts.append(lines.select(F.from_json("value", schema).alias("r"), place(F.col("path"), F.col("line") - 1)).select("r.*", name))
+    if not parts:
+        raise FileNotFoundError(pattern)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

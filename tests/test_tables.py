@@ -301,3 +301,22 @@ def test_a_killed_batch_is_appended_once(spark, tmp_path):
     assert seen == [0, 1, 1, 1, 2]
     appends.committed(out)(spark.createDataFrame([(99,)], "id long"), 2)  # a batch that is done stays as it is
     assert appends.read(spark, out, "id long").count() == 30
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"id": i}) + "\n" for i in range(3000)) + "\n[1]\n")
+    (tmp_path / "b.jsonl").write_text('{"id": 7}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "*.jsonl"))
+        assert lines.rdd.getNumPartitions() > 0 and spark.read.text(str(tmp_path / "a.jsonl")).rdd.getNumPartitions() > 5
+        got = {(r["file"], r["line"]): r["value"] for r in lines.collect()}
+        assert len(got) == 3003 and all(got["a.jsonl", i + 1] == json.dumps({"id": i}) for i in range(3000))
+        assert got["b.jsonl", 1] == '{"id": 7}'
+        with pytest.raises(ValueError, match="a.jsonl:3002"):
+            readers.strict_jsonl(spark, str(tmp_path / "a.jsonl"), "id long")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(FileNotFoundError):
+        readers.ordered(spark, str(tmp_path / "none*"), "id long")
+    assert [r["id"] for r in readers.numbered(readers.ordered(spark, str(tmp_path / "b*"), "id long")).collect()] == [7]

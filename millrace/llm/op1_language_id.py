@@ -34,7 +34,9 @@ from .common import crc_bucket, read, runs, utf8
 #: Expected labelled rows of each language in the fitting sample.
 SAMPLE_DOCS = 2000
 GRAM, PROBES, SLOT_BITS = 4, 3, 20
-MOST_LANGS = 1 << 16
+#: Labels at most: two filters of each in words of 63 and 2^SLOT_BITS slots of 8 bytes make 264 MB, which is what the
+#: driver holds and broadcasts at worst; a column with more labels is none of languages.
+MOST_LANGS = 1 << 10
 #: Share of an n-gram's largest rate in any language from which it enters a language's second filter.
 MIN_SHARE = 0.25
 UND = "und"
@@ -90,12 +92,12 @@ def _slots(grams: np.ndarray) -> list[np.ndarray]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Filters:
     """Filters from rows with a non-null label. Only a slot table of fixed size reaches the driver."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     langs = tuple(sorted(counts))
     if not langs:
         return Filters((), np.zeros((1, 1 << SLOT_BITS), np.int64), np.zeros(0))
     if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} labels: this is no column of languages")
+        raise ValueError(f"more than {MOST_LANGS} labels: this is no column of languages")
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / counts[k]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(draw < share[F.col("lang")])

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from millrace.llm import op1_language_id as op
 
 
@@ -79,3 +81,10 @@ def test_stage_keeps_columns_and_clean_documents(spark, docs, corpus):
     assert out.columns == docs.columns
     gone = {r[0] for r in corpus} - {r["doc_id"] for r in out.collect()}
     assert gone == {260, 261, 262, 263}
+
+
+def test_more_labels_than_the_table_may_hold_stop_the_fit(spark):
+    rows = spark.range(op.MOST_LANGS + 1).selectExpr("'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="labels"):
+        op.fit(rows)
+    assert 2 * op.MOST_LANGS / 63 * 8 * (1 << op.SLOT_BITS) < 300e6

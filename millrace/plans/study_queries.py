@@ -186,6 +186,20 @@ WITH {_TASK_SQL} SELECT task, CASE WHEN task IN ({_list(evaluate.HARD)}) THEN 'h
 """
 
 
+def graded_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks name their grader in a table; one plan grades the replies of all, whatever the table says."""
+    named = spark.createDataFrame([*studies.GRADED_BY.items(), ("healthbench", "none")], "task string, grader string")
+    rows = _records(spark, sf_dir).join(F.broadcast(named), "task")  # a row a task
+    verdict = studies.verdict(F.col("grader"), {g: g for g in studies.GRADERS})
+    return evaluate.accuracy(rows.withColumn("passed", verdict), "grader").select("grader", "n", "correct", "raw_n")
+
+
+_GRADER_CASE = " ".join(f"WHEN '{t}' THEN '{g}'" for t, g in studies.GRADED_BY.items())
+BY_NAME_SQL = f"""
+WITH {_TASK_SQL} SELECT CASE task {_GRADER_CASE} ELSE 'none' END AS grader, sum(n)::BIGINT AS n, sum(correct)::BIGINT AS correct, sum(raw_n)::BIGINT AS raw_n FROM m GROUP BY 1
+"""
+
+
 def task_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the tasks of the suites; names and aliases say which tasks there are."""
     _, means = studies.suite(_records(spark, sf_dir), evaluate.tasks("all"))
@@ -347,6 +361,7 @@ QUERIES = {
     "validation_split": validation_split,
     "task_metrics": task_metrics,
     "task_means": task_means,
+    "graded_by_name": graded_by_name,
     "target_types": target_types,
     "mixed_means": mixed_means,
     "choice_scores": choice_scores,
@@ -368,6 +383,7 @@ ORACLE_SQL = {
     "validation_split": VALIDATION_SQL,
     "task_metrics": TASK_SQL,
     "task_means": MEANS_SQL,
+    "graded_by_name": BY_NAME_SQL,
     "target_types": TYPES_SQL,
     "mixed_means": MIX_SQL,
     "choice_scores": SCORES_SQL,

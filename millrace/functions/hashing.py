@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, collapse
@@ -37,11 +40,34 @@ def pair_key(prompt: Column | str, answer: Column | str) -> Column:
     return F.sha2(F.concat(collapse(prompt), F.lit("\0"), collapse(answer)).cast("binary"), 256)
 
 
-def set_digest(ids: Column | str) -> Column:
-    """Aggregate: SHA-256 of the sorted ids, each closed by a line feed. For sets that fit one group."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(col(ids).cast("string"))), "\n"), F.lit("\n")).cast("binary"), 256)
+def set_digests(df: DataFrame, ids: str, by: str) -> DataFrame:
+    """(by, digest): SHA-256 of each group's sorted ids, every one closed by a line feed, for sets of any size.
+
+    Ids come to a task sorted by group (a sort that spills) and pass through one running hash; nothing is gathered.
+    A hash is made from front to back, so a group is one task's; ``set_fingerprint`` has no such limit.
+    """
+    named = df.select(F.col(by), F.col(ids).cast("string").alias("__id")).filter("__id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, running = None, None
+        for batch in batches:
+            for group, pairs in groupby(zip(batch.column(0), batch.column(1).to_pylist()), key=lambda x: x[0]):
+                if running is None or group != now:
+                    if running is not None:
+                        yield closed(now, running)
+                    now, running = group, hashlib.sha256()
+                running.update("".join([f"{i}\n" for _, i in pairs]).encode())
+        if running is not None:
+            yield closed(now, running)
+
+    def closed(group: pa.Scalar, running) -> pa.RecordBatch:  # noqa: ANN001
+        return pa.RecordBatch.from_arrays([pa.array([group.as_py()], group.type), pa.array([running.hexdigest()])], [by, "digest"])
+
+    kind = df.schema[by].dataType.simpleString()
+    return named.repartition(by).sortWithinPartitions(by, "__id").mapInArrow(run, f"`{by}` {kind}, digest string")
 
 
 def set_fingerprint(ids: Column | str) -> Column:
-    """Aggregate for sets of any size: order-free sum of 64-bit hashes as a decimal."""
-    return F.sum(F.xxhash64(col(ids).cast("string")).cast("decimal(38,0)"))
+    """Aggregate for sets of any size in any number of tasks: order-free sum of 60-bit hashes as a decimal."""
+    digest = F.sha2(col(ids).cast("string").cast("binary"), 256)
+    return F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)"))

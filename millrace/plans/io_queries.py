@@ -186,7 +186,7 @@ def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, keys and the digest of each language's ids; totals by folder."""
     docs = _docs(spark, sf_dir)
     whole = writers.manifest(docs, "doc_id").first()
-    of = docs.groupBy("lang").agg(F.count("*").alias("n"), hashing.set_digest("doc_id").alias("digest"), F.sum(F.octet_length("text")).alias("bytes"))
+    of = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).join(hashing.set_digests(docs, "doc_id", "lang"), "lang")
     return of.withColumns({"rows": F.lit(whole["rows"]), "keys": F.lit(whole["keys"]), "share": histograms.percent(F.col("n"), F.lit(whole["rows"]))})
 
 

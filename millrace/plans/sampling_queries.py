@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import arm_seed_column, set_digest, set_fingerprint
+from ..functions.hashing import arm_seed_column, set_digests, set_fingerprint
 from ..operators import allocation, arms, sampling, splits
 from ..session import table
 
@@ -178,7 +178,7 @@ WHERE nth <= 10
 def set_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each language's ids that doesn't depend on order, and the seeds of their arms."""
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(set_digest("doc_id").alias("digest")).withColumn("seed", arm_seed_column(SEED, "lang").cast("string"))
+    return set_digests(docs, "doc_id", "lang").withColumn("seed", arm_seed_column(SEED, "lang").cast("string"))
 
 
 IDENTITY_SQL = """
@@ -192,6 +192,9 @@ def set_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(set_fingerprint("o_orderkey").cast("string").alias("digest"), F.count("*").alias("n"))
 
 
+FINGERPRINT_SQL = "SELECT o_orderpriority, sum(('0x' || sha256(o_orderkey::VARCHAR)[1:15])::HUGEINT)::VARCHAR AS digest, count(*) AS n FROM orders GROUP BY o_orderpriority"
+
+
 QUERIES = {
     "loo_arm": loo_arm,
     "recipe_arms": recipe_arms,
@@ -220,4 +223,5 @@ ORACLE_SQL = {
     "first_ids": FIRST_SQL,
     "top_per_category": TOP_SQL,
     "set_identity": IDENTITY_SQL,
+    "set_fingerprints": FINGERPRINT_SQL,
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
+from millrace.functions import hashing
 from millrace.operators import admission, classify, contracts, dedup, histograms, prompts, rewards, select
 from millrace.sources import readers, writers
 from millrace.streaming import appends, status
@@ -320,3 +321,17 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.ordered(spark, str(tmp_path / "none*"), "id long")
     assert [r["id"] for r in readers.numbered(readers.ordered(spark, str(tmp_path / "b*"), "id long")).collect()] == [7]
+
+
+def test_set_digests_stream_over_batches(spark):
+    rows = [(g, i) for g in ("a", "b", None) for i in range(0, 3000, len(str(g)))] + [("a", None), ("c", 1)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r["g"]: r["digest"] for r in hashing.set_digests(df, "id", "g").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {g: hashlib.sha256("".join(f"{x}\n" for x in sorted(str(i) for h, i in rows if h == g and i is not None)).encode()).hexdigest() for g in ("a", "b", None, "c")}
+    assert got == want
+    one, two = (df.repartition(n).agg(hashing.set_fingerprint("id").alias("f")).first()["f"] for n in (1, 4))
+    assert one == two

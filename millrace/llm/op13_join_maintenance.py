@@ -83,15 +83,6 @@ def _changed(copies: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.nd
     return when + 1, key[row], left[row], right[row], weight[row, when], copies[row, when + 1]
 
 
-def _apart(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], times: int) -> tuple[np.ndarray, ...]:
-    """The changes under a null key, where every row meets a pad."""
-    a, b = Side(*left, 1, times), Side(*right, 1, times)
-    a.counts[0] += b.counts[0]  # parts that print like a pad
-    pads = np.zeros(len(a.part), np.int64), np.zeros(len(b.part) - 1, np.int64)
-    copies, parts = np.concatenate([a.counts, b.counts[1:]]), (np.concatenate([a.part, pads[1]]), np.concatenate([pads[0], b.part[1:]]))
-    return _changed(copies, np.zeros(len(copies), np.int64), *parts)
-
-
 def _range(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], width: int, times: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The changes of a range, in blocks."""
     a, b = Side(*left, width, times), Side(*right, width, times)
@@ -113,12 +104,26 @@ def _range(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], width: i
 
 
 def _side(rows: DataFrame, left: bool, width: int) -> DataFrame:
-    """(left, alone, range, base, shifts, parts, n): histories counted, in every range that they ever lie in."""
-    counted = rows.groupBy("base", "shifts", "parts").agg(F.count("*").alias("n"))
+    """(left, range, base, shifts, parts, n): histories counted, in every range that they ever lie in."""
+    counted = rows.filter("base IS NOT NULL").groupBy("base", "shifts", "parts").agg(F.count("*").alias("n"))
     ranges = F.array_distinct(F.array_compact(F.transform("shifts", lambda s: _floor(F.col("base") + s, width))))
-    there = F.exists("shifts", lambda s: s.isNotNull())
-    where = F.when(F.col("base").isNull(), F.when(there, F.array(F.lit(0).cast("long")))).otherwise(ranges)
-    return counted.select(F.lit(left).alias("left"), F.col("base").isNull().alias("alone"), F.explode(where).alias("range"), "base", "shifts", "parts", "n")
+    return counted.select(F.lit(left).alias("left"), F.explode(ranges).alias("range"), "base", "shifts", "parts", "n")
+
+
+def _alone(left: DataFrame, right: DataFrame, batches: int, initial: bool) -> DataFrame:
+    """The changes under a null key, where every row meets a pad: counts by part and time, in as many tasks as there are parts."""
+    rows = None
+    for side, names in ((left, ("part", "pad")), (right, ("pad", "part"))):
+        each = side.filter("base IS NULL").select(F.posexplode(F.arrays_zip("shifts", "parts")).alias("at", "x")).filter("x.shifts IS NOT NULL")
+        shown = {"part": F.col("x.parts"), "pad": F.lit(PAD)}
+        one = each.select(*[shown[k].alias(c) for k, c in zip(names, ("left_part", "right_part"))], "at")
+        rows = one if rows is None else rows.union(one)
+    times = range(batches + 1)
+    sums = rows.groupBy("left_part", "right_part").agg(*[F.count_if(F.col("at") == t).alias(f"n{t}") for t in times])
+    before = lambda t: F.col(f"n{t - 1}") if t else F.lit(0).cast("long")
+    moves = [F.struct(F.lit(t).alias("batch"), (F.col(f"n{t}") - before(t)).alias("weight"), F.col(f"n{t}").alias("total")) for t in times[0 if initial else 1 :]]
+    changed = sums.select("left_part", "right_part", F.explode(F.array(*moves)).alias("m")).filter("m.weight <> 0")
+    return changed.select("m.batch", F.lit(None).cast("long").alias("join_key"), "left_part", "right_part", "m.weight", "m.total")
 
 
 def changes(left: DataFrame, right: DataFrame, batches: int, width: int = WIDTH, initial: bool = False) -> DataFrame:
@@ -130,14 +135,12 @@ def changes(left: DataFrame, right: DataFrame, batches: int, width: int = WIDTH,
     times = batches + 1 + initial
 
     def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone, first = key[0].as_py(), key[1].as_py() * width
+        first = key[0].as_py() * width
         table = pa.Table.from_batches(list(group)).combine_chunks()
         n = table["n"].to_numpy()
-        base = table["base"].fill_null(0).to_numpy()
+        base = table["base"].to_numpy()
         shifts = np.array(table["shifts"].to_pylist(), float).reshape(len(n), batches + 1)
         places = np.where(np.isnan(shifts), -1, base[:, None] - first + np.nan_to_num(shifts).astype(np.int64))
-        if alone:
-            places = np.where(np.isnan(shifts), -1, 0)
         places[(places < 0) | (places >= width)] = -1
         parts, names = _codes(table["parts"].combine_chunks().flatten())
         parts = parts.reshape(len(n), batches + 1).astype(np.int64)
@@ -145,15 +148,14 @@ def changes(left: DataFrame, right: DataFrame, batches: int, width: int = WIDTH,
             places, parts = (np.concatenate([np.full((len(n), 1), -1), x], axis=1) for x in (places, parts))
         is_left = table["left"].to_numpy(zero_copy_only=False).astype(bool)
         sides = [(places[x], parts[x], n[x]) for x in (is_left, ~is_left)]
-        for when, k, a, b, weight, total in [_apart(*sides, times)] if alone else _range(*sides, width, times):
-            keys = pa.nulls(len(k), pa.int64()) if alone else pa.array(k + first, pa.int64())
+        for when, k, a, b, weight, total in _range(*sides, width, times):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(when - initial, pa.int32()), keys, *[pa.array(names[x], pa.string()) for x in (a, b)], pa.array(weight), pa.array(total)],
+                [pa.array(when - initial, pa.int32()), pa.array(k + first, pa.int64()), *[pa.array(names[x], pa.string()) for x in (a, b)], pa.array(weight), pa.array(total)],
                 ["batch", "join_key", "left_part", "right_part", "weight", "total"],
             )
 
     both = _side(left, True, width).union(_side(right, False, width))
-    return both.groupBy("alone", "range").applyInArrow(run, CHANGES)
+    return both.groupBy("range").applyInArrow(run, CHANGES).union(_alone(left, right, batches, initial))
 
 
 def applied(state: DataFrame, changed: DataFrame) -> DataFrame:

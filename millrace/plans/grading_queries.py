@@ -240,6 +240,13 @@ def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", code.reward_code_udf("reply", F.lit("")).alias("reward_code"), code.suite_code_udf("reply", F.lit(""), "name").alias("suite_code"))
 
 
+#: The first fence's function is the one asked for; prose before code without a fence goes.
+EXTRACT_SQL = """
+WITH c AS (SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'def f' || page_id || '(x):' || chr(10) || '    return x' ELSE 'import os' || chr(10) || 'print(1)' END AS code FROM pages)
+SELECT page_id, code AS reward_code, code AS suite_code FROM c
+"""
+
+
 def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repairs of programs made of pages' titles, each with another fault."""
     page = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "['\\\\]", "").alias("t"))
@@ -303,6 +310,7 @@ QUERIES = {
     "admission_reasons": admission_reasons,
 }
 ORACLE_SQL = {
+    "code_extract": EXTRACT_SQL,
     "reward_partial": PARTIAL_SQL,
     "reward_strict": STRICT_SQL,
     "status_rollup": STATUS_SQL,

@@ -314,7 +314,7 @@ def guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = {"repeated": contracts.guarded_unique(p.filter("id IS NOT NULL"), "id"), "missing key": contracts.guarded_unique(p, "id"), "missing name": contracts.guarded(p, name=F.col("name").isNotNull()), "rows": contracts.guarded(p, size=F.col("p_size") > 0)}
     stopped = spark.createDataFrame([(k, stops(df)) for k, df in runs.items()], "guard string, stops boolean")
     found = contracts.violations(p, "id", ["name", "brand"], expected=table(spark, sf_dir, "part").count())
-    return found.join(F.broadcast(stopped), "guard", "left").select("guard", "key", "n", "stops")  # a row a guard
+    return found.join(F.broadcast(stopped), "guard", "left").select("guard", "key", "n", F.coalesce("stops", F.lit(False)).alias("stops"))  # a row a guard
 
 
 VIOLATION_SQL = """
@@ -322,7 +322,7 @@ WITH p AS (SELECT CASE WHEN p_partkey % 97 > 0 THEN p_partkey END AS id, CASE WH
 a AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE id % 50 = 0 UNION ALL SELECT * FROM p WHERE id % 100 = 0),
 k AS (SELECT id::VARCHAR AS key, count(*) AS n, count(*) - count(name) AS names, count(*) - count(brand) AS brands FROM a GROUP BY id)
 SELECT 'missing key' AS guard, key, n, true AS stops FROM k WHERE key IS NULL UNION ALL SELECT 'repeated', key, n, true FROM k WHERE n > 1 AND key IS NOT NULL
-UNION ALL SELECT 'missing name', key, names, true FROM k WHERE names > 0 UNION ALL SELECT 'missing brand', key, brands, NULL FROM k WHERE brands > 0
+UNION ALL SELECT 'missing name', key, names, true FROM k WHERE names > 0 UNION ALL SELECT 'missing brand', key, brands, false FROM k WHERE brands > 0
 UNION ALL SELECT 'rows', NULL, sum(n)::BIGINT, false FROM k HAVING sum(n) <> (SELECT count(*) FROM part)
 """
 

@@ -61,10 +61,10 @@ def test_entry_and_registration(spark):
     assert set(registry.QUERIES) <= set(driver.queries())
 
 
-#: What only Python's parser can read, or nested braces; these go through Arrow in batches.
+#: What only Python's parser can read goes through Arrow in batches, and so do files and sorted ids that are hashed in pieces.
 PARSED = {
-    "numeric_extract", "numeric_match", "math_text", "literal_scalars", "code_scalars", "repair_candidates", "problem_rows", "sft_rows", "second_source_prompts",
-    "partition_union", "formal_categories", "ablation_arms", "training_arms", "task_metrics", "task_means",
+    "literal_scalars", "code_scalars", "code_extract", "long_replies", "repair_candidates", "problem_rows", "sft_rows", "second_source_prompts", "partition_union", "formal_categories", "training_arms",
+    "file_manifest", "frozen_artifacts", "set_identity", "table_manifest",
 }
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -88,12 +89,11 @@ def distinct_units(texts: Iterable[str]) -> set[str]:
 
 
 class Block:
-    """Puts texts together from the values of their units; ``glue`` joins them."""
+    """Finds the values of the units of a text."""
 
-    def __init__(self, units: Iterable[str], values: Iterable[bytes], glue: bytes):
-        self.parts: dict[str, bytes] = {}  # by what ``parted`` gives for a unit
-        self.others: dict[str, bytes] = {}
-        self.glue = glue
+    def __init__(self, units: Iterable[str], values: Iterable):
+        self.parts: dict[str, object] = {}  # by what ``parted`` gives for a unit
+        self.others: dict[str, object] = {}
         for u, v in zip(units, values):
             if u[0] == "\n":
                 self.parts[u] = v
@@ -102,16 +102,16 @@ class Block:
             else:
                 self.others[u] = v
 
-    def _value(self, unit: str) -> bytes:
+    def _value(self, unit: str) -> object:
         if unit[0] == "\n":
             return self.parts[unit]
         return self.parts[unit[1:]] if unit[0] == " " and unit[1:2] != "\n" else self.others[unit]
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> list:
         some = parted(text)
         if some is None:
-            return self.glue.join(map(self._value, UNIT.findall(text)))
-        return self.glue.join([self.others[some[0]], *map(self.parts.__getitem__, some[1:])])
+            return list(map(self._value, UNIT.findall(text)))
+        return [self.others[some[0]], *map(self.parts.__getitem__, some[1:])]
 
 
 def _pack(parts: list[bytes]) -> bytes:
@@ -206,23 +206,21 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     def put_together(codec: Codec, texts: list[str], known: dict[str, bytes]) -> dict[str, pa.Array]:
         if not digests:
-            join = Block(known, known.values(), b"")
-            ids = [join(t) for t in texts]
+            values = Block(known, known.values())
+            ids = [b"".join(values(t)) for t in texts]
             return {"n_tokens": pa.array([len(x) // ID.itemsize for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
-        ends = np.cumsum([len(x) // ID.itemsize for x in known.values()]).tolist()
-        ranges = [slice(a, b) for a, b in zip([0, *ends], ends)]
         flat = np.frombuffer(b"".join(known.values()), ID).tolist()
-        n, of_ids = [], []
-        numbers = list(map(codec.decimals.__getitem__, flat))
-        join = Block(known, (b" ".join(numbers[r]) for r in ranges), b" ")
+        numbers, names = map(codec.decimals.__getitem__, flat), map(codec.names.__getitem__, flat)
+        sizes = [len(x) // ID.itemsize for x in known.values()]
+        values = Block(known, ((b" ".join(islice(numbers, k)), b"".join(islice(names, k))) for k in sizes))
+        del flat, numbers, names, sizes
+        n, of_ids, of_bytes = [], [], []
         for t in texts:
-            ids = join(t)
+            ids, raw = zip(*values(t)) if t else ((), ())  # a text is looked up once for both digests
+            ids = b" ".join(ids)
             n.append(ids.count(b" ") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids).hexdigest())
-        del numbers, join  # one table at a time is held
-        names = list(map(codec.names.__getitem__, flat))
-        join = Block(known, (b"".join(names[r]) for r in ranges), b"")
-        of_bytes = [hashlib.sha256(join(t)).hexdigest() for t in texts]
+            of_bytes.append(hashlib.sha256(b"".join(raw)).hexdigest())
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
 
     kind = own.schema["doc_id"].dataType.simpleString()

@@ -237,7 +237,7 @@ FENCES_SQL = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE
 def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reward's and the suite's reading of the same replies."""
     rows = _replies(spark, sf_dir)
-    return rows.select("page_id", code.reward_code_udf("reply", F.lit("")).alias("reward_code"), code.suite_code_udf("reply", F.lit(""), "name").alias("suite_code"))
+    return rows.select("page_id", code.reward_code("reply").alias("reward_code"), code.suite_code("reply", name="name").alias("suite_code"))
 
 
 #: The first fence's function is the one asked for; prose before code without a fence goes.

@@ -107,7 +107,7 @@ def long_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = F.when(F.col("p_size") == 7, F.repeat(F.concat(F.lit("# "), F.col("p_name"), F.lit("\n")), 12_000)).otherwise("")
     reply = F.concat(F.lit("```python\nx"), F.lit("\0"), F.lit(" = "), F.col("p_size"), F.lit("\n"), pad, F.lit("\0y = 2\n```"))
     rows = table(spark, sf_dir, "part").select("p_partkey", reply.alias("reply"))
-    read = rows.select("p_partkey", code.reward_code_udf("reply", F.lit("")).alias("code"))
+    read = rows.select("p_partkey", code.reward_code("reply").alias("code"))
     return read.select("p_partkey", F.length("code").cast("long").alias("chars"), F.sha2(F.col("code").cast("binary"), 256).alias("code_sha256"))
 
 

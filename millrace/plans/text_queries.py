@@ -203,30 +203,34 @@ SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '|' || p_type WHEN 1
 
 
 def code_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programs made of parts' names, read, completed and renamed by the parser."""
+    """Programs made of parts' names in replies of several layouts, read, completed and renamed."""
+    key, fenced = F.col("p_partkey"), lambda a, x, b, y: F.concat(F.lit(f"Here:\n```{a}\n"), x, F.lit(f"\n```\n```{b}\n"), y, F.lit("\n```"))
     name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
     body = F.concat(F.lit("    return '"), F.col("p_name"), F.lit("'"))
     whole = F.concat(F.lit("def "), name, F.lit("(x):\n"), body)
     rows = _dealt(spark, sf_dir).select(
         "p_partkey", name.alias("name"), whole.alias("whole"), body.alias("body"),
-        F.concat(whole, F.lit("\nthis is no code")).alias("broken"),
-        F.concat(F.lit("Here:\n```python\n"), whole, F.lit("\n```\n```py\nx = 1\n```")).alias("reply"),
+        F.when(key % 4 == 0, F.concat(whole, F.lit("\nthis is no code"))).when(key % 4 == 1, whole)
+        .when(key % 4 == 2, F.concat(F.lit("Some prose.\r\n"), whole, F.lit("\n)"))).otherwise(F.concat(whole, F.lit("\n\n\treturn ("))).alias("broken"),
+        F.when(key % 5 == 0, F.concat(whole, F.lit("\nreturn 1"))).otherwise(whole).alias("program"),
+        F.when(key % 4 == 0, fenced("python", whole, "py", F.lit("x = 1"))).when(key % 4 == 1, fenced("PY", F.lit("x = 1"), "", whole))
+        .when(key % 4 == 2, fenced("", whole, "python", F.lit("def g(x):\n    return 1"))).otherwise(fenced("python", F.lit("def ("), "py", whole)).alias("reply"),
         F.concat(F.lit("import os\ndef "), name, F.lit("(x):\n")).alias("prompt"),
-        F.array(F.concat(F.lit("assert abs("), name, F.lit("(1)) == 2"))).alias("tests"),
+        F.array(F.when(key % 2 == 0, F.concat(F.lit("assert abs("), name, F.lit("(1)) == 2"))).otherwise(F.concat(F.lit("assert "), name, F.lit("(1) == (")))).alias("tests"),
     )
     return rows.select(
-        "p_partkey", code.reward_code_udf("broken", F.lit("")).alias("longest_head"), code.reward_code_udf("reply", F.lit("")).alias("first_fence"),
-        code.suite_code_udf("reply", F.lit(""), "name").alias("best_fence"), code.completion_code("body", "prompt", "name").alias("completed"),
-        code.completion_code("reply", "prompt", "name").alias("whole"), code.renamed_udf("whole", F.lit("solve")).alias("renamed"),
-        code.entry_point_udf("tests", F.lit("")).alias("entry"), code.entry_point_udf(F.expr("cast(array() as array<string>)"), "whole").alias("last_function"),
-        code.compiles_udf("whole").alias("good"), code.compiles_udf("broken").alias("bad"),
+        "p_partkey", code.reward_code("broken").alias("longest_head"), code.reward_code("reply").alias("first_fence"),
+        code.suite_code("reply", name="name").alias("best_fence"), code.completion_code("body", "prompt", "name").alias("completed"),
+        code.completion_code("reply", "prompt", "name").alias("whole"), code.renamed_code("whole", F.lit("solve")).alias("renamed"),
+        code.entry_point("tests").alias("entry"), code.entry_point(F.expr("cast(array() as array<string>)"), "whole").alias("last_function"),
+        code.compiles("program").alias("good"), code.compiles("broken").alias("bad"),
     )
 
 
 CODE_SQL = """
 WITH r AS (SELECT p_partkey, 'f' || p_partkey AS name, '    return ''' || p_name || '''' AS body FROM part), w AS (SELECT *, 'def ' || name || '(x):' || chr(10) || body AS whole FROM r)
-SELECT p_partkey, whole AS longest_head, whole AS first_fence, whole AS best_fence, 'import os' || chr(10) || whole AS completed, 'import os' || chr(10) || chr(10) || whole AS whole,
-  replace(whole, 'def ' || name, 'def solve') AS renamed, name AS entry, name AS last_function, true AS good, false AS bad FROM w
+SELECT p_partkey, whole AS longest_head, CASE p_partkey % 4 WHEN 1 THEN 'x = 1' WHEN 3 THEN 'def (' ELSE whole END AS first_fence, whole AS best_fence, 'import os' || chr(10) || whole AS completed, 'import os' || chr(10) || chr(10) || whole AS whole,
+  replace(whole, 'def ' || name, 'def solve') AS renamed, name AS entry, name AS last_function, p_partkey % 5 <> 0 AS good, p_partkey % 4 = 1 AS bad FROM w
 """
 
 

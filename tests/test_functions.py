@@ -168,18 +168,17 @@ def test_literals():
     assert values.same_value([1.0, (2,)], [1.0000001, [2]]) and not values.same_value(True, 1)
 
 
-def test_two_readings_of_a_reply():
+def test_two_readings_of_a_reply(spark):
     reply = "```python\ndef a():\n    return 1\n```\n```python\ndef b():\n    return 2\n```"
-    assert code.reward_code(reply).startswith("def a")
-    assert code.suite_code(reply).startswith("def b")
-    assert code.suite_code(reply, "", "a").startswith("def a")
-    assert code.reward_code("text\nimport os\nthis is no code") == "import os"
-    assert code.reward_code("a\0b = 1") == "ab = 1"
+    read = lambda c, text: one(spark, c, r=text)
+    assert read(code.reward_code("r"), reply).startswith("def a")
+    assert read(code.suite_code("r"), reply).startswith("def b")
+    assert read(code.suite_code("r", name=F.lit("a")), reply).startswith("def a")
+    assert read(code.reward_code("r"), "text\nimport os\nthis is no code") == "import os"
+    assert read(code.reward_code("r"), "a\0b = 1") == "ab = 1"
 
 
 def test_code_helpers():
-    assert code.entry_point(["assert abs(solve(1)) == 2"]) == "solve"
-    assert code.entry_point([], "def x(): pass\ndef y(): pass") == "y"
     assert "def f(" in code.renamed("def g(x):\n    return g(x - 1)", "f")
     assert [k for k, _ in code.repairs("```py\ndef main(argv=None):\n    pass\n```")] == ["strip_markdown_fence", "append_main"]
     assert code.repairs("x = 1") == []

@@ -9,15 +9,17 @@ from ..schemas import EVAL_RECORD
 
 
 def records(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
-    """New JSONL files of the folder as a stream."""
-    return spark.readStream.schema(EVAL_RECORD).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """New JSONL files of the folder as a stream; ``written_at`` is when a record's file was written."""
+    stream = spark.readStream.schema(EVAL_RECORD).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return stream.withColumn("written_at", F.col("_metadata.file_modification_time"))
 
 
-def status_counts(stream: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+def status_counts(stream: DataFrame, time: str | None = "written_at", late: str = "1 day") -> DataFrame:
     """(dataset, status, n), each record id counted once; for ``complete`` output.
 
-    Ids are kept as state, so a record that a resumed run writes again changes nothing. With a ``time`` column
-    they are kept for ``late`` only and the state has a bound; without one it grows with the records.
+    Ids are kept as state, so a record that a resumed run writes again changes nothing. They are kept until the
+    stream's ``time`` is ``late`` past their own, so the state is bounded by the records of that span; a record
+    repeated after it counts again. Without ``time`` no id is forgotten and the state grows with the records.
     """
     keys = ["id", "dataset"]
     once = stream.dropDuplicates(keys) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

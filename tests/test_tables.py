@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import statistics
 
@@ -233,6 +234,22 @@ def test_stream_counts_each_record_once(spark, tmp_path):
     assert {tuple(r) for r in spark.table("counts").collect()} == {("d", "passed", 1), ("d", "timeout", 1)}
 
 
+def test_stream_forgets_ids_of_old_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for day in range(8):  # each file repeats half of the one before it
+        rows = [{"id": str(i), "dataset": "d", "status": "passed"} for i in range(day * 50, day * 50 + 100)]
+        path = folder / f"{day}.jsonl"
+        path.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(path, (1_700_000_000 + day * 86_400,) * 2)
+    counts = status.status_counts(status.records(spark, str(folder), files_per_batch=1), late="36 hours")
+    query = counts.writeStream.outputMode("complete").format("memory").queryName("forgetting").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("forgetting").collect()] == [("d", "passed", 450)]
+    kept = [next(o["numRowsTotal"] for o in p["stateOperators"] if "dedupe" in o["operatorName"].lower()) for p in query.recentProgress]
+    assert max(kept) <= 250 and kept[-1] <= kept[3]  # flat, while 450 ids have passed
+
+
 def test_medians_of_hot_groups(spark):
     rng = random.Random(3)
     rows = [("hot", float(rng.choice([rng.gauss(0, 1), rng.randint(0, 5), 7.0]))) for _ in range(4001)]

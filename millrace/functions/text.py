@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What Python's str.split and str.strip treat as white space, spelt so that Java agrees on every code point.
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+#: Its characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: The same for regular expressions of DuckDB.
 WS_RE2 = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 FENCE = r"(?si)```(?:python|py)?[^\n\r]*\r?\n(.*?)```"
@@ -18,7 +20,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.trim(col(c), F.lit(SPACES))  # no pattern: that would be tried at every character of a long text
 
 
 def collapse(c: Column | str) -> Column:

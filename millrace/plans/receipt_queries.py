@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..operators import arms, contracts, rewards
-from ..session import table
+from ..session import dealt, table
 from ..sources import readers, writers
 from ..sources.scratch import scratch
 
@@ -106,7 +106,8 @@ def long_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with NULs, and some beyond what the parser looks at: what is read of them."""
     pad = F.when(F.col("p_size") == 7, F.repeat(F.concat(F.lit("# "), F.col("p_name"), F.lit("\n")), 12_000)).otherwise("")
     reply = F.concat(F.lit("```python\nx"), F.lit("\0"), F.lit(" = "), F.col("p_size"), F.lit("\n"), pad, F.lit("\0y = 2\n```"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", reply.alias("reply"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    rows = parts.select("p_partkey", reply.alias("reply"))
     read = rows.select("p_partkey", code.reward_code("reply").alias("code"))
     return read.select("p_partkey", F.length("code").cast("long").alias("chars"), F.sha2(F.col("code").cast("binary"), 256).alias("code_sha256"))
 

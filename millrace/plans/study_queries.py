@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import arms, classify, contracts, dedup, evaluate, histograms, sampling
-from ..session import table
+from ..session import dealt, table
 from . import studies
 from .grading_queries import _GRADED_SQL, _graded
 from .record_queries import _BUCKET_SQL, _PROBLEM_SQL, _cycle, _null, _problems
@@ -135,7 +135,7 @@ SELECT problem_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256(
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded replies of every task, made of parts in one scan; a small file is dealt out, since grading is work."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     base = parts.select("p_partkey", "p_size", F.expr(REPLY).alias("said"))
     size, letter = F.col("p_size").cast("string"), _cycle("p_size", "A", "B", "C")
     row = lambda task, reply, target, lower=_null(), upper=_null(), passed=_null("boolean"): F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, code, dates, formulas, numbers, values
 from ..functions import text as tx
 from ..operators import evaluate
-from ..session import table
+from ..session import dealt, table
 
 _WS = tx.WS_RE2
 _trim_sql = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -21,7 +21,7 @@ def _part(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts dealt to all cores: the file is small, the work on each row is not."""
-    return table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
 
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:

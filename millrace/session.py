@@ -27,6 +27,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     )
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has, or the cores if these are more: for small files with much work on each row."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the named Parquet tables under a scale-factor directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

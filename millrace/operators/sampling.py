@@ -22,14 +22,30 @@ def first_by_rank(df: DataFrame, row_id: str, n: int, seed: int, purpose: str, l
 BUCKET_DIGITS = 3
 
 
+def _up_to(bucketed: DataFrame, group: list[str], most: Column) -> DataFrame:
+    """Rows of the buckets that have the first ``most`` places of each group; all rows of a bucket or none."""
+    counts = bucketed.groupBy(*group, "__digits").agg(F.count("*").alias("__n"), F.max(most).alias("__most"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__digits")) - F.col("__n")
+    needed = counts.withColumn("__before", before).filter("__before < __most")
+    last = needed.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]).agg(F.max("__digits").alias("__last"))
+    same = F.col("__digits") <= F.col("__last")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return bucketed.join(F.broadcast(last), same).drop("__last", *[f"__g{i}" for i in range(len(group))])
+
+
 def placed(df: DataFrame, group: list[str], rank_column: str, row_id: str, most: Column | None = None) -> DataFrame:
     """``df`` with ``nth``, the place of each row in its group by rank; rows beyond ``most`` may be left out.
 
     A group may hold a third of all rows, so no task gets a whole group. Ranks are uniform hashes: their
     leading digits split a group into 4,096 even buckets, whose counts (a row for each group and bucket)
-    give every bucket the places before it, and a window numbers the rows within a bucket alone.
+    give every bucket the places before it, and a window numbers the rows within a bucket alone. With ``most``,
+    which is the same for all rows of a group, counting also tells the last bucket that has a place up to it: a row
+    a group, sent to all tasks, so that rows beyond it go before anything is shuffled.
     """
     bucketed = df.withColumn("__digits", F.substring(rank_column, 1, BUCKET_DIGITS))
+    if most is not None:
+        bucketed = _up_to(bucketed, group, most)
     counts = bucketed.groupBy(*group, "__digits").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__digits")) - F.col("__n")
     start = counts.withColumn("__before", before).drop("__n")
@@ -38,8 +54,6 @@ def placed(df: DataFrame, group: list[str], rank_column: str, row_id: str, most:
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     met = bucketed.join(right, same)
-    if most is not None:
-        met = met.filter(F.col("__before") < most)
     within = Window.partitionBy(*group, "__digits").orderBy(rank_column, F.col(row_id).cast("string"))
     out = met.withColumn("nth", (F.col("__before") + F.row_number().over(within)).cast("long"))
     return out.drop("__digits", "__b", "__before", *[f"__g{i}" for i in range(len(group))])
@@ -71,7 +85,7 @@ def stratified_by(df: DataFrame, row_id: str, stratum: str, n: int, name_descend
     """(__label, id, stratum): a proportional sample of n rows for every label of (id, stratum, __label, __seed).
 
     One plan for all labels: their strata are counted together, and a row is ranked once for each label that it
-    is open to. A label and a stratum name a group, which no task gets whole.
+    is open to. A label and a stratum name a group, which no task gets whole: the rows to take, a line a group, go to all.
     """
     sizes = df.groupBy("__label", stratum).agg(F.count("*").alias("size"))
     # names in order: a stratum's place among the others of its label is its tie-break
@@ -80,7 +94,7 @@ def stratified_by(df: DataFrame, row_id: str, stratum: str, n: int, name_descend
     takes = takes.select(F.col(stratum).alias("__s"), F.col("__label").alias("__l"), "take")
     r = rank(F.col("__seed"), F.col("__label"), F.col(stratum).cast("string"), row_id)
     met = (F.col("__label") == F.col("__l")) & F.col(stratum).eqNullSafe(F.col("__s"))
-    rows = df.select(row_id, stratum, "__label", r.alias("__rank")).join(takes, met).drop("__s", "__l")
+    rows = df.select(row_id, stratum, "__label", r.alias("__rank")).join(F.broadcast(takes), met).drop("__s", "__l")
     return placed(rows, ["__label", stratum], "__rank", row_id, F.col("take")).filter("nth <= take").select("__label", row_id, stratum)
 
 

@@ -31,7 +31,7 @@ def holdout(df: DataFrame, row_id: str, strata: list[str], n: int, seed: int, fo
     sizes = open_.groupBy("__stratum").agg(F.count("*").alias("size"))
     takes = largest_remainder(sizes, "__stratum", "size", left, F.col("__stratum")).select(F.col("__stratum").alias("__s"), "take")
     r = rank(seed, "holdout", F.col("__stratum"), row_id)
-    dealt = placed(open_.withColumn("__rank", r).join(takes, F.col("__stratum") == F.col("__s")), ["__stratum"], "__rank", row_id)
+    dealt = placed(open_.withColumn("__rank", r).join(F.broadcast(takes), F.col("__stratum") == F.col("__s")), ["__stratum"], "__rank", row_id)
     split = F.when(F.col("nth") <= F.col("take"), "validation").otherwise("train")
     out = dealt.select(row_id, *strata, split.alias("split"))
     return out.union(flagged.filter("__forced").select(row_id, *strata, F.lit("validation").alias("split")))

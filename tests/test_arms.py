@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 
+from millrace.functions.hashing import rank
 from millrace.operators import arms, sampling, splits
 from millrace.operators.allocation import allocate
 from pyspark.sql import functions as F
@@ -143,3 +144,21 @@ def test_holdout(spark):
     index = splits.reindexed(got, "split", "id", 7)
     for name, n in (("train", 180), ("validation", 20)):
         assert sorted(r["index"] for r in index.filter(F.col("split") == name).collect()) == list(range(n))
+
+
+def test_rows_beyond_a_sample_are_not_shuffled(spark):
+    df = spark.range(20_000, numPartitions=4).select(F.col("id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 > 0, "b").otherwise("c").alias("stratum"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sampling.stratified(df, "id", "stratum", 900, 7, "lines")
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2  # what to take and the last bucket that is needed, a row a stratum
+        assert {r["stratum"]: r["count"] for r in got.groupBy("stratum").count().collect()} == {"a": 600, "b": 150, "c": 150}
+        bucketed = df.filter("stratum = 'c'").select("id", "stratum", rank(7, "lines", "x", "id").alias("r"), F.lit(150).alias("most"))
+        whole, cut = sampling.placed(bucketed, ["stratum"], "r", "id"), sampling.placed(bucketed, ["stratum"], "r", "id", F.col("most"))
+        first = [(i + 1, r["id"]) for i, r in enumerate(bucketed.orderBy("r").limit(150).collect())]
+        for rows in (whole, cut):
+            assert sorted((r["nth"], r["id"]) for r in rows.filter("nth <= most").collect()) == first
+        assert cut.count() < 200 < whole.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -226,16 +226,30 @@ SELECT DISTINCT o_orderpriority[1] AS priority, CASE o_orderpriority[1] WHEN '1'
 """
 
 
+#: Batches in which a table is streamed, and the most bytes of text that one of its files is to have.
+BATCHES, FILE_BYTES = 4, 1 << 26
+
+
+def _files(docs: DataFrame) -> int:
+    """Files for a stream of documents: as many as keep each of them small, one a batch at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(BATCHES, -(-size // FILE_BYTES))
+
+
 def ledgered_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of files is appended by batches, killed between the rows of the second and its entry, and goes on."""
-    path = scratch(spark, "ledgered")
-    writers.jsonl(_docs(spark, sf_dir).repartition(4, "doc_id"), f"{path}/in")
+    """A stream of files is appended by batches, killed between the rows of the second and its entry, and goes on.
+
+    Files are of bounded size, since a task writes each; a batch has a share of them.
+    """
+    path, docs = scratch(spark, "ledgered"), _docs(spark, sf_dir)
+    files = _files(docs)
+    writers.jsonl(docs.repartition(files, "doc_id"), f"{path}/in")
 
     def kill(number: int) -> None:
         if number == 1:
             raise InterruptedError("killed")
 
-    stream = lambda: spark.readStream.schema(_DOC).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    stream = lambda: spark.readStream.schema(_DOC).option("maxFilesPerTrigger", -(-files // BATCHES)).json(f"{path}/in")
     with contextlib.suppress(StreamingQueryException):
         appends.append(stream(), f"{path}/out", f"{path}/state", kill).awaitTermination()
     seen = appends.read(spark, f"{path}/out", _DOC).agg(F.max("batch")).first()[0]  # what a reader sees meanwhile

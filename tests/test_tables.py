@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import hashing
 from millrace.operators import admission, classify, contracts, dedup, histograms, prompts, rewards, select
+from millrace.plans import io_queries
 from millrace.sources import readers, writers
 from millrace.streaming import appends, status
 
@@ -352,3 +353,14 @@ def test_set_digests_stream_over_batches(spark):
     assert got == want
     one, two = (df.repartition(n).agg(hashing.set_fingerprint("id").alias("f")).first()["f"] for n in (1, 4))
     assert one == two
+
+
+def test_a_larger_stream_has_more_files_and_no_more_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io_queries, "FILE_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(io_queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    got = io_queries.ledgered_append(spark, "/root/testdata/sf0.001").collect()
+    sizes = [x.stat().st_size for x in (tmp_path / "ledgered/in").glob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 4
+    assert sorted(x.name for x in (tmp_path / "ledgered/out").glob("batch=*")) == [f"batch={i}" for i in range(4)]
+    docs = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(docs) and {(r["doc_id"], r["killed_after"]) for r in got} == {(i, 0) for i in docs}
